@@ -4,19 +4,22 @@ A byte-level BPE first cuts a text into pieces, and never merges over a cut. A
 blank after a character that isn't white space always starts a piece, so a text
 can be split there and each chunk encoded by itself: the ids of the text are the
 ids of its chunks in order. Chunks repeat, so their ids are kept in a bounded
-dictionary for as long as the Python worker lives.
+dictionary for as long as the Python worker lives. A new chunk of plain text is cut
+by the tokeniser's pattern, and its pieces go through the tokeniser's model; any other
+new chunk goes through the whole tokeniser.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
 _GLUE = re.compile(r"\s ")
 
-#: Chunks kept by a worker (about 200 bytes each); when full, it starts anew.
-CACHE_CHUNKS = 500_000
+#: Chunks and pieces kept by a worker (about 200 bytes each); when full, it starts anew.
+CACHE_CHUNKS = 800_000
 #: Longer chunks aren't kept.
 CACHE_CHARS = 64
 
@@ -44,6 +47,47 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+# Text whose letters, digits and white space every Unicode version classes alike.
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]+").fullmatch
+
+
+class _Pieces(dict):
+    """Ids of the pieces that the pre-tokeniser's pattern cuts plain text into."""
+
+    def __init__(self, tokenizer):
+        self.tokenize = tokenizer.model.tokenize
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in printed]
+        # the printable character that stands for each byte in the vocabulary
+        self.shown = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.tokenize(piece.encode().decode("latin-1").translate(self.shown))
+        ids = array("I", [t.id for t in found]).tobytes()
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = ids
+        return ids
+
+
+class _Chunks(dict):
+    """Ids of chunks, made on first sight."""
+
+    def __init__(self, tokenizer, pattern: str):
+        import regex
+
+        self.tokenizer, self.cut = tokenizer, regex.compile(pattern).findall
+        self.pieces = _Pieces(tokenizer)
+
+    def __missing__(self, chunk: str) -> bytes:
+        if _PLAIN(chunk):
+            ids = b"".join(map(self.pieces.__getitem__, self.cut(chunk)))
+        else:
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= CACHE_CHARS:
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of whole texts."""
 
@@ -53,25 +97,25 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.kept: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        cut = spec["pre_tokenizer"] or {}
+        byte_level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        self.chunked = bool(byte_level and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
+        if self.chunked:
+            import public_tokenizers
+
+            self.kept = _Chunks(self.tokenizer, public_tokenizers.PATTERN)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null counts as empty."""
-        if len(self.kept) > CACHE_CHUNKS:
-            self.kept = {}
+        if not self.chunked:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         kept = self.kept
-        split = [chunks(t) if t else [] for t in texts]
-        found = [list(map(kept.get, c)) for c in split]
-        lacking = {x for c, v in zip(split, found) if None in v for x, y in zip(c, v) if y is None}
-        if lacking:
-            new = list(lacking)
-            ids = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {x: array("I", e.ids).tobytes() for x, e in zip(new, ids)}
-            kept.update(fresh if max(map(len, new)) <= CACHE_CHARS else {x: y for x, y in fresh.items() if len(x) <= CACHE_CHARS})
-            for i, v in enumerate(found):
-                if None in v:
-                    found[i] = [y if y is not None else fresh[x] for x, y in zip(split[i], v)]
-        return [b"".join(v) for v in found]
+        if len(kept) + len(kept.pieces) > CACHE_CHUNKS:
+            kept.clear()
+            kept.pieces.clear()
+        get = kept.__getitem__
+        return [b"".join(map(get, chunks(t))) if t else b"" for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
