@@ -78,7 +78,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     set_bits = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 14):
         part = hashes[k : k + (1 << 14)]
-        set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0])
 
 
