@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, decontam, gif, licenses, packing, quality, sharding, simhash, toxicity
+from . import dac, decontam, gif, licenses, packing, quality, secrets, sharding, simhash, toxicity
 from .common import read
 
 
@@ -39,6 +39,10 @@ def op7_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op8_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_token_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(dac.write_segments(read(spark, sf_dir, "documents")))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity_ordinal": op5_toxicity_ordinal,
         "op6_wu_manber": op6_wu_manber,
         "op7_license_sentences": op7_license_sentences,
+        "op8_secret_battery": op8_secret_battery,
         "op9_token_dac": op9_token_dac,
         "op10_gif_media": op10_gif_media,
     }
