@@ -18,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ DELAY_CS = 10
 MAX_CODES = 4096
 
 
+@cache
 def _widths(base: int, n: int) -> np.ndarray:
     """Bits of the n codes that follow a clear code; base is that code."""
     size = np.maximum(np.arange(n) - 1, 0) + base + 2
@@ -41,6 +43,14 @@ def _widths(base: int, n: int) -> np.ndarray:
     return bits
 
 
+@cache
+def _ends(base: int) -> np.ndarray:
+    return np.cumsum(_widths(base, MAX_CODES))
+
+
+_FULL = np.full(MAX_CODES, 12, np.int64)
+_FULL_ENDS = np.cumsum(_FULL)
+
 #: Codes from one clear code to the next when an 8-bit encoder fills its table.
 _RUN = MAX_CODES - 256
 _RUN_BITS = _widths(256, _RUN)
@@ -48,25 +58,25 @@ _RUN_BITS = _widths(256, _RUN)
 
 def lzw_encode(data: bytes) -> bytes:
     """The LZW code stream of 8-bit samples."""
-    codes, table, free = [256], {}, 258
-    get, add = table.get, codes.append
-    stream = iter(data)
-    prefix = next(stream)
-    for c in stream:
-        key = prefix << 8 | c
-        code = get(key)
-        if code is not None:
-            prefix = code
-            continue
-        add(prefix)
-        if free < MAX_CODES:
+    codes, at, n = [256], 1, len(data)
+    prefix = data[0]
+    while at < n:
+        table: dict[int, int] = {}
+        get, add = table.get, codes.append
+        free = 258
+        for c in memoryview(data)[at:]:
+            at += 1
+            code = get(key := prefix << 8 | c)
+            if code is not None:
+                prefix = code
+                continue
+            add(prefix)
+            prefix = c
+            if free == MAX_CODES:
+                add(256)
+                break
             table[key] = free
             free += 1
-        else:
-            add(256)
-            table.clear()
-            free = 258
-        prefix = c
     codes += (prefix, 257)
     value = np.array(codes, np.int64)
     bits = np.concatenate([[9], np.tile(_RUN_BITS, -(-len(codes) // _RUN))[: len(codes) - 1]])
@@ -81,43 +91,47 @@ def lzw_encode(data: bytes) -> bytes:
 def lzw_decode(data: bytes, min_bits: int, size: int) -> bytes:
     """At most ``size`` samples of a code stream; ValueError if it is broken."""
     clear = 1 << min_bits
-    buf = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    buf = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int32)
     total = 8 * len(data)
     roots = [bytes((i,)) for i in range(clear)] + [b"", b""]
-    first_bits = _widths(clear, MAX_CODES)
     out: list[bytes] = []
     at, made = 0, 0
     table, prev, fresh = roots[:], b"", True
     while made < size:
-        bits = first_bits if fresh else np.full(MAX_CODES, 12, np.int64)
-        end = at + np.cumsum(bits)
-        keep = int(np.searchsorted(end, total, "right"))
+        bits, end = (_widths(clear, MAX_CODES), _ends(clear)) if fresh else (_FULL, _FULL_ENDS)
+        keep = int(np.searchsorted(end, total - at, "right"))
         if not keep:
             break
-        bits, end = bits[:keep], end[:keep]
+        bits, end = bits[:keep], end[:keep] + at
         start = end - bits
         byte = start >> 3
         codes = (buf[byte] | buf[byte + 1] << 8 | buf[byte + 2] << 16) >> (start & 7) & ((1 << bits) - 1)
-        stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        stop = np.flatnonzero((codes >> 1) == clear >> 1)
         n = int(stop[0]) if len(stop) else keep
-        for code in codes[:n].tolist():
-            if not prev:
-                if code >= clear:
-                    raise ValueError("first code is not a root")
-                prev = table[code]
-            else:
-                if code < len(table):
-                    entry = table[code]
-                    grown = prev + entry[:1]
-                elif code == len(table) < MAX_CODES:
-                    entry = grown = prev + prev[:1]
-                else:
-                    raise ValueError("code beyond the table")
-                if len(table) < MAX_CODES:
-                    table.append(grown)
-                prev = entry
+        done, run = len(out), codes[:n].tolist()
+        if run and not prev:
+            first = run.pop(0)
+            if first >= clear:
+                raise ValueError("first code is not a root")
+            prev = table[first]
             out.append(prev)
-            made += len(prev)
+        room = MAX_CODES - len(table)
+        add, emit = table.append, out.append
+        for code in run[:room]:
+            try:
+                entry = table[code]
+                add(prev + entry[:1])
+            except IndexError:
+                if code > len(table):
+                    raise ValueError("code beyond the table") from None
+                entry = prev + prev[:1]
+                add(entry)
+            emit(entry)
+            prev = entry
+        if full := run[room:]:
+            out += map(table.__getitem__, full)
+            prev = out[-1]
+        made += sum(map(len, out[done:]))
         if not len(stop):
             at, fresh = int(end[-1]), False
             continue
@@ -241,8 +255,11 @@ def _decode(data: bytes, compose: bool) -> Gif:
             colours = np.full((256, 4), 255, np.uint8)
             colours[:, :3] = 0
             colours[: len(palette), :3] = palette
-            shown = seen != transparent if transparent is not None else np.ones(seen.shape, bool)
-            spot[shown] = colours[seen[shown]]
+            if transparent is None:
+                spot[:] = colours[seen]
+            else:
+                shown = seen != transparent
+                spot[shown] = colours[seen[shown]]
             frame.canvas = canvas.copy()
             if disposal == 2:
                 spot[:] = 0
