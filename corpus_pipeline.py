@@ -1,29 +1,58 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage gets what its predecessor kept, written as Parquet and read again. The
+first four return the columns of ``documents``; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import packing
+from sylva.llm import decontam, packing, quality, secrets, simhash
 from sylva.llm.common import read, stage
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark passages go."""
+    return decontam.remove(docs, read(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans that are secrets are replaced in the texts; all documents stay."""
+    return secrets.redact(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of what is left."""
+    """What is left is packed into sequences."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("quality classifier", keep_good),
+    ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", redact_secrets),
     ("best-fit packing", pack_sequences),
 ]
 
-#: Trained weights and tokenised pieces have no SQL form.
+#: Fitted weights and tokenised pieces have no SQL form; tests hold the stages
+#: against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for k, (name, apply) in enumerate(STAGES):
+    for k, (_, apply) in enumerate(STAGES):
         docs = apply(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stage(docs, f"stage{k}")
