@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylva import ship
+
 #: Arrow batches are bounded by rows and bytes, so that very long texts don't
 #: pile up in a Python worker.
 ARROW_CONF = {
@@ -20,7 +22,8 @@ BROADCAST_ROWS = 20_000
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session."""
+    """Bound the Arrow batches of this session; workers can import the package."""
+    ship(spark)
     for key, value in ARROW_CONF.items():
         spark.conf.set(key, value)
 

@@ -77,11 +77,11 @@ def cells(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
     cuts = df.agg(*[F.percentile_approx(x, share, 10_000).alias(f"c{k}") for k, x in enumerate(numbers)]).first()
 
     def cell(x: Column, edges: list[float]) -> Column:
-        # the first value beyond an edge starts a cell
+        # cuts that fall on one value leave cells empty, so that few values spread too
         at = F.array_size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < x)) if edges else F.lit(0)
         return F.coalesce(at, F.lit(0)).cast("int")
 
-    return [cell(x, sorted(set(cuts[k] or []))) for k, x in enumerate(numbers)]
+    return [cell(x, list(cuts[k] or [])) for k, x in enumerate(numbers)]
 
 
 def curve(df: DataFrame, dims: list[str], bits: int = BITS) -> Column:

@@ -1,14 +1,15 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse words.
 
-The model is P(grade <= k) = s(theta_k - w x): one weight for each word, shared by the
+A word has as features itself and its first letters (four to six), which stand for
+the words made from one stem. The model is P(grade <= k) = s(theta_k - w x): one weight for each feature, shared by the
 ordered thresholds theta_1 < theta_2 < theta_3. Expected severity is the sum of
 P(grade >= k).
 
 Training uses at most ``SAMPLE`` labelled rows (those of smallest hash). Their words
-are counted by class; the ``WORDS`` words whose shares differ most become features
+and stems are counted by class; the ``WORDS`` whose shares differ most become features
 (log of one plus the count). Labels only say toxic or not, so toxic rows are graded 1 to
-3 by the thirds of how densely marked words occur in them; a word is marked if it is
-far more frequent in toxic rows.
+3 by the thirds of how many marked words occur in them; a word is marked if one of
+its features is far more frequent in toxic rows.
 
 Defined results: a null or empty text has no words and gets the severity of an empty
 feature vector; without toxic and clean labels severity is 0 and nothing is toxic;
@@ -32,8 +33,10 @@ from .common import stage, tune
 
 #: The most labelled rows that the model is fitted on.
 SAMPLE = 20_000
-#: The most words that are features.
-WORDS = 512
+#: The most words and stems that are features.
+WORDS = 768
+#: Lengths of stems.
+STEMS = (4, 5, 6)
 #: Standard errors between the classes from which on a word is a feature.
 APART = 5.0
 GRADES = 3
@@ -45,17 +48,33 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def features(word: str) -> list[str]:
+    """The word, and a stem of each length that it is longer than."""
+    return [word, *[f"{word[:n]}*" for n in STEMS if len(word) > n]]
+
+
+def count_known(text_words: list[str], known: dict[str, int]) -> Counter:
+    """How often each known feature occurs."""
+    out: Counter = Counter()
+    for word, n in Counter(text_words).items():
+        for f in features(word):
+            if (k := known.get(f)) is not None:
+                out[k] += n
+    return out
+
+
 @dataclass
 class Model:
     vocabulary: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray  # ascending, one for each grade from 1 on
+    #: P(grade >= 1) from which on a text counts as toxic
+    cut: float = 0.5
 
     def severity(self, text: str | None) -> tuple[float, list[float]]:
         """Expected severity, and P(grade >= k) for each k."""
-        known = self.vocabulary
-        count = Counter(w for w in words(text) if w in known) if known else {}
-        x = sum(self.weights[known[w]] * np.log1p(n) for w, n in count.items())
+        count = count_known(words(text), self.vocabulary) if self.vocabulary else {}
+        x = sum(self.weights[k] * np.log1p(n) for k, n in count.items())
         p = 1 / (1 + np.exp(np.clip(self.thresholds - x, -40, 40)))
         return float(p.sum()), p.tolist()
 
@@ -84,6 +103,18 @@ def fit(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 1.0,
     return w, theta + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
+def best_cut(p: np.ndarray, bad: np.ndarray) -> float:
+    """The cut that catches the most toxic rows less clean ones, halfway (in log-odds)
+    to the next row below."""
+    order = np.argsort(-p, kind="stable")
+    p, gain = p[order], np.cumsum(np.where(bad[order], 1, -1))
+    last = np.append(p[1:] != p[:-1], True)  # rows of equal p go together
+    k = int(np.flatnonzero(last)[np.argmax(gain[last])])
+    below = p[k + 1] if k + 1 < len(p) else p[k]
+    odds = np.log(np.clip([p[k], below], 1e-12, 1 - 1e-12) / (1 - np.clip([p[k], below], 1e-12, 1 - 1e-12)))
+    return float(1 / (1 + np.exp(-odds.mean())))
+
+
 def select_words(counts: DataFrame, n_toxic: int, n_clean: int, most: int = WORDS, apart: float = APART) -> list[tuple[str, float, float]]:
     """(word, share of toxic rows, share of clean rows), the most telling first."""
     a, b = F.col("toxic") / F.lit(n_toxic), F.col("clean") / F.lit(n_clean)
@@ -104,12 +135,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def word_column(texts: pa.Array) -> pa.Array:
         return pa.array([words(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
+    @F.arrow_udf("array<string>")
+    def feature_column(lists: pa.Array) -> pa.Array:
+        return pa.array([list({f: 0 for w in set(x) for f in features(w)}) for x in lists.to_pylist()], pa.list_(pa.string()))
+
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min(F.col("label") > 0).alias("bad"))
     held = stage(found.select("doc_id", "bad", word_column("text").alias("words")), "labelled")
     sizes = {r["bad"]: r["n"] for r in held.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
         return Model({}, np.zeros(0), np.zeros(0))
-    once = held.select("bad", F.explode(F.array_distinct("words")).alias("word"))
+    once = held.select("bad", F.explode(feature_column("words")).alias("word"))
     counts = once.groupBy("word").agg(F.count_if("bad").alias("toxic"), F.count_if(~F.col("bad")).alias("clean"))
     telling = select_words(counts, sizes[True], sizes[False])
     vocabulary = {w: k for k, (w, _, _) in enumerate(telling)}
@@ -120,20 +155,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             out = []
             for bad, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = Counter(vocabulary[x] for x in w if x in vocabulary)
-                out.append((bad, sum(x in marked for x in w) / max(1, len(w)), list(c), list(c.values())))
+                c = count_known(w, vocabulary)
+                hits = sum(n for x, n in Counter(w).items() if not marked.isdisjoint(features(x)))
+                out.append((bad, hits, list(c), list(c.values())))
             if out:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.bool_(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["bad", "density", "at", "n"])
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["bad", "hits", "at", "n"])
 
-    sampled = held.orderBy("doc_id").select("bad", "words").mapInArrow(sparse, "bad boolean, density double, at array<int>, n array<int>").collect()
-    x, density = np.zeros((len(sampled), len(vocabulary)), np.float32), np.array([r["density"] for r in sampled])
+    sampled = held.orderBy("doc_id").select("bad", "words").mapInArrow(sparse, "bad boolean, hits long, at array<int>, n array<int>").collect()
+    x, hits = np.zeros((len(sampled), len(vocabulary)), np.float32), np.array([r["hits"] for r in sampled])
     bad = np.array([r["bad"] for r in sampled])
     for i, r in enumerate(sampled):
         x[i, r["at"]] = np.log1p(r["n"])
-    cuts = np.quantile(density[bad], [k / GRADES for k in range(1, GRADES)])
-    y = np.where(bad, 1 + (density[:, None] > cuts[None, :]).sum(axis=1), 0)
+    cuts = np.quantile(hits[bad], [k / GRADES for k in range(1, GRADES)])
+    y = np.where(bad, 1 + (hits[:, None] > cuts[None, :]).sum(axis=1), 0)
     w, thresholds = fit(x, y)
-    return Model(vocabulary, w, thresholds)
+    p = 1 / (1 + np.exp(np.clip(thresholds[0] - x @ w, -40, 40)))
+    return Model(vocabulary, w, thresholds, best_cut(p, bad))
 
 
 SCORES = "doc_id long, severity double, p_toxic double, grade int, toxic boolean"
@@ -141,7 +178,7 @@ SCORES = "doc_id long, severity double, p_toxic double, grade int, toxic boolean
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, expected severity, P(grade >= 1), the likeliest grade, and whether a
-    text is more likely toxic than not."""
+    text counts as toxic: from the cut on that tells the sample's classes apart best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +186,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 severity, p = model.severity(text)
                 exact = [1 - p[0], *(a - b for a, b in zip(p, [*p[1:], 0.0]))] if p else [1.0]
-                out.append((doc, severity, p[0] if p else 0.0, int(np.argmax(exact)), bool(p and p[0] >= 0.5)))
+                out.append((doc, severity, p[0] if p else 0.0, int(np.argmax(exact)), bool(p and p[0] >= model.cut)))
             if out:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()))], names=["doc_id", "severity", "p_toxic", "grade", "toxic"])
 
