@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva import ship
+
 from .parser import Options, read, split_name, tree
 
 EVENTS = "doc_id long, seq long, kind string, name string, value string, attrs array<struct<name:string,value:string>>, line int, col int"
@@ -69,6 +71,7 @@ def parse_events(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
         return _emit(rows(), _EVENT_TYPES, _names(EVENTS))
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "xml").mapInArrow(run, EVENTS)
 
 
@@ -93,6 +96,7 @@ def parse_nodes(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
         return _emit(rows(), _NODE_TYPES, _names(NODES))
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "xml").mapInArrow(run, NODES)
 
 
