@@ -210,3 +210,11 @@ def clone(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     fill = {c: F.lit(None).cast(t) for c, t in nodes.dtypes if c not in top.columns}
     fill |= {c: F.array().cast(t) for c, t in nodes.dtypes if c in ("attrs", "ns")}
     return renumber(moved.unionByName(top.withColumns(fill).select(*nodes.columns)))
+
+
+def extend(nodes: DataFrame, column: str, registry: dict[str, Column], default: Column | None = None) -> DataFrame:
+    """A computed column chosen by element name, as extensions of a tree are."""
+    out = default if default is not None else F.lit(None)
+    for name, value in registry.items():
+        out = F.when((F.col("kind") == "element") & (F.col("name") == name), value).otherwise(out)
+    return nodes.withColumn(column, out)
