@@ -6,7 +6,7 @@ can be split there and each chunk encoded by itself: the ids of the text are the
 ids of its chunks in order. Chunks repeat, so their ids are kept in a bounded
 dictionary for as long as the Python worker lives. A new chunk of plain text is cut
 by the tokeniser's pattern, and its pieces go through the tokeniser's model; any other
-new chunk goes through the whole tokeniser.
+new chunk goes through the whole tokeniser. (Pieces by themselves are chunks too.)
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from array import array
 _GLUE = re.compile(r"\s ")
 
 #: Chunks and pieces kept by a worker (about 200 bytes each); when full, it starts anew.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 1_500_000
 #: Longer chunks aren't kept.
 CACHE_CHARS = 64
 
@@ -47,44 +47,35 @@ def chunks(text: str) -> list[str]:
     return out
 
 
-# Text whose letters, digits and white space every Unicode version classes alike.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]+").fullmatch
+# The pattern that cuts text into pieces, for the characters that every
+# Unicode version classes alike. It matches nothing of a text with any other.
+_L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_N = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_O = "!-/:-@\\[-`{-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[{_O}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+").findall
 
 
-class _Pieces(dict):
-    """Ids of the pieces that the pre-tokeniser's pattern cuts plain text into."""
+class _Known(dict):
+    """Ids of chunks and of their pieces, made on first sight."""
 
     def __init__(self, tokenizer):
-        self.tokenize = tokenizer.model.tokenize
+        self.tokenizer, self.model = tokenizer, tokenizer.model.tokenize
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in printed]
         # the printable character that stands for each byte in the vocabulary
         self.shown = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(other)}
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.tokenize(piece.encode().decode("latin-1").translate(self.shown))
-        ids = array("I", [t.id for t in found]).tobytes()
-        if len(piece) <= CACHE_CHARS:
-            self[piece] = ids
-        return ids
-
-
-class _Chunks(dict):
-    """Ids of chunks, made on first sight."""
-
-    def __init__(self, tokenizer, pattern: str):
-        import regex
-
-        self.tokenizer, self.cut = tokenizer, regex.compile(pattern).findall
-        self.pieces = _Pieces(tokenizer)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if _PLAIN(chunk):
-            ids = b"".join(map(self.pieces.__getitem__, self.cut(chunk)))
+    def __missing__(self, text: str) -> bytes:
+        parts = _PIECES(text)
+        if "".join(parts) != text:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        elif len(parts) > 1:
+            ids = b"".join(map(self.__getitem__, parts))
         else:
-            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(chunk) <= CACHE_CHARS:
-            self[chunk] = ids
+            shown = text if text.isascii() else text.encode().decode("latin-1")
+            ids = array("I", [t.id for t in self.model(shown.translate(self.shown))]).tobytes()
+        if len(text) <= CACHE_CHARS:
+            self[text] = ids
         return ids
 
 
@@ -102,18 +93,15 @@ class Encoder:
         byte_level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
         self.chunked = bool(byte_level and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
         if self.chunked:
-            import public_tokenizers
-
-            self.kept = _Chunks(self.tokenizer, public_tokenizers.PATTERN)
+            self.kept = _Known(self.tokenizer)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null counts as empty."""
         if not self.chunked:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         kept = self.kept
-        if len(kept) + len(kept.pieces) > CACHE_CHUNKS:
+        if len(kept) > CACHE_CHUNKS:
             kept.clear()
-            kept.pieces.clear()
         get = kept.__getitem__
         return [b"".join(map(get, chunks(t))) if t else b"" for t in texts]
 
