@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import xpath as fn
 from sylva.sources.parser import Options
+from sylva.sources.store import roundtrip
 from sylva.sources.xml import parse_nodes
 
 from .path import BOOLEAN, NODESET, NUMBER, REVERSE, STRING, Binary, Call, Filter, Literal, Neg, Path, PathError, Step, Var, parse, positional, rewrite, type_of
@@ -96,6 +97,11 @@ class Evaluator:
         if e.start == "/":
             if rel.keys == ["_doc"] and rel.placed:
                 now = Rel(rel.df.select(*rel.keys, *NODE), rel.keys)
+                if steps and steps[0].axis in ("child", "descendant"):
+                    now, steps = self._top_step(steps[0]), steps[1:]
+                    for s in steps:
+                        now, _ = self._step(s, now, False)
+                    return now
             else:
                 docs = rel.df.select(*rel.keys, F.col("doc").alias("_of"))
                 roots = self.table.filter("pre = 0 AND sub = 0")
@@ -109,6 +115,16 @@ class Evaluator:
             now, single = self._step(s, now, single)
         return now
 
+    def _top_step(self, s: Step) -> Rel:
+        """The first step from the root of each document needs no join."""
+        c_ = self._new("c")
+        at = F.col("parent") == 0 if s.axis == "child" else F.col("pre") > 0
+        top = {"doc": F.col("doc"), "pre": F.lit(0).cast("long"), "sub": F.lit(0), "apos": F.lit(0)}
+        found = self.table.filter(self._test(s) & (F.col("sub") == 0) & at).select(F.col("doc").alias("_doc"), *[top[c].alias(c_ + c) for c in KEY], *NODE)
+        if s.preds:
+            found = self._step_predicates(s, ["_doc"] + [c_ + c for c in KEY], found)
+        return Rel(found.select("_doc", *NODE), ["_doc"])
+
     def _test(self, s: Step) -> Column:
         principal = {"attribute": "attribute", "namespace": "namespace"}.get(s.axis, "element")
         kind = F.col("kind")
@@ -404,5 +420,6 @@ def evaluate(nodes: DataFrame, path: str, variables: dict | None = None, functio
 
 
 def xpath(docs: DataFrame, path: str, options: Options = Options(), **settings) -> DataFrame:
-    """``evaluate`` over documents (doc_id, xml)."""
-    return evaluate(parse_nodes(docs, options), path, **settings)
+    """``evaluate`` over documents (doc_id, xml). Each step reads the node table, so it
+    is parsed once and stored; steps then scan only the columns and names they need."""
+    return evaluate(roundtrip(parse_nodes(docs, options), "nodes"), path, **settings)

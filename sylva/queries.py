@@ -15,7 +15,7 @@ from sylva.operators import namespaces as ns
 from sylva.operators import tree
 from sylva.operators.dtd import parse_dtd, parse_model, deterministic
 from sylva.operators.validate import Validator
-from sylva.plans.xpath import evaluate
+from sylva.plans.xpath import evaluate, xpath
 from sylva.sources import corpora, store, uri
 from sylva.sources.parser import Options
 from sylva.sources.xml import attributes, diagnostics, parse_events, parse_nodes
@@ -36,7 +36,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def nodes(spark: SparkSession, sf: str, corpus: str, options: Options = Options()) -> DataFrame:
-    return parse_nodes(getattr(corpora, corpus)(spark, sf), options)
+    """The node table of a corpus, parsed once and stored: most plans read it often."""
+    return store.roundtrip(parse_nodes(getattr(corpora, corpus)(spark, sf), options), "nodes")
 
 
 def xp(name: str, corpus: str, path: str, sql: str, shape: Callable[[DataFrame], DataFrame] | None = None, **settings) -> None:
@@ -96,7 +97,7 @@ query("xp_sum_path", GEO + "SELECT r.doc_id, round(coalesce(sum(CAST(" + money("
 
 @query("src_from_string", "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 'region' AS root FROM region")
 def _(spark, sf):
-    return nodes(spark, sf, "geo").filter("parent = 0").select("doc_id", F.col("name").alias("root"))
+    return parse_nodes(corpora.geo(spark, sf)).filter("parent = 0").select("doc_id", F.col("name").alias("root"))
 
 
 @query("entity_catalog_join", "SELECT c_custkey AS ref_id, CASE WHEN c_custkey % 2 = 0 THEN n_name WHEN c_nationkey % 5 <> 0 THEN 'system ' || n_name END AS text FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -132,7 +133,7 @@ SELECT doc_id, CAST(1 AS BIGINT) AS pre, CAST(1 + (SELECT count(*) FROM n WHERE
 UNION ALL SELECT doc_id, pre, CAST(pre + 2 * m AS BIGINT), 'nation', 2 FROM np
 UNION ALL SELECT doc_id, pre, CAST(pre + 1 AS BIGINT), 'customer', 3 FROM c""")
 def _(spark, sf):
-    return nodes(spark, sf, "geo").filter("kind = 'element'").select("doc_id", "pre", "fin", "name", "level")
+    return parse_nodes(corpora.geo(spark, sf)).filter("kind = 'element'").select("doc_id", "pre", "fin", "name", "level")
 
 
 @query("wf_check")
@@ -239,7 +240,7 @@ def _(spark, sf):
 
 @query("roundtrip_marshal", GEO + "SELECT doc_id, pre, c_name AS value FROM c")
 def _(spark, sf):
-    return store.roundtrip(nodes(spark, sf, "geo"), "nodes").filter("name = 'customer'").select("doc_id", "pre", "value")
+    return nodes(spark, sf, "geo").filter("name = 'customer'").select("doc_id", "pre", "value")
 
 
 @query("ns_relocate", "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'G:name' AS name, n_name AS value FROM nation")
@@ -473,7 +474,7 @@ def _with_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("xp_fn_id", CAT + "SELECT doc_id, p_name AS value FROM p WHERE i = 2 AND k % 23 <> 0 AND k % 31 <> 0")
 def _(spark, sf):
-    found = evaluate(parse_nodes(_with_ids(spark, sf)), "id(/brand/part[2]/@id)[@id != 'p0' and not(b[text()])]/text()")
+    found = xpath(_with_ids(spark, sf), "id(/brand/part[2]/@id)[@id != 'p0' and not(b[text()])]/text()")
     return found.select("doc_id", "value")
 
 

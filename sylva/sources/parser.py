@@ -46,7 +46,7 @@ class Event:
 
 
 class NamespaceError(ValueError):
-    pass
+    """A prefix that isn't declared, or a name that isn't one."""
 
 
 class Prefixes:
@@ -155,10 +155,19 @@ class _Reader:
             self.scopes.pop()
         self.put("end_tag", name=self.names.pop())
 
-    def text(self, data) -> None:
-        self.expanded += len(data)
+    def grow(self, n: int) -> None:
+        self.expanded += n
         if self.expanded > MAX_EXPANSION:
             raise ValueError("entities expand to too much text")
+
+    def parse(self, xml: str | None) -> None:
+        if xml is None:
+            raise ValueError("no document")
+        # the text is decoded already: what an XML declaration says of bytes is past
+        self.parser.Parse(re.sub(r"""^(<\?xml[^>]*?)\s+encoding\s*=\s*("[^"]*"|'[^']*')""", r"\1", xml, count=1).encode("utf-8"), True)
+
+    def text(self, data) -> None:
+        self.grow(len(data))
         if self.events and self.events[-1].kind == "char_data":
             self.events[-1].value += data
         else:
@@ -173,18 +182,14 @@ class _Reader:
             self.put("comment", value=data)
 
 
-def read(xml: str | None, options: Options) -> tuple[list[Event], dict[tuple[str, str], str]]:
-    """The events of a document and the declared attribute types. The last event is
-    end_of_stream, or error."""
+def read(xml: str | None, options: Options) -> list[Event]:
+    """The events of a document. The last is end_of_stream, or error."""
     r = _Reader(options)
     r.events.append(Event("start_doc", line=1))
     if options.super_root:
         r.events.append(Event("start_super", line=1))
     try:
-        if xml is None:
-            raise ValueError("no document")
-        # the text is decoded already: what an XML declaration says of bytes is past
-        r.parser.Parse(re.sub(r"""^(<\?xml[^>]*?)\s+encoding\s*=\s*("[^"]*"|'[^']*')""", r"\1", xml, count=1).encode("utf-8"), True)
+        r.parse(xml)
         if options.super_root:
             r.put("end_super")
         r.put("end_doc")
@@ -195,7 +200,7 @@ def read(xml: str | None, options: Options) -> tuple[list[Event], dict[tuple[str
         r.put("error", name="Namespace", value=str(e))
     except ValueError as e:
         r.put("error", name="Other", value=str(e))
-    return r.events, r.att_types
+    return r.events
 
 
 def split_name(name: str) -> tuple[str, str]:
@@ -203,53 +208,129 @@ def split_name(name: str) -> tuple[str, str]:
     return (prefix, local) if colon else ("", name)
 
 
-@dataclass
-class Node:
-    pre: int
-    parent: int | None
-    level: int
-    pos: int
-    path: list[int]
-    kind: str
-    name: str | None
-    value: str | None
-    attrs: list[tuple[str, str, str]]  # name, value, declared type
-    scope: list[tuple[str, str, str]]
-    line: int
-    col: int
-    fin: int = 0
-    children: int = 0
-    text: list[str] = field(default_factory=list)
-
-
-def tree(events: list[Event], types: dict[tuple[str, str], str]) -> list[Node] | None:
-    """The nodes of a well-formed document in document order; None after an error."""
-    if events[-1].kind == "error":
-        return None
-    root = Node(0, None, 0, 0, [], "super_root", None, None, [], [], 1, 0)
-    nodes, open_ = [root], [root]
-
-    def add(e: Event, kind: str) -> Node:
-        top = open_[-1]
-        n = Node(len(nodes), top.pre, top.level + 1, top.children, [*top.path, top.children], kind, e.name, e.value, [(a, v, types.get((e.name, a), "CDATA")) for a, v in e.attrs], e.scope or [], e.line, e.col)
-        top.children += 1
-        nodes.append(n)
-        return n
-
-    for e in events:
-        if e.kind == "start_tag":
-            open_.append(add(e, "element"))
-        elif e.kind == "end_tag":
-            n = open_.pop()
-            n.fin = len(nodes) - 1
-            n.value = "".join(n.text)
-            open_[-1].text.append(n.value)
-        elif e.kind == "char_data":
-            n = add(e, "data")
-            n.fin = n.pre
-            open_[-1].text.append(e.value)
-        elif e.kind in ("pinstr", "comment"):
-            n = add(e, e.kind)
-            n.fin = n.pre
-    root.fin, root.value = len(nodes) - 1, "".join(root.text)
-    return nodes
+class Columns:
+    """Rows of nodes as columns. Lists of a row (path, attributes, namespaces) lie flat,
+    with the place where each row's ends."""
+
+    PLAIN = ["pre", "fin", "level", "parent", "pos", "kind", "name", "value", "line", "col"]
+
+    def __init__(self):
+        self.doc: list[int | None] = []
+        for c in self.PLAIN:
+            setattr(self, c, [])
+        self.path, self.path_end = [], []
+        # per attribute: pos, name, value, declared type; per namespace: pos, prefix, normprefix, uri
+        self.attrs: tuple[list, ...] = ([], [], [], [])
+        self.attrs_end: list[int] = []
+        self.ns: tuple[list, ...] = ([], [], [], [])
+        self.ns_end: list[int] = []
+
+    def _lists(self) -> list[list]:
+        return [self.doc, *(getattr(self, c) for c in self.PLAIN), self.path, self.path_end, *self.attrs, self.attrs_end, *self.ns, self.ns_end]
+
+    def __len__(self) -> int:
+        return len(self.pre)
+
+    def mark(self) -> list[int]:
+        return [len(x) for x in self._lists()]
+
+    def reset(self, mark: list[int]) -> None:
+        for x, n in zip(self._lists(), mark):
+            del x[n:]
+
+
+class _NodeReader(_Reader):
+    """Builds rows of nodes while it reads; an element's row is completed at its end."""
+
+    def __init__(self, options: Options, to: Columns):
+        super().__init__(options)
+        self.to = to
+        self.first = len(to)
+        self.texts: list[str] = []
+        self.data = -1  # the row of the text that may still grow
+        # of the open elements: row, children so far, texts before, path
+        self.open: list[list] = []
+        self.scope: list[tuple[str, str, str]] = []
+        self._row("super_root", None, None)
+        self.open.append([self.first, 0, 0, []])
+
+    def _row(self, kind: str, name: str | None, value: str | None) -> int:
+        to, row = self.to, len(self.to)
+        to.pre.append(row - self.first)
+        to.fin.append(row - self.first)
+        to.kind.append(kind)
+        to.name.append(name)
+        to.value.append(value)
+        if self.open:
+            top = self.open[-1]
+            to.parent.append(top[0] - self.first)
+            to.level.append(len(self.open))
+            to.pos.append(top[1])
+            to.path += top[3]
+            to.path.append(top[1])
+            top[1] += 1
+            to.line.append(self.active.CurrentLineNumber)
+            to.col.append(self.active.CurrentColumnNumber)
+        else:
+            to.parent.append(None)
+            to.level.append(0)
+            to.pos.append(0)
+            to.line.append(1)
+            to.col.append(0)
+        to.path_end.append(len(to.path))
+        to.attrs_end.append(len(to.attrs[0]))
+        to.ns_end.append(len(to.ns[0]))
+        self.data = -1
+        return row
+
+    def put(self, kind: str, name: str | None = None, value: str | None = None, attrs=(), scope=None) -> None:
+        to = self.to
+        if kind == "start_tag":
+            path = [*self.open[-1][3], self.open[-1][1]]
+            row = self._row("element", name, None)
+            for k, (n, v) in enumerate(attrs):
+                for column, x in zip(to.attrs, (k, n, v, self.att_types.get((name, n), "CDATA"))):
+                    column.append(x)
+            to.attrs_end[-1] = len(to.attrs[0])
+            for k, names in enumerate(scope or ()):
+                for column, x in zip(to.ns, (k, *names)):
+                    column.append(x)
+            to.ns_end[-1] = len(to.ns[0])
+            self.open.append([row, 0, len(self.texts), path])
+        elif kind == "end_tag":
+            row, _, texts, _ = self.open.pop()
+            self._close(row, texts)
+        elif kind in ("pinstr", "comment"):
+            self._row(kind, name, value)
+
+    def _close(self, row: int, texts: int) -> None:
+        self.to.fin[row] = len(self.to) - 1 - self.first
+        self.to.value[row] = "".join(self.texts[texts:])
+        self.data = -1
+
+    def text(self, data) -> None:
+        self.grow(len(data))
+        self.texts.append(data)
+        if self.data >= 0:
+            self.to.value[self.data] += data
+        else:
+            self.data = self._row("data", None, data)
+
+
+def read_nodes(doc: int | None, xml: str | None, options: Options, to: Columns) -> bool:
+    """Append the nodes of a document; nothing, and False, if it isn't well-formed."""
+    mark = to.mark()
+    r = _NodeReader(options, to)
+    try:
+        r.parse(xml)
+    except (expat.ExpatError, ValueError):
+        to.reset(mark)
+        return False
+    r._close(r.first, 0)
+    to.doc += [doc] * (len(to) - r.first)
+    return True
+
+
+def split_name(name: str) -> tuple[str, str]:
+    prefix, colon, local = name.partition(":")
+    return (prefix, local) if colon else ("", name)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sylva import ship
 
-from .parser import Options, read, split_name, tree
+from .parser import Columns, Options, read, read_nodes, split_name
 
 EVENTS = "doc_id long, seq long, kind string, name string, value string, attrs array<struct<name:string,value:string>>, line int, col int"
 
@@ -65,8 +65,7 @@ def parse_events(docs: DataFrame, options: Options = Options()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for doc, xml in _documents(batches):
-                events, _ = read(xml, options)
-                for seq, e in enumerate(events):
+                for seq, e in enumerate(read(xml, options)):
                     yield doc, seq, e.kind, e.name, e.value, [{"name": n, "value": v} for n, v in e.attrs], e.line, e.col
 
         return _emit(rows(), _EVENT_TYPES, _names(EVENTS))
@@ -75,26 +74,56 @@ def parse_events(docs: DataFrame, options: Options = Options()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "xml").mapInArrow(run, EVENTS)
 
 
+def _list(ends: list[int], fields: pa.StructType, columns: list) -> pa.ListArray:
+    parts = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields)]
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.StructArray.from_arrays(parts, fields=list(fields)))
+
+
+def _batch(rows: Columns, namespaces: bool) -> pa.RecordBatch:
+    """Rows of nodes with the parts of their names."""
+    pos, names, values, types = rows.attrs
+    if namespaces:
+        own = [split_name(n) if n is not None else ("", None) for n in rows.name]
+        prefix, local, uri = [p for p, _ in own], [n for _, n in own], _uris(rows.doc, [p for p, _ in own], rows)
+        parts = [split_name(n) for n in names]
+        owner = [d for d, a, b in zip(rows.doc, [0, *rows.attrs_end], rows.attrs_end) for _ in range(b - a)]
+        attr_uri = _uris(owner, [p for p, _ in parts], rows)
+        a_prefix, a_local = [p for p, _ in parts], [n for _, n in parts]
+    else:
+        prefix = uri = pa.repeat("", len(rows))
+        a_prefix = attr_uri = pa.repeat("", len(names))
+        local = rows.name
+        names = a_local = pa.array(names, pa.string())
+    paths = pa.ListArray.from_arrays(pa.array([0, *rows.path_end], pa.int32()), pa.array(rows.path, pa.int32()))
+    attrs = _list(rows.attrs_end, _ATTR, [pos, names, a_prefix, a_local, attr_uri, types, values])
+    ns = _list(rows.ns_end, _NS, list(rows.ns))
+    columns = [rows.doc, rows.pre, rows.fin, rows.level, rows.parent, rows.pos, paths, rows.kind, rows.name, prefix, local, uri, rows.value, attrs, ns, rows.line, rows.col]
+    return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _NODE_TYPES)], names=_names(NODES))
+
+
+def _uris(docs: list, prefixes: list[str], rows: Columns) -> list[str]:
+    """The URI of each normalised prefix: one for a prefix within a document."""
+    known = {}
+    for d, a, b in zip(rows.doc, [0, *rows.ns_end], rows.ns_end):
+        for k in range(a, b):
+            known[d, rows.ns[2][k]] = rows.ns[3][k]
+    return [known.get((d, p), "") if p else "" for d, p in zip(docs, prefixes)]
+
+
 def parse_nodes(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """One row for each node of the well-formed documents, with attributes and
     in-scope namespaces as arrays; ``pre`` is the rank in document order and ``fin``
     the largest ``pre`` below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for doc, xml in _documents(batches):
-                nodes = tree(*read(xml, options)) or ()
-                for n in nodes:
-                    uris = {p: u for _, p, u in n.scope}
-                    prefix, local = split_name(n.name) if n.name and options.namespaces else ("", n.name)
-                    attrs = []
-                    for k, (a, v, t) in enumerate(n.attrs):
-                        p, rest = split_name(a) if options.namespaces else ("", a)
-                        attrs.append({"pos": k, "name": a, "prefix": p, "local": rest, "uri": uris.get(p, "") if p else "", "type": t, "value": v})
-                    ns = [{"pos": k, "prefix": p, "normprefix": np, "uri": u} for k, (p, np, u) in enumerate(n.scope)]
-                    yield doc, n.pre, n.fin, n.level, n.parent, n.pos, n.path, n.kind, n.name, prefix, local, uris.get(prefix, "") if prefix else "", n.value, attrs, ns, n.line, n.col
-
-        return _emit(rows(), _NODE_TYPES, _names(NODES))
+        rows = Columns()
+        for doc, xml in _documents(batches):
+            read_nodes(doc, xml, options, rows)
+            if len(rows) >= BATCH:
+                yield _batch(rows, options.namespaces)
+                rows = Columns()
+        if len(rows):
+            yield _batch(rows, options.namespaces)
 
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "xml").mapInArrow(run, NODES)

@@ -5,13 +5,12 @@ from hypothesis import strategies as st
 from sylva.operators import events as ev
 from sylva.operators import tree
 from sylva.sources.files import decode
-from sylva.sources.parser import Options, Prefixes, read
-from sylva.sources.parser import tree as build
+from sylva.sources.parser import Columns, Options, Prefixes, read, read_nodes
 from sylva.sources.xml import diagnostics, parse_events, parse_nodes
 
 
 def kinds(xml, **options):
-    return [(e.kind, e.name, e.value) for e in read(xml, Options(**options))[0]]
+    return [(e.kind, e.name, e.value) for e in read(xml, Options(**options))]
 
 
 def test_events_of_a_document():
@@ -32,27 +31,27 @@ MALFORMED = ["<doc", "<doc><a</a></doc>", "<a></b>", "<a/><b/>", "text", "<a x=1
 
 @pytest.mark.parametrize("xml", MALFORMED)
 def test_malformed_ends_with_an_error(xml):
-    events, types = read(xml, Options())
+    events, rows = read(xml, Options()), Columns()
     assert events[-1].kind == "error" and events[-1].name == "Well-formedness"
-    assert build(events, types) is None
+    assert not read_nodes(1, xml, Options(), rows) and not any(rows._lists())
 
 
 def test_error_positions():
-    e = read("<doc>\n  <a</a></doc>", Options())[0][-1]
+    e = read("<doc>\n  <a</a></doc>", Options())[-1]
     assert e.line == 2
 
 
 def test_entities_come_from_the_catalog_only():
     xml = "<!DOCTYPE a SYSTEM 'd.dtd' [<!ENTITY e SYSTEM 'e.xml'>]><a>&e;</a>"
     catalog = {"d.dtd": "<!ATTLIST a k CDATA 'v'>", "e.xml": "<b>in</b>"}
-    events = read(xml, Options(catalog=catalog))[0]
+    events = read(xml, Options(catalog=catalog))
     assert [(e.kind, e.name, e.attrs) for e in events if e.kind == "start_tag"] == [("start_tag", "a", [("k", "v")]), ("start_tag", "b", [])]
-    assert read(xml, Options(catalog={"d.dtd": ""}))[0][-1].kind == "error"
+    assert read(xml, Options(catalog={"d.dtd": ""}))[-1].kind == "error"
 
 
 def test_expansion_is_bounded():
     bombs = "".join(f"<!ENTITY e{k} '{f'&e{k - 1};' * 10 if k else 'x' * 1000}'>" for k in range(9))
-    assert read(f"<!DOCTYPE a [{bombs}]><a>&e8;</a>", Options())[0][-1].kind == "error"
+    assert read(f"<!DOCTYPE a [{bombs}]><a>&e8;</a>", Options())[-1].kind == "error"
 
 
 def test_prefixes():
@@ -61,11 +60,11 @@ def test_prefixes():
 
 
 def test_namespaces():
-    e = read('<a xmlns="u" xmlns:p="v"><p:b p:x="1" y="2"/></a>', Options(namespaces=True))[0]
+    e = read('<a xmlns="u" xmlns:p="v"><p:b p:x="1" y="2"/></a>', Options(namespaces=True))
     (a, b) = [x for x in e if x.kind == "start_tag"]
     assert a.name == "1:a" and b.name == "p:b" and b.attrs == [("p:x", "1"), ("y", "2")]
-    assert read("<q:a/>", Options(namespaces=True))[0][-1].name == "Namespace"
-    assert read('<a xmlns:p="u" xmlns:q="u" p:x="" q:x=""/>', Options(namespaces=True))[0][-1].name == "Namespace"
+    assert read("<q:a/>", Options(namespaces=True))[-1].name == "Namespace"
+    assert read('<a xmlns:p="u" xmlns:q="u" p:x="" q:x=""/>', Options(namespaces=True))[-1].name == "Namespace"
 
 
 def test_encodings():
@@ -74,7 +73,7 @@ def test_encodings():
     assert decode("<a>é</a>".encode("utf-16")) == "<a>é</a>"
     assert decode("<a>é</a>".encode()) == "<a>é</a>" and decode(b"\xff\xfe\xff") is None
     assert decode("<a>é</a>".encode("cp1250"), "cp1250") == "<a>é</a>"
-    assert read(text, Options())[0][-1].kind == "end_of_stream"
+    assert read(text, Options())[-1].kind == "end_of_stream"
 
 
 NAMES = st.sampled_from(["a", "b", "c"])
