@@ -208,6 +208,15 @@ class Dtd:
             out.append(f"<!ATTLIST {a.element} {a.name} {kind} {default}>")
         return "".join(x + "\n" for x in out)
 
+    def write_reference(self, system: str | None = None, public: str | None = None) -> str:
+        """A DOCTYPE that refers to the declarations, or that has none."""
+        where = f' PUBLIC "{public}" "{system}"' if public else f' SYSTEM "{system}"' if system else ""
+        return f"<!DOCTYPE {self.root}{where}>\n"
+
+    def write_included(self) -> str:
+        """A DOCTYPE with the declarations inside."""
+        return f"<!DOCTYPE {self.root} [\n{self.write()}]>\n"
+
     # ---- checks on the declarations themselves
 
     def validate(self) -> list[str]:
@@ -469,3 +478,11 @@ def doctype(xml: str) -> tuple[str | None, str | None, str | None, str]:
     strip = lambda q: q[1:-1] if q else None
     subset = re.compile(r"""\[((?:[^\]"'<]|"[^"]*"|'[^']*'|<!--.*?-->|<\?.*?\?>|<!(?:[^"'>]|"[^"]*"|'[^']*')*>)*)\]""", re.S).match(xml, m.end())
     return m[1], strip(m[2]), strip(m[3] or m[4]), subset[1] if subset else ""
+
+
+def dtd_of(xml: str, catalog: dict[str, str] | None = None) -> Dtd:
+    """The DTD of a document: its internal subset, then the external one from the
+    catalog."""
+    root, public, system, internal = doctype(xml)
+    known = catalog or {}
+    return parse_dtd(known.get(system, known.get(public, "")), internal, root, known)

@@ -129,6 +129,16 @@ def write(events: DataFrame, column: str = "xml") -> DataFrame:
     return parts.groupBy("doc_id").agg(joined.alias(column))
 
 
+def write_documents(events: DataFrame, dtd=None, style: str = "omit", system: str | None = None, column: str = "xml") -> DataFrame:
+    """Whole documents with an XML declaration. ``style``: ``omit`` the DOCTYPE,
+    ``reference`` the declarations, ``include`` them, or ``auto``: refer to them where
+    there is a system id."""
+    if style == "auto":
+        style = "reference" if system else "include" if dtd is not None else "omit"
+    head = {"omit": lambda: "", "reference": lambda: dtd.write_reference(system), "include": lambda: dtd.write_included()}[style]()
+    return write(events, column).withColumn(column, F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n{head}'), column))
+
+
 def display(events: DataFrame, prefixes: DataFrame, column: str = "xml") -> DataFrame:
     """Like ``write`` with display prefixes: ``prefixes`` (doc_id, normprefix, display,
     uri) renames them, and the root declares them all. An empty display prefix is

@@ -91,6 +91,11 @@ class Validator:
         )
         return rows.select("doc_id", F.col("at").alias("pre"), kind.alias("class"))
 
+    def drop_ignorable(self) -> DataFrame:
+        """The nodes without blanks in element content (not numbered anew)."""
+        gone = self.classify().filter("class = 'IGNORABLE'").select("doc_id", "pre")
+        return self.nodes.join(gone, ["doc_id", "pre"], "left_anti").select(*self.nodes.columns)
+
     def typed(self) -> DataFrame:
         """Every specified or declared attribute of every element: (doc_id, pre,
         element, name, raw, specified, type, allowed, default_kind, default_value,

@@ -24,23 +24,30 @@ from .path import BOOLEAN, NODESET, NUMBER, REVERSE, STRING, Binary, Call, Filte
 
 #: Columns of a node; (doc, pre, sub, apos) identifies it and orders a document:
 #: an element (sub 0), its namespaces (1), its attributes (2), its children.
-NODE = ["doc", "pre", "sub", "apos", "fin", "parent", "pos", "kind", "name", "prefix", "local", "uri", "type", "sv"]
+NODE = ["doc", "pre", "sub", "apos", "fin", "parent", "pos", "kind", "name", "prefix", "local", "uri", "qname", "type", "sv"]
 KEY = ["doc", "pre", "sub", "apos"]
 
 
 def node_table(nodes: DataFrame, irregular: bool = True) -> DataFrame:
     """All nodes in one table, attributes and namespaces among them."""
     none, zero = F.lit(None).cast("string"), F.lit(0)
+
+    def qname() -> Column:
+        """The name with the prefix that the document has for it."""
+        shown = F.get(F.filter("ns", lambda n: n["normprefix"] == F.col("prefix")), 0)["prefix"]
+        shown = F.coalesce(shown, F.col("prefix"))
+        return F.when(shown == "", F.coalesce("local", "name")).otherwise(F.concat(shown, F.lit(":"), "local"))
+
     regular = nodes.select(
-        F.col("doc_id").alias("doc"), "pre", zero.alias("sub"), zero.alias("apos"), "fin", "parent", "pos", "kind", "name", "prefix", "local", "uri", none.alias("type"), F.coalesce("value", F.lit("")).alias("sv")
+        F.col("doc_id").alias("doc"), "pre", zero.alias("sub"), zero.alias("apos"), "fin", "parent", "pos", "kind", "name", "prefix", "local", "uri", qname().alias("qname"), none.alias("type"), F.coalesce("value", F.lit("")).alias("sv")
     )
     if not irregular:
         return regular
     own = ["doc_id", F.col("pre").alias("owner")]
-    attrs = nodes.filter(F.size("attrs") > 0).select(*own, F.inline("attrs"))
-    a = attrs.select(F.col("doc_id").alias("doc"), F.col("owner").alias("pre"), F.lit(2).alias("sub"), F.col("pos").alias("apos"), F.col("owner").alias("fin"), F.col("owner").alias("parent"), F.lit(-1).alias("pos"), F.lit("attribute").alias("kind"), "name", "prefix", "local", "uri", "type", F.col("value").alias("sv"))
+    attrs = nodes.filter(F.size("attrs") > 0).select(*own, "ns", F.inline("attrs"))
+    a = attrs.select(F.col("doc_id").alias("doc"), F.col("owner").alias("pre"), F.lit(2).alias("sub"), F.col("pos").alias("apos"), F.col("owner").alias("fin"), F.col("owner").alias("parent"), F.lit(-1).alias("pos"), F.lit("attribute").alias("kind"), "name", "prefix", "local", "uri", qname().alias("qname"), "type", F.col("value").alias("sv"))
     spaces = nodes.filter(F.size("ns") > 0).select(*own, F.inline("ns"))
-    n = spaces.select(F.col("doc_id").alias("doc"), F.col("owner").alias("pre"), F.lit(1).alias("sub"), F.col("pos").alias("apos"), F.col("owner").alias("fin"), F.col("owner").alias("parent"), F.lit(-2).alias("pos"), F.lit("namespace").alias("kind"), F.col("prefix").alias("name"), F.lit("").alias("prefix"), F.col("prefix").alias("local"), F.lit("").alias("uri"), none.alias("type"), F.col("uri").alias("sv"))
+    n = spaces.select(F.col("doc_id").alias("doc"), F.col("owner").alias("pre"), F.lit(1).alias("sub"), F.col("pos").alias("apos"), F.col("owner").alias("fin"), F.col("owner").alias("parent"), F.lit(-2).alias("pos"), F.lit("namespace").alias("kind"), F.col("prefix").alias("name"), F.lit("").alias("prefix"), F.col("prefix").alias("local"), F.lit("").alias("uri"), F.col("prefix").alias("qname"), none.alias("type"), F.col("uri").alias("sv"))
     return regular.unionByName(a).unionByName(n)
 
 
@@ -373,7 +380,7 @@ class Evaluator:
         if e.name == "sum":
             return self._aggregate(e.args[0], rel, F.sum(fn.to_number(F.col("sv"))), 0.0)
         if e.name in ("local-name", "namespace-uri", "name"):
-            col = {"local-name": "local", "namespace-uri": "uri", "name": "name"}[e.name]
+            col = {"local-name": "local", "namespace-uri": "uri", "name": "qname"}[e.name]
             if not e.args:
                 return rel, F.coalesce(F.when(F.col("kind").isin("element", "attribute", "pinstr", "namespace"), F.col(col)), F.lit(""))
             return self._aggregate(e.args[0], rel, F.min_by(F.coalesce(col, F.lit("")), F.struct("pre", "sub", "apos")), "")

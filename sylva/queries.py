@@ -335,7 +335,7 @@ def _(spark, sf):
     from sylva.streaming.filters import norm_cdata_stream
 
     e = parse_events(corpora.geo(spark, sf)).select("doc_id", "seq", "kind", "name", "value")
-    path, out = store.shared_path(e, "events"), store.shared_path(e, "stream")
+    path, out = store.shared_path(spark, "events"), store.shared_path(spark, "stream")
     store.save(e, path)
     stream = norm_cdata_stream(spark.readStream.schema(e.schema).parquet(path))
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()

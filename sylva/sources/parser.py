@@ -9,6 +9,7 @@ Errors never raise out of here: they are the last event of a document.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
@@ -27,10 +28,14 @@ class Options:
     pinstr: bool = True
     super_root: bool = True
     positions: bool = True
-    #: ``document``, or ``content`` for a fragment with one element at its top
+    #: ``document``; ``content`` for a fragment with one element at its top; ``expr``
+    #: for elements, instructions, comments or text in the middle of one
     entry: str = "document"
-    #: system or public id -> text of an external entity
-    catalog: dict = field(default_factory=dict)
+    #: system or public id -> text of an external entity, or a function of both ids
+    catalog: dict | Callable[[str | None, str | None], str | None] = field(default_factory=dict)
+    #: what stands for each of { {{ } }} in character data and in attribute values
+    escape_contents: Callable[[str], str] | None = None
+    escape_attributes: Callable[[str], str] | None = None
 
 
 @dataclass
@@ -76,7 +81,8 @@ class _Reader:
         self.scopes: list[dict[str, str]] = [{"xml": XML_URI}]
         self.names: list[str] = []
         self.expanded = 0
-        self.id_attrs: set[tuple[str, str]] = set()
+        # the element put around an expression isn't shown
+        self.wrapped = options.entry == "expr"
         self.att_types: dict[tuple[str, str], str] = {}
         self._hook(self.parser)
 
@@ -101,7 +107,8 @@ class _Reader:
         self.att_types.setdefault((element, name), kind)
 
     def external(self, context, base, system_id, public_id) -> int:
-        text = self.o.catalog.get(system_id, self.o.catalog.get(public_id))
+        find = self.o.catalog
+        text = find(system_id, public_id) if callable(find) else find.get(system_id, find.get(public_id))
         if text is None:
             return 0
         self.expanded += len(text)
@@ -127,6 +134,13 @@ class _Reader:
 
     def start(self, name, flat) -> None:
         attrs = list(zip(flat[::2], flat[1::2]))
+        if self.o.escape_attributes:
+            attrs = [(n, self.braces(v, self.o.escape_attributes)) for n, v in attrs]
+        if self.wrapped:
+            self.wrapped = False
+            self.names.append(name)
+            self.scopes.append(self.scopes[-1])
+            return
         if not self.o.namespaces:
             self.names.append(name)
             self.put("start_tag", name=name, attrs=attrs)
@@ -153,7 +167,13 @@ class _Reader:
     def end(self, name) -> None:
         if self.o.namespaces:
             self.scopes.pop()
-        self.put("end_tag", name=self.names.pop())
+        opened = self.names.pop()
+        if self.names or self.o.entry != "expr":
+            self.put("end_tag", name=opened)
+
+    @staticmethod
+    def braces(text: str, escape: Callable[[str], str]) -> str:
+        return re.sub(r"\{\{|\}\}|\{|\}", lambda m: escape(m[0]), text)
 
     def grow(self, n: int) -> None:
         self.expanded += n
@@ -163,10 +183,15 @@ class _Reader:
     def parse(self, xml: str | None) -> None:
         if xml is None:
             raise ValueError("no document")
+        if self.o.entry == "expr":
+            self.parser.Parse(f"<expr>{xml}</expr>".encode(), True)
+            return
         # the text is decoded already: what an XML declaration says of bytes is past
         self.parser.Parse(re.sub(r"""^(<\?xml[^>]*?)\s+encoding\s*=\s*("[^"]*"|'[^']*')""", r"\1", xml, count=1).encode("utf-8"), True)
 
     def text(self, data) -> None:
+        if self.o.escape_contents:
+            data = self.braces(data, self.o.escape_contents)
         self.grow(len(data))
         if self.events and self.events[-1].kind == "char_data":
             self.events[-1].value += data
@@ -309,6 +334,8 @@ class _NodeReader(_Reader):
         self.data = -1
 
     def text(self, data) -> None:
+        if self.o.escape_contents:
+            data = self.braces(data, self.o.escape_contents)
         self.grow(len(data))
         self.texts.append(data)
         if self.data >= 0:

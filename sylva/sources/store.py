@@ -1,21 +1,40 @@
-"""Node and event tables kept as Parquet in the folder that the cluster shares."""
+"""Tables kept as Parquet in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Paths given out in this process, for ``sweep``.
+_given: list[str] = []
 
-def shared_path(df: DataFrame, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir (a temporary folder where unset)."""
-    conf = df.sparkSession.conf
-    at = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sylva.store.dir", None)
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only where it names none (tests on one
+    machine) a temporary folder is made, and recorded in the session's settings."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sylva.store.dir", None)
     if not at:
         at = tempfile.mkdtemp(prefix="sylva-")
-        conf.set("spark.sylva.store.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.sylva.store.dir", at)
+    return at.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    _given.append(f"{shared_dir(spark)}/sylva-{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what this process stored, when no result that reads it is needed any
+    more; gives the number of tables."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _given:
+        path = jvm.org.apache.hadoop.fs.Path(_given.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def save(df: DataFrame, path: str) -> None:
@@ -29,6 +48,6 @@ def load(like: DataFrame, path: str) -> DataFrame:
 
 
 def roundtrip(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df, name)
+    path = shared_path(df.sparkSession, name)
     save(df, path)
     return load(df, path)

@@ -3,9 +3,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sylva.operators.dtd import DtdError, deterministic, doctype, parse_dtd, parse_model, parse_option, regex_of
+from sylva.operators import events as ev
+from sylva.operators import tree
+from sylva.operators.dtd import DtdError, deterministic, doctype, dtd_of, parse_dtd, parse_model, parse_option, regex_of
 from sylva.operators.validate import Validator
-from sylva.sources.xml import parse_nodes
+from sylva.sources.xml import parse_events, parse_nodes
 
 
 def model(text):
@@ -78,6 +80,19 @@ def test_twice_and_predefined():
     assert parse_dtd("<!ATTLIST a xml:space CDATA 'x'>").validate() == ["Declaration of attribute `xml:space' does not conform to XML specification"]
 
 
+def test_documents_with_doctypes(spark):
+    xml = "<!DOCTYPE r SYSTEM 's' [<!ELEMENT r (t)>]><r> <t>x</t></r>"
+    d = dtd_of(xml, {"s": "<!ELEMENT t (#PCDATA)><!ATTLIST t k CDATA 'v'>"})
+    assert d.root == "r" and list(d.elements) == ["r", "t"] and d.elements["t"].external
+    docs = spark.createDataFrame([(1, "<r> <t>x</t></r>")], "doc_id long, xml string")
+    events = parse_events(docs)
+    written = {s: ev.write_documents(events, d, s, "s").first().xml for s in ("omit", "reference", "include", "auto")}
+    assert written["omit"] == '<?xml version="1.0" encoding="UTF-8"?>\n<r> <t>x</t></r>' and written["auto"] == written["reference"] and '<!DOCTYPE r SYSTEM "s">' in written["auto"]
+    assert list(dtd_of(written["include"]).elements) == ["r", "t"]
+    bare = Validator(parse_nodes(docs), d).drop_ignorable()
+    assert ev.write(tree.liquefy(bare)).first().xml == "<r><t>x</t></r>"
+
+
 def test_doctype_and_options():
     assert doctype('<!DOCTYPE a PUBLIC "p" "s" [<!ENTITY x "]">] ><a/>') == ("a", "p", "s", '<!ENTITY x "]">')
     assert doctype("<a/>") == (None, None, None, "")

@@ -49,6 +49,21 @@ def test_entities_come_from_the_catalog_only():
     assert read(xml, Options(catalog={"d.dtd": ""}))[-1].kind == "error"
 
 
+def test_catalog_functions_and_braces():
+    xml = "<!DOCTYPE a [<!ENTITY e SYSTEM 'e.xml'>]><a k='{{x}'>&e;{</a>"
+    o = Options(catalog=lambda system, public: f"<b>{system}</b>", escape_contents=lambda t: {"{": "(", "}": ")"}.get(t, t[0]), escape_attributes=lambda t: t[0])
+    e = read(xml, o)
+    assert [(x.kind, x.name, x.value, x.attrs) for x in e if x.kind in ("start_tag", "char_data")] == [("start_tag", "a", None, [("k", "{x}")]), ("start_tag", "b", None, []), ("char_data", None, "e.xml", []), ("char_data", None, "(", [])]
+
+
+def test_expressions(spark):
+    got = [(e.kind, e.name, e.value) for e in read("<!--c-->t<b/>", Options(entry="expr", super_root=False))]
+    assert got == [("start_doc", None, None), ("comment", None, "c"), ("char_data", None, "t"), ("start_tag", "b", None), ("end_tag", "b", None), ("end_doc", None, None), ("end_of_stream", None, None)]
+    docs = spark.createDataFrame([(1, "<?p q?><b>x</b>y")], "doc_id long, xml string")
+    assert [(r.pre, r.fin, r.level, r.kind, r.value) for r in parse_nodes(docs, Options(entry="expr")).orderBy("pre").collect()] == [(0, 4, 0, "super_root", "xy"), (1, 1, 1, "pinstr", "q"), (2, 3, 1, "element", "x"), (3, 3, 2, "data", "x"), (4, 4, 1, "data", "y")]
+    assert read("<b>", Options(entry="expr"))[-1].kind == "error"
+
+
 def test_expansion_is_bounded():
     bombs = "".join(f"<!ENTITY e{k} '{f'&e{k - 1};' * 10 if k else 'x' * 1000}'>" for k in range(9))
     assert read(f"<!DOCTYPE a [{bombs}]><a>&e8;</a>", Options())[-1].kind == "error"

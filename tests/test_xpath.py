@@ -73,6 +73,8 @@ def test_namespaces(spark):
     assert xpath(docs, "string(//@p:c)", on).first().value == "1"
     assert xpath(docs, "namespace-uri(//@p:c)", on).first().value == "u"
     assert xpath(docs, "count(/*/namespace::*)", on).first().value == 3.0
+    # names are shown with the prefixes of the document
+    assert [xpath(docs, f"name({p})", on).first().value for p in ("/*", "//*[local-name()='b'][1]", "//@p:c", "//*[2]/@*")] == ["p:a", "b", "p:c", ""]
 
 
 @pytest.mark.parametrize("path", ["", "//", "a[", "f(", "nosuch(1)", "count()", "a b", "$v", "a/b::c", "concat('x')", "1 2"])
