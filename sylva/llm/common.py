@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva import ship
+from sylva.sources.store import shared_path
 
 #: Arrow batches are bounded by rows and bytes, so that very long texts don't
 #: pile up in a Python worker.
@@ -28,26 +26,11 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and recorded in the session's settings.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("spark.sylva.scratch.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="sylva-")
-        spark.conf.set("spark.sylva.scratch.dir", at)
-    return at.rstrip("/")
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     so that a lost executor repeats nothing before this point."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sylva-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
