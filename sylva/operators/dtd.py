@@ -11,6 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The most declarations of one kind that are broadcast.
+DTD_ROWS = 20_000
+
 NAME = r"[^\W\d][\w.\-:]*"
 
 

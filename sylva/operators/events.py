@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from sylva.functions.text import canonical, only_space
 
+from .dtd import DTD_ROWS
+
 WRAPPING = ["start_doc", "end_doc", "start_super", "end_super", "end_of_stream", "position"]
 
 
@@ -61,7 +63,9 @@ def with_parent(events: DataFrame) -> DataFrame:
 def drop_ignorable_whitespace(events: DataFrame, dtd_elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blank character data in elements that take only elements goes. Second: a
     diagnostic for each other text there."""
-    rows = with_parent(events).join(F.broadcast(dtd_elements.select(F.col("name").alias("parent_name"), "model_kind")), "parent_name", "left")
+    models = dtd_elements.select(F.col("name").alias("parent_name"), "model_kind")
+    few = models.limit(DTD_ROWS + 1).count() <= DTD_ROWS
+    rows = with_parent(events).join(F.broadcast(models) if few else models, "parent_name", "left")
     ruled = (F.col("kind") == "char_data") & (F.col("model_kind") == "regexp")
     blank = only_space(F.col("value"))
     bad = rows.filter(ruled & ~blank).select("doc_id", "seq", F.concat(F.lit("Element `"), F.col("parent_name"), F.lit("' must not have character contents")).alias("message"))

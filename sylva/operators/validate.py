@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions.text import SPACE, normalize_space, only_space, tokens
 
-from .dtd import Dtd
-
-#: The most declarations of one kind that are broadcast.
-DTD_ROWS = 20_000
+from .dtd import DTD_ROWS, Dtd
 
 LEXICAL = {
     "ID": r"^[^\W\d][\w.\-:]*$", "IDREF": r"^[^\W\d][\w.\-:]*$", "ENTITY": r"^[^\W\d][\w.\-:]*$",

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sylva import ship
 from sylva.functions import build, text
 from sylva.functions import xpath as fn
 from sylva.operators import events as ev
@@ -114,6 +115,7 @@ def _(spark, sf):
 
 @query("uri_normalize")
 def _(spark, sf):
+    ship(spark)
     p = corpora.table(spark, sf, "pages")
     return p.select("page_id", uri.normalize_column(F.concat("url", F.lit("/../a//./b%7e")), F.lit("http://base.example/x/")).alias("uri"))
 
