@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: The most declarations of one kind that are broadcast.
 DTD_ROWS = 20_000
 
-NAME = r"[^\W\d][\w.\-:]*"
+NAME = r"(?:[^\W\d]|:)[\w.\-:·]*"
 
 
 class DtdError(ValueError):
@@ -253,7 +253,7 @@ class Dtd:
 
 def lexical(kind: str, value: str, allowed: list[str]) -> bool:
     """Whether a normalised value has the form of its type."""
-    token = r"[\w.\-:]+"
+    token = r"[\w.\-:·]+"
     if kind in ("ID", "IDREF", "ENTITY"):
         return bool(re.fullmatch(NAME, value))
     if kind in ("IDREFS", "ENTITIES"):

@@ -12,10 +12,12 @@ from sylva.functions.text import SPACE, normalize_space, only_space, tokens
 
 from .dtd import DTD_ROWS, Dtd
 
+_NAME, _TOKEN = r"(?:[^\W\d]|:)[\w.\-:·]*", r"[\w.\-:·]+"
+#: The form of normalised values by type; names may have letters of any script.
 LEXICAL = {
-    "ID": r"^[^\W\d][\w.\-:]*$", "IDREF": r"^[^\W\d][\w.\-:]*$", "ENTITY": r"^[^\W\d][\w.\-:]*$",
-    "IDREFS": r"^[^\W\d][\w.\-:]*( [^\W\d][\w.\-:]*)*$", "ENTITIES": r"^[^\W\d][\w.\-:]*( [^\W\d][\w.\-:]*)*$",
-    "NMTOKEN": r"^[\w.\-:]+$", "NMTOKENS": r"^[\w.\-:]+( [\w.\-:]+)*$",
+    "ID": f"(?U)^{_NAME}$", "IDREF": f"(?U)^{_NAME}$", "ENTITY": f"(?U)^{_NAME}$",
+    "IDREFS": f"(?U)^{_NAME}( {_NAME})*$", "ENTITIES": f"(?U)^{_NAME}( {_NAME})*$",
+    "NMTOKEN": f"(?U)^{_TOKEN}$", "NMTOKENS": f"(?U)^{_TOKEN}( {_TOKEN})*$",
 }
 
 

@@ -119,6 +119,7 @@ CASES = {
     "<r><e req='1' k='z'/></r>": ["Attribute `k' is lexically malformed"],
     "<r><e req='1' k=' y '/></r>": [],
     "<r><e req='1' f='g'/></r>": ["Attribute `f' is fixed, but has here a different value"],
+    "<r><e req='1' id='é日1'/><e req='1' id=':x'/></r>": [],
     "<r><e req='1' id='1x'/></r>": ["Attribute `id' is lexically malformed"],
     "<r><e req='1' id='a'/><e req='1' id='a'/></r>": ["ID not unique"],
     "<r><e req='1' id='a' ref='a  b'/><e req='1' id='b'/></r>": [],
