@@ -18,8 +18,9 @@ from array import array
 
 _GLUE = re.compile(r"\s ")
 
-#: Chunks and pieces kept by a worker (about 200 bytes each); when full, it starts anew.
-CACHE_CHUNKS = 1_500_000
+#: Chunks and pieces kept by a worker (about 200 bytes each). What isn't seen while
+#: half of them come up is forgotten.
+CACHE_CHUNKS = 600_000
 #: Longer chunks aren't kept.
 CACHE_CHARS = 64
 
@@ -60,12 +61,16 @@ class _Known(dict):
 
     def __init__(self, tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model.tokenize
+        self.older: dict[str, bytes] = {}
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in printed]
         # the printable character that stands for each byte in the vocabulary
         self.shown = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(other)}
 
     def __missing__(self, text: str) -> bytes:
+        if (ids := self.older.get(text)) is not None:
+            self[text] = ids
+            return ids
         parts = _PIECES(text)
         if "".join(parts) != text:
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -100,7 +105,8 @@ class Encoder:
         if not self.chunked:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         kept = self.kept
-        if len(kept) > CACHE_CHUNKS:
+        if len(kept) > CACHE_CHUNKS // 2:
+            kept.older = dict(kept)
             kept.clear()
         get = kept.__getitem__
         return [b"".join(map(get, chunks(t))) if t else b"" for t in texts]
