@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -123,13 +123,13 @@ FOUND = T.StructType(
 _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, in lists of about ``block_bytes`` of text each."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Callable[[int], list[tuple[int, str]]]]:
+    """How many blocks of about ``block_bytes`` of text the items make, and a function
+    that gets the items of one: the driver holds a block at a time."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
+    return n, lambda k: [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
 
 def _searcher(items: list[tuple[int, str]], window: int):
@@ -151,15 +151,15 @@ def _searcher(items: list[tuple[int, str]], window: int):
 def annotate(docs: DataFrame, benchmark: DataFrame, column: str, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct ``column`` of n_words, hit spans and items."""
     tune(docs.sparkSession)
-    blocks = list(_blocks(benchmark, "item_id", "text", block_bytes)) if block_bytes else []
-    if len(blocks) == 1:
-        return docs.withColumn(column, _searcher(blocks[0], window)(F.col(text_col)))
+    n, block = _blocks(benchmark, "item_id", "text", block_bytes)
+    if n == 1:
+        return docs.withColumn(column, _searcher(block(0), window)(F.col(text_col)))
     # several blocks: the hits of each pass are few; they meet by the text's digest
     key, text = free_name(docs, "_text_key"), F.col(text_col)
     digest = F.sha2(F.coalesce(text, F.lit("")), 256)
     hits = None
-    for items in blocks:
-        one = docs.select(digest.alias(key), text.alias("t")).select(key, _searcher(items, window)("t").alias("f")).filter(F.size("f.items") > 0)
+    for k in range(n):
+        one = docs.select(digest.alias(key), text.alias("t")).select(key, _searcher(block(k), window)("t").alias("f")).filter(F.size("f.items") > 0)
         one = stage(one.groupBy(key).agg(F.first("f").alias("f")), "hits")
         hits = one if hits is None else hits.unionByName(one)
     joined = hits.groupBy(key).agg(F.max("f.n_words").alias("n"), F.flatten(F.collect_list("f.spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f.items")))).alias("i"))
