@@ -35,6 +35,8 @@ BLOCK = 512
 #: A segment is closed at the first document end after so many ids.
 SEGMENT_IDS = 1 << 18
 END_ID = 0
+#: Chunks that a worker keeps (about 200 bytes each): it does nothing else here.
+KEPT = 1_200_000
 _HEAD = struct.Struct("<4sIQQ")
 
 
@@ -117,7 +119,7 @@ def write_segments(docs: DataFrame, path: str | None = None, n_parts: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, number, first = encoder(path), TaskContext.get().partitionId(), 0, 0
+        enc, part, number, first = encoder(path, KEPT), TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
         names: list[int | None] = []
         held = 0

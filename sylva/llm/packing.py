@@ -33,6 +33,9 @@ CAPACITY = 2048
 OPEN_BINS = 4096
 WINDOW = 8192
 TASK_PIECES = 65_536
+#: Chunks that a worker keeps: fewer than by default, as packing often shares its
+#: executors' memory with other stages.
+KEPT = 300_000
 END_ID = 0
 
 
@@ -84,7 +87,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, KEPT)
         for batch in batches:
             out: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):

@@ -87,7 +87,8 @@ class _Known(dict):
 class Encoder:
     """Little-endian unsigned 32-bit ids of whole texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_CHUNKS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -105,18 +106,18 @@ class Encoder:
         if not self.chunked:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         kept = self.kept
-        if len(kept) > CACHE_CHUNKS // 2:
+        if len(kept) > self.most // 2:
             kept.older = dict(kept)
             kept.clear()
         get = kept.__getitem__
         return [b"".join(map(get, chunks(t))) if t else b"" for t in texts]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One per Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = CACHE_CHUNKS) -> Encoder:
+    """One per Python worker, file and size of what is kept."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
