@@ -135,7 +135,8 @@ def place(rows: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
 
     dealt = part.withColumn("_deal", F.xxhash64("doc_id", "piece", "ids_crc32"))
     packed = dealt.repartition(tasks, "_deal").sortWithinPartitions(*order).mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
-    alone = whole.select("*", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # ids of full pieces are negative, those of bins aren't
+    alone = whole.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
 
 

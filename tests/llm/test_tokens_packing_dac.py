@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sylva.llm import dac, packing
+from sylva.llm.common import stage
 from sylva.llm.tokens import Encoder, chunks, encoder, tokenizer_path
 
 from .conftest import ODD
@@ -110,3 +111,19 @@ def test_token_files(spark, odd, empty, plain):
     ordered = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
     assert ordered == sorted(ordered, key=lambda i: (i is not None, i or 0))
     assert dac.read_documents(dac.write_segments(empty)).count() == 0
+
+
+def test_full_pieces_of_many_partitions_share_no_sequence(spark):
+    rows = spark.createDataFrame([(i, k, 0, n, i) for i in range(140) for k, n in enumerate((2048, 700))], packing.PIECES)
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        staged = stage(rows.repartition(70), "many")
+        assert staged.rdd.getNumPartitions() > 64
+        found = packing.place(staged).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    held: dict = {}
+    for r in found:
+        held[r.sequence_id] = held.get(r.sequence_id, 0) + r.length
+    assert len(found) == 280 and max(held.values()) <= 2048
