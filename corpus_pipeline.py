@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import decontam, packing, quality, secrets, simhash
+from sylva.llm import decontam, packing, quality, secrets, similar
 from sylva.llm.common import read, stage
 
 
@@ -18,8 +18,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, similarity of 0.8
+    or more) stays, that of the smallest id."""
+    return similar.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,16 +65,22 @@ KEYS = _keys()
 _CHAINS = np.array([[SEGMENTS[i] | SEGMENTS[(i + 1) % 5], SEGMENTS[i] | SEGMENTS[(i + 1) % 5] | SEGMENTS[(i + 2) % 5], ((1 << 64) - 1) ^ SEGMENTS[(i + 4) % 5]] for i in range(5)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """A hash of each shingle of lower-case words, one at least."""
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     step = np.cumsum([len(w) + 1 for w in words])
     ends = (step[min(shingle, len(words)) - 1 :] - 1).tolist()
     starts = [0, *step[: n - 1].tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64)
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return 0
+    hashes = shingle_hashes(words, shingle)
+    n = len(hashes)
     set_bits = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 14):
         part = hashes[k : k + (1 << 14)]
