@@ -14,7 +14,8 @@ The patterns are taken in blocks of bounded size. One block is searched in a sin
 pass that keeps the text in place; each further block is another pass.
 
 Defined results: a null or empty text has no words and is clean; an item without words
-has no patterns; items of equal text count as often as they have different ids; repeated
+has no patterns; items of equal text count as often as they have different ids, and all
+without an id as one, which the digest of the items leaves out; repeated
 rows give repeated results; an empty benchmark leaves all clean; extra columns stay.
 """
 
@@ -82,7 +83,7 @@ class WuManber:
                 end += 1
 
 
-def matchers(items: list[tuple[int, str | None]], window: int = WINDOW) -> list[WuManber]:
+def matchers(items: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[WuManber]:
     """One matcher for each length of pattern."""
     found: dict[int, dict] = defaultdict(lambda: defaultdict(set))
     for item, text in items:
@@ -123,16 +124,16 @@ FOUND = T.StructType(
 _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Callable[[int], list[tuple[int, str]]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Callable[[int], list[tuple[int | None, str]]]]:
     """How many blocks of about ``block_bytes`` of text the items make, and a function
     that gets the items of one: the driver holds a block at a time."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     return n, lambda k: [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
 
-def _searcher(items: list[tuple[int, str]], window: int):
+def _searcher(items: list[tuple[int | None, str]], window: int):
     made: list = []
 
     @F.arrow_udf(FOUND)
@@ -142,7 +143,7 @@ def _searcher(items: list[tuple[int, str]], window: int):
         rows = []
         for text in texts.to_pylist():
             n, spans, which = scan(text, made[0])
-            rows.append({"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(which)})
+            rows.append({"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(which, key=lambda i: (i is None, i or 0))})
         return pa.array(rows, _ARROW)
 
     return found

@@ -72,3 +72,18 @@ def test_empty(spark, odd, empty):
     assert decontam.report(empty, none).count() == 0
     assert not any(r.contaminated for r in decontam.report(odd, none).collect())
     assert decontam.remove(odd, none).count() == odd.count()
+
+
+def test_items_without_id_are_searched_for(spark):
+    duckdb = pytest.importorskip("duckdb")
+    docs = [(1, "before some leaked words after"), (2, "clean"), (3, "some leaked words and another passage here"), (4, "another passage here")]
+    items = [(None, "some leaked words"), (7, "another passage here"), (None, "passage here")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = sorted(con.execute(decontam.ORACLE).fetchall())
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontam.BLOCK_BYTES, 20):
+        assert sorted(tuple(r) for r in decontam.report(table, bench, block_bytes=block).collect()) == want
+    assert [r.doc_id for r in decontam.remove(table, bench).collect()] == [2]
