@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva import ship
-from sylva.sources.store import shared_path
+from sylva.sources import store
 
 #: Arrow batches are bounded by rows and bytes, so that very long texts don't
 #: pile up in a Python worker.
@@ -30,9 +33,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     so that a lost executor repeats nothing before this point."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = store.shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those put into the list."""
+    since, kept = store.mark(), []
+    yield kept
+    store.sweep(spark, since, tuple(t._staged_at for t in kept))
+
+
+#: Bytes of a shuffled partition where the count of partitions is chosen here, and of
+#: one below which more partitions don't help.
+PART_BYTES, LEAST_BYTES = 128 << 20, 8 << 20
+
+
+def parts_for(spark: SparkSession, size: int) -> int:
+    """Partitions for so many bytes: as many as the session asks for, fewer where they
+    would be tiny, more where they would be large."""
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(asked, -(-size // LEAST_BYTES)), -(-size // PART_BYTES))
 
 
 def free_name(df: DataFrame, base: str) -> str:
