@@ -16,9 +16,15 @@ up to one, and the false discovery rate is held by Benjamini and Hochberg's step
 rule within classes of length (powers of two), over all documents. For that a histogram
 of scores is counted, one row for each class and step, however many runs there are.
 
-Defined results: a null or empty text has no spans; repeated rows count and report
-each; an empty table gives no rows; columns other than the id and text aren't read,
-and ``redact`` keeps them (and updates ``n_chars`` where it is there).
+A text is cut into segments of about ``SEGMENT`` characters, at characters that no
+pattern can cross, and each segment is searched by itself: lists of spans stay short,
+so that time grows with the length of a text, however many spans it has.
+
+Defined results: a null or empty text has no spans; a very long text is searched whole;
+spans that start together go by kind; runs whose scores tie are taken together or not
+at all; repeated rows count and report each; an empty table gives no rows; columns
+other than the id and text aren't read, whatever their names, and ``redact`` keeps
+them (and updates ``n_chars`` where it is there).
 """
 
 from __future__ import annotations
@@ -37,6 +43,12 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 BASE = [(ASSIGN, 2, 8), (ACCESS, 0, 16), (HEX, 0, 32)]
 
+#: Characters of a segment, at least, where there is a place to cut.
+SEGMENT = 2048
+# A character that no pattern has, or a single blank that no ":" or "=" is next to.
+_SAFE = r"""[^A-Za-z0-9+/_.=:"'\x20-]|(?<![:=\x20])\x20(?![:=\x20])"""
+_SEGMENTS = rf"(?s).{{{SEGMENT},}}?(?:{_SAFE})|.+"
+
 #: Shortest run that is tested.
 RUN = 20
 _RUNS = rf"[A-Za-z0-9+/_=-]{{{RUN},}}"
@@ -80,10 +92,14 @@ def _occurrences(text: Column, pattern: str, kind: int, group: int, least: int,
 _LONG = {HEX: r"[0-9a-f]{32,}", ACCESS: r"AKIA[A-Z0-9]{12,}"}
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans, by start and then kind."""
-    text = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(*[_occurrences(text, _LONG.get(p, p), k, group, least) for k, (p, group, least) in enumerate(BASE)]))
+def segments(text: Column) -> Column:
+    """The parts of a text, in order: none of an empty one."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_SEGMENTS), F.lit(0))
+
+
+def segment_spans(segment: Column) -> Column:
+    """The base spans of one segment, by start and then kind."""
+    return F.array_sort(F.concat(*[_occurrences(segment, _LONG.get(p, p), k, group, least) for k, (p, group, least) in enumerate(BASE)]))
 
 
 def alphabet(run: Column) -> Column:
@@ -145,14 +161,45 @@ def length_class(span: Column) -> Column:
     return F.least(F.lit(LENGTH_CLASSES - 1), F.floor(F.log2((span["end"] - span["start"]).cast("double")) - 4).cast("int"))
 
 
-def random_runs(text: Column, base: Column) -> Column:
-    """Runs that touch no base span, with their class of length and step of score."""
-    runs = _occurrences(F.coalesce(text, F.lit("")), _RUNS, 3, 0, RUN, keep_text=True)
+def random_runs(segment: Column, base: Column) -> Column:
+    """Runs of a segment that touch no base span, with their class of length and step
+    of score."""
+    runs = _occurrences(segment, _RUNS, 3, 0, RUN, keep_text=True)
     free = F.filter(runs, lambda r: ~F.exists(base, lambda b: (r["start"] < b["end"]) & (r["end"] > b["start"])))
     scored = F.transform(free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), length_class(r).alias("class"), F.floor((score(r["text"]) - LOW) / STEP).cast("int").alias("step")))
     return F.filter(scored, lambda r: r["step"].isNotNull())
 
 
+_FOUND = "array<struct<at:bigint,n:bigint,base:array<struct<start:bigint,kind:int,end:bigint>>,runs:array<struct<start:bigint,end:bigint,class:int,step:int>>>>"
+
+
+def found_in(text: Column) -> Column:
+    """For each segment with a span: where it starts, how long it is, its base spans and
+    tested runs, at places within it."""
+    every = segments(text)
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    starts = F.aggregate(every, zero, lambda acc, s: F.struct((acc["at"] + F.char_length(s)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def one(segment: Column, at: Column) -> Column:
+        base = segment_spans(segment)
+        return F.struct(at.alias("at"), F.char_length(segment).cast("long").alias("n"), _bare(base).alias("base"), random_runs(segment, base).alias("runs"))
+
+    with_spans = F.filter(F.zip_with(every, starts, one), lambda s: (F.size(s["base"]) > 0) | (F.size(s["runs"]) > 0))
+    likely = text.rlike("|".join(f"(?:{_LONG.get(p, p)})" for p, _, _ in BASE) + f"|{_RUNS}")
+    return F.when(likely, with_spans).otherwise(F.array()).cast(_FOUND)
+
+
+def placed(found: Column, name: str) -> Column:
+    """The ``base`` spans or ``runs`` of all segments, at places in the whole text."""
+
+    def move(s: Column) -> Column:
+        if name == "base":
+            return F.transform(s["base"], lambda b: F.struct((b["start"] + s["at"]).alias("start"), b["kind"].alias("kind"), (b["end"] + s["at"]).alias("end")))
+        return F.transform(s["runs"], lambda r: F.struct((r["start"] + s["at"]).alias("start"), (r["end"] + s["at"]).alias("end"), r["class"].alias("class"), r["step"].alias("step")))
+
+    return F.flatten(F.transform(found, move))
+
+
 def _tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -196,8 +243,8 @@ def _bare(spans: Column) -> Column:
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A staged table of (id, base spans, tested runs): one pass over the texts."""
-    based = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), base_spans(F.col(text_col)).alias("base"))
-    return stage(based.select("id", _bare(F.col("base")).alias("base"), random_runs(F.col("text"), F.col("base")).alias("runs")), "spans")
+    based = docs.select(F.col(id_col).alias("id"), found_in(F.col(text_col)).alias("found"))
+    return stage(based.select("id", placed(F.col("found"), "base").alias("base"), placed(F.col("found"), "runs").alias("runs")), "spans")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -212,22 +259,37 @@ def _count(spans: Column, kind: int) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``. The thresholds come from a first
-    pass over all texts; the second finds the spans again where the texts are."""
-    key = free_name(docs, "_id")
-    steps = least_steps(found(docs.withColumn(key, F.lit(0)), key, text_col))
-    base, all_spans = free_name(docs, "_base"), free_name(docs, "_spans")
+    """``docs`` with every span replaced by ``mark``. The spans and tested runs of all
+    texts are staged beside them; thresholds come from all runs."""
+    name = free_name(docs, "_found")
+    held = stage(docs.withColumn(name, found_in(F.col(text_col))), "searched")
+    steps = least_steps(held.select(placed(F.col(name), "runs").alias("runs")))
     text = F.col(text_col)
-    marked = docs.withColumn(base, base_spans(text))
-    marked = marked.withColumn(all_spans, F.array_sort(F.concat(_bare(F.col(base)), _taken(random_runs(text, F.col(base)), steps))))
 
-    def cut(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, piece).otherwise(acc["out"]).alias("out"))
+    def cut(segment: Column, s: Column) -> Column:
+        """A segment without its spans; places are short, as segments are."""
+        spans = F.array_sort(F.concat(s["base"], _taken(s["runs"], steps)))
+
+        def add(acc: Column, x: Column) -> Column:
+            piece = F.concat(acc["out"], F.substring(segment, acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit(mark))
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+        return F.aggregate(spans, start, add, lambda a: F.concat(a["out"], F.substring(segment, a["at"].cast("int") + 1, F.lit(2**31 - 1))))
+
+    # segments with spans are found again by the lengths of all
+    every = segments(text)
+    begins = F.map_from_arrays(F.transform(F.col(name), lambda s: s["at"]), F.col(name))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def join(acc: Column, segment: Column) -> Column:
+        s = F.try_element_at(begins, acc["at"])
+        new = F.when(s.isNotNull(), cut(segment, s)).otherwise(segment)
+        return F.struct((acc["at"] + F.char_length(segment)).alias("at"), F.concat(acc["out"], F.array(new)).alias("out"))
 
-    done = F.aggregate(F.col(all_spans), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), cut, lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, F.lit(2**31 - 1))))
-    out = marked.withColumn(text_col, F.when(F.size(all_spans) > 0, done).otherwise(text))
+    done = F.aggregate(every, zero, join, lambda a: F.array_join(a["out"], ""))
+    has = F.size(name) > 0
+    out = held.withColumn(text_col, F.when(has, done).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(all_spans) > 0, F.char_length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop(base, all_spans)
+        out = out.withColumn("n_chars", F.when(has, F.char_length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

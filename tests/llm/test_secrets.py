@@ -1,8 +1,11 @@
 import hashlib
+import math
 import random
 import re
 import string
 
+from pyspark.sql import functions as F
+
 from sylva.llm import secrets
 
 from .conftest import ODD, frame
@@ -44,6 +47,68 @@ def test_base_spans(spark):
         assert set(filter(None, listed(want).split(","))) <= set(got[k].spans.split(","))
 
 
+def slow_score(run):
+    """The three tests and their sum, plainly."""
+    if not re.search("[A-Za-z]", run):
+        return None
+    for rule, k in ((r"([0-9a-f]+|[0-9A-F]+)", 16), (r"[A-Z2-7]+=*", 32), (r"([0-9a-z]+|[0-9A-Z]+)", 36), (r".*", 64)):
+        if re.fullmatch(rule, run):
+            break
+    c = [ord(x) for x in run.rstrip("=")]
+    n = len(c)
+    if n < 8:
+        return None
+    chi = sum((c.count(x) - n / k) ** 2 / (n / k) for x in set(c)) + (k - len(set(c))) * n / k
+    excess = k * max(0.065, 2 / k) - 1
+    uniform = -(chi - (k - 1) - (n - 1) * excess) / math.sqrt(2 * (k - 1) + 4 * n * excess)
+    kinds = [1 if 48 <= x <= 57 else 2 if 97 <= x <= 122 else 3 if 65 <= x <= 90 else 4 for x in c]
+    turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    runs = (turns - (n - 1) * 0.15) / math.sqrt((n - 1) * 0.15 * 0.85)
+    mean = sum(c) / n
+    var = sum((x - mean) ** 2 for x in c)
+    r = sum((a - mean) * (b - mean) for a, b in zip(c, c[1:] + c[:1])) / var if var else 1.0
+    serial = (math.atanh(0.5) - math.atanh(min(0.999, abs(r)))) * math.sqrt(n - 3)
+    return max(secrets.LOW, min(secrets.HIGH, (uniform + runs + serial) / math.sqrt(3)))
+
+
+def test_score_against_brute_force(spark):
+    rng = random.Random(4)
+    letters = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", string.ascii_letters + string.digits + "+/_-", "ab", "a", "0123456789", "=", "Zz9="]
+    runs = ["".join(rng.choice(a) for _ in range(rng.choice([7, 8, 9, 20, 33, 64, 400]))) for a in letters for _ in range(12)] + ["donaudampfschifffahrtsgesellschaft", "abcdefghijklmnopqrstuvwxyz", "x" * 30 + "="]
+    table = spark.createDataFrame(list(enumerate(runs)), "k int, run string")
+    got = {r.k: r.s for r in table.select("k", secrets.score(F.col("run")).alias("s")).collect()}
+    for k, run in enumerate(runs):
+        want = slow_score(run)
+        assert (got[k] is None) == (want is None), run
+        assert want is None or math.isclose(got[k], want, rel_tol=1e-9, abs_tol=1e-9), run
+
+
+def test_spans_of_long_texts(spark):
+    """Texts of many segments, dense with spans, with and without places to cut."""
+    rng = random.Random(9)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    word = lambda: rng.choice(["token = ", "and ", "é👍", "secret:  'abcdefgh' ", "api_key : ", "x=", " ", "\n", ", ", "AKIA" + draw(string.ascii_uppercase, 14) + " ", draw("0123456789abcdef", 33) + ",", draw(string.ascii_letters + "+/", 25) + " "])
+    texts = ["".join(word() for _ in range(n)) for n in (50, 400, 3000, 12_000)]
+    texts += ["token=" + draw(string.ascii_letters, 9000), "a" * 5000 + " token = " + "b" * 5000, "token = abcdefgh." * 900, draw("0123456789abcdef", 20_000), " " * 5000 + "secret = " + "x" * 20, ("x" * 2046) + " secret : abcdefghij"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    table = frame(spark, rows)
+    got = {r.doc_id: r for r in secrets.scan(table).collect()}
+    for k, t in rows:
+        want = base(t)
+        assert got[k].base_sha256 == hashlib.sha256(listed(want).encode()).hexdigest(), t[:80]
+        for span in filter(lambda x: x.startswith("random"), got[k].spans.split(",")):
+            _, a, b = span.split(":")
+            assert re.fullmatch(r"[A-Za-z0-9+/_=-]{20,}", t[int(a) : int(b)]) and not any(int(a) < e and int(b) > s for s, _, e, _ in want)
+    out = {r.doc_id: r.text for r in secrets.redact(table).collect()}
+    for k, t in rows:
+        cut, at = "", 0
+        for a, b in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in got[k].spans.split(",") if x):
+            if a >= at:
+                cut += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert out[k] == cut + t[at:]
+
+
 def test_random_runs_are_found_and_words_are_not(spark):
     rng = random.Random(11)
     draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
