@@ -9,10 +9,16 @@
 3. A document's posterior adds its own evidence to the log-odds of its path without
    the document itself. It is kept from ``KEEP`` on.
 
+Sites are any two columns, the path below the host. ``site_columns`` makes them from
+a URL; ``documents`` has none, so there ``source`` stands for the host and ``lang`` for
+the path.
+
 Defined results: a null or blank text is rejected with probability 0; a null host or
 path is a site like any other; without labels of both classes the document evidence
-is nil and all but blank texts are kept; repeated rows count and score each; labels
-that contradict each other count as the lower; extra columns stay in ``keep_good``.
+is nil and all but blank texts are kept; repeated rows and equal ids count and score
+each; labels that contradict each other count as the lower; a posterior of exactly the
+cut is kept; very long texts are read whole; an empty table gives no rows; extra columns
+stay in ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, free_name, stage, tune
+from .common import BROADCAST_ROWS, broadcast_if_small, free_name, stage, tune
 
 #: The most labelled rows that the model is fitted on.
 SAMPLE = 20_000
@@ -88,6 +94,13 @@ class Scorer:
         return F.greatest(F.lit(-MOST), F.least(F.lit(MOST), total))
 
 
+def site_columns(url: Column) -> tuple[Column, Column]:
+    """Host and path of a site: the host in lower case, and the first part of the path."""
+    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^/?#]*)(?=/)", 1)
+    return F.when(host != "", host), F.when(host != "", F.when(path == "", "/").otherwise(path))
+
+
 def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
@@ -117,8 +130,9 @@ def train(featured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Score
     """Fit on at most ``sample`` rows of (doc_id, x) that have a label."""
     rows = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = F.broadcast(chosen) if sample <= BROADCAST_ROWS else chosen
     # one row an id, so that the bound holds
-    found = featured.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("quality").alias("quality")).orderBy("doc_id").toPandas()
+    found = featured.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("quality").alias("quality")).orderBy("doc_id").toPandas()
     x = np.array(found["x"].tolist(), np.float64).reshape(len(found), len(FEATURES))
     return fit(x, (found["quality"].to_numpy() > 0).astype(float))
 
@@ -198,16 +212,18 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Texts stay where they
-    are: a second pass computes the features again beside the table of sites."""
-    rows = _featured(docs, host, path)
+    """The rows of ``docs`` that are kept, with their columns. What a pass over the texts
+    finds is staged beside them, so that texts are read once."""
+    tune(docs.sparkSession)
+    x = free_name(docs, "_x")
+    held = stage(docs.withColumn(x, feature_column(F.col("text"))), "featured")
+    rows = held.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), F.col(x).alias("x"))
     model = train(rows, labels, sample)
     e = model.evidence(F.col("x"))
     found = sites(rows.select("host", "path", _probability(e, model.rate).alias("p")))
-    x = free_name(docs, "_x")
     names = {c: free_name(docs, f"_{c}") for c in SITE}
     table = found.table.select(*[F.col(c).alias(n) for c, n in names.items()])
-    joined = docs.withColumn(x, feature_column(F.col("text"))).join(broadcast_if_small(table), F.col(host).eqNullSafe(F.col(names["host"])) & F.col(path).eqNullSafe(F.col(names["path"])))
+    joined = held.join(broadcast_if_small(table), F.col(host).eqNullSafe(F.col(names["host"])) & F.col(path).eqNullSafe(F.col(names["path"])))
     e = model.evidence(F.col(x))
     _, odds = posterior(e, _probability(e, model.rate), {c: F.col(n) for c, n in names.items()})
     return joined.filter(~_is_blank(F.col(x)) & (odds >= _logit(keep))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,8 +1,9 @@
 """Shards cut from a Hilbert curve over several metadata dimensions.
 
 Each dimension is quantised into ``2 ** bits`` cells of about equal numbers of rows, in
-the order of its values (strings by their first bytes), so that a cell is a range of
-values. Rows are sorted by their index on the Hilbert curve through the cells, and the
+the order of its whole values, so that a cell is a range of values. Numbers are cut by
+approximate quantiles; strings by the exact mass below each distinct value, from counts
+that are sorted in ranges, so that values which begin alike are still told apart. Rows are sorted by their index on the Hilbert curve through the cells, and the
 order is cut into runs whose counts are at most one apart (the law ``rows``). Near rows
 of the curve share ranges in every dimension, so a filter on any of them skips runs.
 
@@ -11,8 +12,9 @@ range partitioning; places follow from the partitions' counts, so that no task h
 all rows.
 
 Defined results: nulls are the lowest cell of a dimension; a null text has no bytes;
-repeated rows have places of their own; with fewer rows than shards some shards are
-empty; an empty table gives no rows; columns that aren't named aren't read.
+repeated rows and equal ids have places of their own; with fewer rows than shards some
+shards are empty; very long texts are hashed whole; an empty table gives no rows; columns
+that aren't named aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, tune
+from .common import parts_for, stage, tune
 
 BITS = 6
 SHARDS = 8
@@ -61,27 +63,62 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def in_order(value: Column, kind: T.DataType) -> Column:
-    """A number in the order of the values; of strings, their first seven bytes."""
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    """A number in the order of the values, which aren't strings."""
     if isinstance(kind, (T.TimestampType, T.DateType)):
         return F.unix_micros(value.cast("timestamp")).cast("double")
     return value.cast("double")
 
 
+def _offsets(df: DataFrame, part: Column, size: Column) -> tuple[DataFrame, int]:
+    """(p, base): what lies before each partition, and the total; a row for each."""
+    rows = sorted((r["p"], r["n"]) for r in df.groupBy(part.alias("p")).agg(F.sum(size).alias("n")).collect())
+    out, total = [], 0
+    for p, n in rows:
+        out.append((p, total))
+        total += n
+    return df.sparkSession.createDataFrame(out, "p long, base long"), total
+
+
+def string_cuts(values: DataFrame, n: int) -> list[str]:
+    """Of a column of strings, the value at each n-th part of the rows, in order."""
+    spark = values.sparkSession
+    name = values.columns[0]
+    counts = stage(values.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).count(), "values")
+    size = counts.agg(F.sum(F.octet_length("value") + 16)).first()[0]
+    if not size:
+        return []
+    ordered = counts.repartitionByRange(parts_for(spark, size), "value").sortWithinPartitions("value")
+    ordered = stage(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33).cast("long")
+    before, total = _offsets(ordered, part, F.col("count"))
+    mass = F.sum("count").over(Window.partitionBy("p").orderBy("_at"))
+    upto = ordered.withColumn("p", part).join(F.broadcast(before), "p").withColumn("upto", F.col("base") + mass)
+    # how many cuts fall on a value
+    crossed = upto.select("value", F.expr(f"int((upto * {n}) div {total}) - int(((upto - count) * {n}) div {total})").alias("times"), "upto").filter("times > 0")
+    found = sorted((r["upto"], r["value"], r["times"]) for r in crossed.collect())
+    return [v for _, v, times in found for _ in range(times)][: n - 1]
+
+
 def cells(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
     """A cell number for each dimension, between cuts of equal depth."""
-    n = 1 << bits
-    numbers = [in_order(F.col(d), df.schema[d].dataType) for d in dims]
+    n, cuts = 1 << bits, {}
     share = [k / n for k in range(1, n)]
-    cuts = df.agg(*[F.percentile_approx(x, share, 10_000).alias(f"c{k}") for k, x in enumerate(numbers)]).first()
-
-    def cell(x: Column, edges: list[float]) -> Column:
+    kinds = {d: df.schema[d].dataType for d in dims}
+    values = {d: F.col(d) if isinstance(kinds[d], T.StringType) else in_order(F.col(d), kinds[d]) for d in dims}
+    numbers = [d for d in dims if not isinstance(kinds[d], T.StringType)]
+    if numbers:
+        row = df.agg(*[F.percentile_approx(values[d], share, 10_000).alias(f"c{k}") for k, d in enumerate(numbers)]).first()
+        cuts = {d: list(row[k] or []) for k, d in enumerate(numbers)}
+    for d in dims:
+        if d not in cuts:
+            cuts[d] = string_cuts(df.select(d), n)
+
+    def cell(x: Column, edges: list) -> Column:
         # cuts that fall on one value leave cells empty, so that few values spread too
         at = F.array_size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < x)) if edges else F.lit(0)
         return F.coalesce(at, F.lit(0)).cast("int")
 
-    return [cell(x, list(cuts[k] or [])) for k, x in enumerate(numbers)]
+    return [cell(values[d], cuts[d]) for d in dims]
 
 
 def curve(df: DataFrame, dims: list[str], bits: int = BITS) -> Column:
@@ -99,24 +136,23 @@ def curve(df: DataFrame, dims: list[str], bits: int = BITS) -> Column:
 
 def cut_runs(df: DataFrame, dims: list[str], tie: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """``df`` (staged) with curve, shard and slot columns."""
-    tune(df.sparkSession)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.withColumn("curve", curve(df, dims, bits)).repartitionByRange(parts, "curve", *tie).sortWithinPartitions("curve", *tie)
-    # the number of a partition, and of a row in it, as Spark defines this id
+    spark = df.sparkSession
+    tune(spark)
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = sum(wide, F.lit(16 * len(df.columns)))
+    indexed = stage(df.withColumn("curve", curve(df, dims, bits)), "indexed")
+    parts = parts_for(spark, indexed.agg(F.sum(size)).first()[0] or 0)
+    ordered = indexed.repartitionByRange(parts, "curve", *tie).sortWithinPartitions("curve", *tie)
+    # this id has the number of a partition, and of a row in it
     placed = stage(ordered.withColumn("_at", F.monotonically_increasing_id()), "curve")
-    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
-    total, before = 0, []
-    for p in range(max(counts, default=-1) + 1):
-        before.append(total)
-        total += counts.get(p, 0)
+    part, row = F.shiftright("_at", 33).cast("long"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = _offsets(placed, part, F.lit(1))
     if not total:
         return placed.drop("_at").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    base = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), (part + 1).cast("int"))
-    rank = base + row
+    ranked = placed.withColumn("p", part).join(F.broadcast(before), "p").withColumn("_rank", F.col("base") + row)
     starts = F.array(*[F.lit(s * total // shards).cast("long") for s in range(shards)])
     shard = F.expr(f"int((_rank * {shards} + {shards - 1}) div {total})")
-    return placed.withColumn("_rank", rank).withColumn("shard", shard).withColumn("slot", F.col("_rank") - F.element_at(starts, F.col("shard") + 1)).drop("_at", "_rank")
+    return ranked.withColumn("shard", shard).withColumn("slot", F.col("_rank") - F.element_at(starts, F.col("shard") + 1)).drop("p", "base", "_at", "_rank")
 
 
 def manifest(placed: DataFrame, dims: list[str]) -> DataFrame:

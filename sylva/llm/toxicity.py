@@ -6,15 +6,22 @@ ordered thresholds theta_1 < theta_2 < theta_3. Expected severity is the sum of
 P(grade >= k).
 
 Training uses at most ``SAMPLE`` labelled rows (those of smallest hash). Their words
-and stems are counted by class; the ``WORDS`` whose shares differ most become features
-(log of one plus the count). Labels only say toxic or not, so toxic rows are graded 1 to
-3 by the thirds of how many marked words occur in them; a word is marked if one of
-its features is far more frequent in toxic rows.
+and stems are counted by class; all whose shares differ clearly become features
+(log of one plus the count).
+
+What severity means: labels only say toxic or not, and nothing in the tables says how
+toxic. So toxic rows are graded 1 to 3 by the thirds of how many marked words occur in
+them (a word is marked if one of its features is far more frequent in toxic rows). Only
+the first threshold rests on labels; the others rank texts by how much of what
+marks toxic ones they hold, and are no independent judgement of harm. Where graded
+labels exist, ``train`` takes them: any ``toxic`` above 1 is used as the grade.
 
 Defined results: a null or empty text has no words and gets the severity of an empty
 feature vector; without toxic and clean labels severity is 0 and nothing is toxic;
-labels that contradict each other count as toxic; repeated rows score each; other
-columns aren't read.
+labels that contradict each other count as the highest; of rows with one id the least
+text counts in training; grades whose chances tie give the lower; repeated rows and equal
+ids score each; very long texts are read whole; an empty table gives no rows; other
+columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, tune
+from .common import BROADCAST_ROWS, stage, tune
 
 #: The most labelled rows that the model is fitted on.
 SAMPLE = 20_000
-#: The most words and stems that are features.
-WORDS = 768
 #: Lengths of stems.
 STEMS = (4, 5, 6)
 #: Standard errors between the classes from which on a word is a feature.
@@ -79,23 +84,48 @@ class Model:
         return float(p.sum()), p.tolist()
 
 
-def fit(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 1.0, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+class Sparse:
+    """A matrix by its entries: row, column, value."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.cols, self.values, self.shape = rows, cols, values, shape
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Sparse:
+        rows, cols = np.nonzero(dense)
+        return cls(rows, cols, dense[rows, cols], dense.shape)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * w[self.cols], self.shape[0])
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """The transpose times ``g``."""
+        return np.bincount(self.cols, self.values * g[self.rows], self.shape[1])
+
+
+def loss(x: Sparse, y: np.ndarray, w: np.ndarray, cuts: np.ndarray, ridge: float = 1.0) -> float:
+    """The mean of -log P(grade), and the penalty."""
+    full = np.column_stack([np.zeros(len(y)), 1 / (1 + np.exp(-np.clip(cuts[None, :] - x.dot(w)[:, None], -40, 40))), np.ones(len(y))])
+    p = np.maximum(full[np.arange(len(y)), y + 1] - full[np.arange(len(y)), y], 1e-12)
+    return float(-np.log(p).mean() + ridge * (w @ w) / (2 * len(y)))
+
+
+def fit(x: Sparse, y: np.ndarray, grades: int = GRADES, ridge: float = 1.0, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of greatest likelihood with a ridge penalty, by Adam.
     The gaps between thresholds are exponentials, which keeps them in order."""
     n, m = x.shape
     w, theta, gaps = np.zeros(m), np.log((y < 1).mean() / (y >= 1).mean()), np.full(grades - 1, -1.0)
-    first, second = np.zeros(m + grades), np.zeros(m + grades)
+    first, second, rows = np.zeros(m + grades), np.zeros(m + grades), np.arange(n)
     for t in range(1, steps + 1):
         cuts = theta + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         # P(y <= k) at each row, with 0 before and 1 behind
-        below = 1 / (1 + np.exp(-np.clip(cuts[None, :] - (x @ w)[:, None], -40, 40)))
+        below = 1 / (1 + np.exp(-np.clip(cuts[None, :] - x.dot(w)[:, None], -40, 40)))
         full = np.column_stack([np.zeros(n), below, np.ones(n)])
         slope = full * (1 - full)
-        rows = np.arange(n)
         p = np.maximum(full[rows, y + 1] - full[rows, y], 1e-12)
         hi, lo = slope[rows, y + 1] / p, slope[rows, y] / p
         by_cut = np.array([hi[y == k].sum() - lo[y == k + 1].sum() for k in range(grades)]) / n
-        grad_w = (x.T @ (lo - hi)) / n - ridge * w / n
+        grad_w = x.back(lo - hi) / n - ridge * w / n
         grad = np.concatenate([grad_w, [by_cut.sum()], [np.exp(g) * by_cut[k + 1 :].sum() for k, g in enumerate(gaps)]])
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         move = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
@@ -115,14 +145,15 @@ def best_cut(p: np.ndarray, bad: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-odds.mean())))
 
 
-def select_words(counts: DataFrame, n_toxic: int, n_clean: int, most: int = WORDS, apart: float = APART) -> list[tuple[str, float, float]]:
-    """(word, share of toxic rows, share of clean rows), the most telling first."""
+def select_words(counts: DataFrame, n_toxic: int, n_clean: int, apart: float = APART) -> list[tuple[str, float, float]]:
+    """(word, share of toxic rows, share of clean rows) of all that tell the classes
+    apart, the most telling first. They come from the bounded sample."""
     a, b = F.col("toxic") / F.lit(n_toxic), F.col("clean") / F.lit(n_clean)
     pooled = (F.col("toxic") + F.col("clean")) / F.lit(n_toxic + n_clean)
     error = F.sqrt(pooled * (1 - pooled) * F.lit(1 / n_toxic + 1 / n_clean))
     z = F.when(error > 0, F.abs(a - b) / error).otherwise(0.0)
     rows = counts.filter("toxic + clean >= 5").select("word", a.alias("a"), b.alias("b"), z.alias("z")).filter(F.col("z") >= apart)
-    return [(r["word"], r["a"], r["b"]) for r in rows.orderBy(F.desc("z"), "word").limit(most).collect()]
+    return [(r["word"], r["a"], r["b"]) for r in rows.orderBy(F.desc("z"), "word").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -130,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     tune(docs.sparkSession)
     rows = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = F.broadcast(chosen) if sample <= BROADCAST_ROWS else chosen
 
     @F.arrow_udf("array<string>")
     def word_column(texts: pa.Array) -> pa.Array:
@@ -139,8 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def feature_column(lists: pa.Array) -> pa.Array:
         return pa.array([list({f: 0 for w in set(x) for f in features(w)}) for x in lists.to_pylist()], pa.list_(pa.string()))
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min(F.col("label") > 0).alias("bad"))
-    held = stage(found.select("doc_id", "bad", word_column("text").alias("words")), "labelled")
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").cast("int").alias("label"))
+    held = stage(found.select("doc_id", "label", (F.col("label") > 0).alias("bad"), word_column("text").alias("words")), "labelled")
     sizes = {r["bad"]: r["n"] for r in held.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
         return Model({}, np.zeros(0), np.zeros(0))
@@ -154,22 +186,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for bad, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for label, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 c = count_known(w, vocabulary)
                 hits = sum(n for x, n in Counter(w).items() if not marked.isdisjoint(features(x)))
-                out.append((bad, hits, list(c), list(c.values())))
+                out.append((label, hits, list(c), list(c.values())))
             if out:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["bad", "hits", "at", "n"])
-
-    sampled = held.orderBy("doc_id").select("bad", "words").mapInArrow(sparse, "bad boolean, hits long, at array<int>, n array<int>").collect()
-    x, hits = np.zeros((len(sampled), len(vocabulary)), np.float32), np.array([r["hits"] for r in sampled])
-    bad = np.array([r["bad"] for r in sampled])
-    for i, r in enumerate(sampled):
-        x[i, r["at"]] = np.log1p(r["n"])
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["label", "hits", "at", "n"])
+
+    sampled = held.orderBy("doc_id").select("label", "words").mapInArrow(sparse, "label int, hits long, at array<int>, n array<int>").collect()
+    hits, label = np.array([r["hits"] for r in sampled]), np.array([r["label"] for r in sampled])
+    bad = label > 0
+    held_by = np.repeat(np.arange(len(sampled)), [len(r["at"]) for r in sampled])
+    cols, counted = (np.array([v for r in sampled for v in r[c]], np.int64) for c in ("at", "n"))
+    x = Sparse(held_by, cols, np.log1p(counted), (len(sampled), len(vocabulary)))
     cuts = np.quantile(hits[bad], [k / GRADES for k in range(1, GRADES)])
-    y = np.where(bad, 1 + (hits[:, None] > cuts[None, :]).sum(axis=1), 0)
+    graded = (label > 1).any()
+    y = np.clip(label, 0, GRADES) if graded else np.where(bad, 1 + (hits[:, None] > cuts[None, :]).sum(axis=1), 0)
     w, thresholds = fit(x, y)
-    p = 1 / (1 + np.exp(np.clip(thresholds[0] - x @ w, -40, 40)))
+    p = 1 / (1 + np.exp(np.clip(thresholds[0] - x.dot(w), -40, 40)))
     return Model(vocabulary, w, thresholds, best_cut(p, bad))
 
 
