@@ -3,12 +3,16 @@
 ``decode`` reads LZW code streams, global and local palettes, interlacing, the
 four disposal rules and transparent indices. ``encode_payload`` stores arbitrary
 bytes losslessly as 8-bit samples: rows of 64 grey pixels, in frames of at most
-``FRAME_ROWS`` rows, with the number of bytes in a comment block.
-
-Defined results: a null or empty text is one row of 64 zero samples; equal texts
-give equal media; media that can't be read give one row whose ``error`` says why
-and no frames; repeated rows are kept as often as they occur; other columns of
-the table aren't read.
+``FRAME_ROWS`` rows, with the number of bytes in a comment block. ``frames`` gives the
+composed canvases, ``media_columns`` a row for each file, with its timed frames and
+their histograms as columns.
+
+Defined results: a null or empty text is one row of 64 zero samples; a very long text
+has as many frames as it needs; equal texts give equal media; media that can't be read,
+or whose canvas or a frame has more than ``MAX_PIXELS`` pixels (what a worker composes
+in memory), give one row whose ``error`` says why and no frames; repeated rows are kept
+as often as they occur; ids that tie are rows of their own; an empty table gives no rows;
+other columns of the table aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ WIDTH = 64
 FRAME_ROWS = 1024
 DELAY_CS = 10
 MAX_CODES = 4096
+#: The largest canvas or frame that is composed: 64 MB as RGBA.
+MAX_PIXELS = 1 << 24
 
 
 @cache
@@ -217,6 +223,8 @@ def _decode(data: bytes, compose: bool) -> Gif:
     if flags & 0x80:
         common, at = _palette(data, at, flags)
     gif = Gif(width, height, background, [], [])
+    if width * height > MAX_PIXELS:
+        raise ValueError(f"canvas of {width} x {height} pixels is too large")
     canvas = np.zeros((height, width, 4), np.uint8) if compose else None
     delay, disposal, transparent = 0, 0, None
     while (kind := data[at]) != 0x3B:
@@ -233,6 +241,8 @@ def _decode(data: bytes, compose: bool) -> Gif:
             raise ValueError(f"unknown block {kind}")
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
+        if w * h > MAX_PIXELS:
+            raise ValueError(f"frame of {w} x {h} pixels is too large")
         palette = common
         if flags & 0x80:
             palette, at = _palette(data, at, flags)
@@ -278,14 +288,38 @@ def histogram(pixels: np.ndarray) -> np.ndarray:
     return np.bincount(code, minlength=64)
 
 
-FRAMES = "id long, frame int, start_ms long, delay_ms long, width int, height int, disposal int, transparent int, rgba binary, histogram array<long>, error string"
+def brightness(pixels: np.ndarray) -> np.ndarray:
+    """Counts of 16 levels of the mean of red, green and blue of opaque pixels."""
+    flat = pixels.reshape(-1, 4)
+    flat = flat[flat[:, 3] > 0]
+    level = (flat[:, 0].astype(np.int64) + flat[:, 1] + flat[:, 2]) // 48
+    return np.bincount(level, minlength=16)
+
+
+def _place(f: Frame) -> np.ndarray:
+    """What a frame's own place on the canvas shows."""
+    return f.canvas[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1]]
+
+
+def _timed(gif: Gif) -> Iterator[dict]:
+    """The columns of each frame, in order: the histogram is of the whole canvas, the
+    brightness of the frame's place."""
+    clock = 0
+    for k, f in enumerate(gif.frames):
+        yield {"frame": k, "start_ms": clock, "delay_ms": 10 * f.delay_cs, "left": f.left, "top": f.top, "width": f.indices.shape[1], "height": f.indices.shape[0], "disposal": f.disposal, "transparent": f.transparent, "histogram": histogram(f.canvas).tolist(), "brightness": brightness(_place(f)).tolist()}
+        clock += 10 * f.delay_cs
+
+
+_TIMED = [("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("histogram", pa.list_(pa.int64())), ("brightness", pa.list_(pa.int64()))]
+_TIMED_DDL = "frame{0}int, start_ms{0}long, delay_ms{0}long, left{0}int, top{0}int, width{0}int, height{0}int, disposal{0}int, transparent{0}int, histogram{0}array<long>, brightness{0}array<long>"
+FRAMES = f"id long, {_TIMED_DDL.format(' ')}, canvas_width int, canvas_height int, rgba binary, error string"
 
 
 def frames(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row for each frame: its time, its composed canvas and its histogram."""
+    """One row for each frame: its time and place, its histograms, its composed canvas."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
+        schema = pa.schema([("id", pa.int64()), *_TIMED, ("canvas_width", pa.int32()), ("canvas_height", pa.int32()), ("rgba", pa.binary()), ("error", pa.string())])
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
@@ -293,10 +327,8 @@ def frames(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 except ValueError as e:
                     yield pa.RecordBatch.from_pylist([{"id": name, "error": str(e)}], schema)
                     continue
-                clock = 0
-                for k, f in enumerate(gif.frames):
-                    row = {"id": name, "frame": k, "start_ms": clock, "delay_ms": 10 * f.delay_cs, "width": gif.width, "height": gif.height, "disposal": f.disposal, "transparent": f.transparent, "rgba": f.canvas.tobytes(), "histogram": histogram(f.canvas).tolist()}
-                    clock += 10 * f.delay_cs
+                for row, f in zip(_timed(gif), gif.frames):
+                    row |= {"id": name, "canvas_width": gif.width, "canvas_height": gif.height, "rgba": f.canvas.tobytes()}
                     yield pa.RecordBatch.from_pylist([row], schema)
 
     tune(media.sparkSession)
@@ -315,27 +347,38 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, media binary"), "media")
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+COLUMNS = f"id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<struct<{_TIMED_DDL.format(':')}>>, error string"
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """What the stored GIFs of ``store`` hold, read back through the decoder.
+def media_columns(media: DataFrame) -> DataFrame:
+    """A row for each file of a table (id, media), read back through the decoder: its
+    timed frames with their histograms, and digests of the samples they hold (the grey
+    of each frame's place on the canvas, in order)."""
 
-    feature: the number of frames, then the counts of 16 grey levels."""
-
-    def one(data: bytes) -> tuple:
-        gif = decode(data)
-        grey = b"".join(f.canvas[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1], 0].tobytes() for f in gif.frames)
-        n = int(gif.comments[0].removeprefix(b"bytes="))
-        levels = np.bincount(np.frombuffer(grey, np.uint8) >> 4, minlength=16)
-        return n, len(grey), hashlib.sha256(grey).hexdigest(), zlib.crc32(grey[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{len(gif.frames)}:" + ",".join(map(str, levels.tolist()))
+    def one(name: int | None, data: bytes) -> dict:
+        try:
+            gif = decode(data or b"")
+        except ValueError as e:
+            return {"id": name, "error": str(e)}
+        grey = b"".join(_place(f)[:, :, 0].tobytes() for f in gif.frames)
+        said = next((c for c in gif.comments if c.startswith(b"bytes=") and c[6:].isdigit()), b"bytes=%d" % len(grey))
+        return {"id": name, "n_bytes": int(said[6:]), "payload_bytes": len(grey), "payload_sha256": hashlib.sha256(grey).hexdigest(), "tail_crc32": zlib.crc32(grey[-64:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "frames": list(_timed(gif))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct(_TIMED)), pa.string())
+        schema = pa.schema(list(zip(("id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "error"), kinds)))
         for batch in batches:
             if batch.num_rows:
-                cols = zip(*map(one, batch.column(1).to_pylist()))
-                yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=[x.split()[0] for x in DIGESTS.split(", ")])
+                yield pa.RecordBatch.from_pylist([one(*row) for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], schema)
 
     tune(media.sparkSession)
-    return media.select("id", "media").mapInArrow(run, DIGESTS)
+    return stage(media.select("id", "media").mapInArrow(run, COLUMNS), "frames")
+
+
+def digests(columns: DataFrame) -> DataFrame:
+    """The digest of each row of ``media_columns``. feature: the number of frames, then
+    how many of their pixels have each of 16 levels of brightness."""
+    zero = F.array_repeat(F.lit(0).cast("long"), 16)
+    levels = F.aggregate("frames", zero, lambda acc, f: F.zip_with(acc, f["brightness"], lambda a, b: a + b))
+    feature = F.concat(F.size("frames").cast("string"), F.lit(":"), F.array_join(levels.cast("array<string>"), ","))
+    return columns.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

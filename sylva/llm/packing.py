@@ -2,7 +2,8 @@
 
 Documents are tokenised once into pieces of at most ``capacity`` ids; only longer
 documents are cut. Whole pieces fill a sequence by themselves. The others are dealt
-by hash over tasks of about ``TASK_PIECES`` pieces, and each task packs its own:
+out, by their place in the staged table and so evenly however many are equal, over
+tasks of about ``TASK_PIECES`` pieces, and each task packs its own:
 a fixed number of bins is open, a bitset has one bit for each amount of free space
 that some open bin has, and a piece goes where the least space would be left. When
 no open bin has room and all are open, the fullest closes first.
@@ -12,8 +13,8 @@ long ones leave.
 
 Defined results: a null or empty text is one piece that holds the end id only;
 repeated rows are packed as often as they occur; rows that tie in length go in the
-order of their id, piece and checksum; an empty table gives no rows; other columns
-of the table aren't read.
+order in which they were dealt; very long texts become many pieces; an empty table gives
+no rows; other columns of the table aren't read.
 """
 
 from __future__ import annotations
@@ -106,7 +107,6 @@ def place(rows: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     whole = rows.filter(F.col("length") >= capacity)
     part = rows.filter(F.col("length") < capacity)
     tasks = max(1, -(-part.count() // task_pieces))
-    order = ["_deal", "doc_id", "piece", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -133,8 +133,8 @@ def place(rows: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
         if held:
             yield flush()
 
-    dealt = part.withColumn("_deal", F.xxhash64("doc_id", "piece", "ids_crc32"))
-    packed = dealt.repartition(tasks, "_deal").sortWithinPartitions(*order).mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
+    dealt = part.withColumn("_deal", F.xxhash64(F.monotonically_increasing_id()))
+    packed = dealt.repartition(tasks, "_deal").sortWithinPartitions("_deal").mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
     # ids of full pieces are negative, those of bins aren't
     alone = whole.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)

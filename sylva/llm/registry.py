@@ -44,11 +44,11 @@ def op8_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dac.read_documents(dac.write_segments(read(spark, sf_dir, "documents")))
+    return dac.read_documents(dac.write_tokens(read(spark, sf_dir, "documents")))
 
 
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.digests(gif.store(read(spark, sf_dir, "documents")))
+    return gif.digests(gif.media_columns(gif.store(read(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_wu_manber": decontam.ORACLE, "op7_license_sentences": licenses.oracle()}
+    return {"op6_wu_manber": decontam.ORACLE, "op7_license_sentences": licenses.ORACLE}

@@ -7,6 +7,10 @@ ids of its chunks in order. Chunks repeat, so their ids are kept in a bounded
 dictionary for as long as the Python worker lives. A new chunk of plain text is cut
 by the tokeniser's pattern, and its pieces go through the tokeniser's model; any other
 new chunk goes through the whole tokeniser. (Pieces by themselves are chunks too.)
+
+Added tokens keep the meaning that the tokeniser gives them: a chunk that holds the
+content of one goes through the whole tokeniser, and so does a whole text where such a
+token has blanks in it or looks at what is around it.
 """
 
 from __future__ import annotations
@@ -62,6 +66,7 @@ class _Known(dict):
     def __init__(self, tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model.tokenize
         self.older: dict[str, bytes] = {}
+        self.added: list[str] = []
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in printed]
         # the printable character that stands for each byte in the vocabulary
@@ -72,7 +77,7 @@ class _Known(dict):
             self[text] = ids
             return ids
         parts = _PIECES(text)
-        if "".join(parts) != text:
+        if "".join(parts) != text or any(a in text for a in self.added):
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         elif len(parts) > 1:
             ids = b"".join(map(self.__getitem__, parts))
@@ -93,13 +98,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         spec = json.loads(self.tokenizer.to_str())
+        added = spec.get("added_tokens") or []
+        #: contents for which a text is not split
+        self.unsplit = [a["content"] for a in added if re.search(r"\s", a["content"]) or a["lstrip"] or a["rstrip"] or a["single_word"]]
         cut = spec["pre_tokenizer"] or {}
         byte_level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
         self.chunked = bool(byte_level and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
         if self.chunked:
             self.kept = _Known(self.tokenizer)
+            self.kept.added = [a["content"] for a in added]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null counts as empty."""
@@ -110,8 +118,13 @@ class Encoder:
             kept.older = dict(kept)
             kept.clear()
         get = kept.__getitem__
+        if self.unsplit:
+            return [self._whole(t) if t and any(a in t for a in self.unsplit) else b"".join(map(get, chunks(t))) if t else b"" for t in texts]
         return [b"".join(map(get, chunks(t))) if t else b"" for t in texts]
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 

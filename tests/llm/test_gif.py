@@ -105,10 +105,23 @@ def test_frames_table(spark):
     assert [(r.start_ms, r.delay_ms, r.transparent) for r in first] == [(0, 30, None), (30, 90, 0)]
     assert first[1].histogram[3 << 4] == 2 and first[1].histogram[3 << 2] == 2 and sum(first[1].histogram) == 4
     assert all(r.error and r.frame is None for r in rows if r.id != 1) and {r.id for r in rows} == {1, 2, 3, 4, 5}
+    cols = {r.id: r for r in gif.media_columns(table.withColumnRenamed("doc_id", "id")).collect()}
+    assert [f.start_ms for f in cols[1].frames] == [0, 30] and [list(f.histogram) for f in cols[1].frames] == [list(r.histogram) for r in first]
+    assert all(cols[k].error and cols[k].frames is None for k in (2, 3, 4, 5))
+
+
+def test_canvases_beyond_memory_are_refused(spark):
+    """A few bytes may declare 17 GB of pixels."""
+    head = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x81, 0, 0) + COMMON
+    huge = film(image(0, 0, [[1, 1], [1, 1]], 1), w=65535, h=65535)
+    frame = film(b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02" + gif._blocks(pack([4, 1, 5], 4)))
+    table = spark.createDataFrame([(1, huge), (2, head + b"\x3b"), (3, frame)], "id long, media binary")
+    for rows in (gif.frames(table, "id", "media").collect(), gif.media_columns(table).collect()):
+        assert sorted((r.id, "too large" in r.error) for r in rows) == [(1, True), (2, True), (3, True)]
 
 
 def test_digests(spark, odd, empty):
-    rows = sorted(map(tuple, gif.digests(gif.store(odd)).collect()), key=str)
+    rows = sorted(map(tuple, gif.digests(gif.media_columns(gif.store(odd))).collect()), key=str)
     want = []
     for i, t in ODD:
         p, n = payload(t), len((t or "").encode())
@@ -117,4 +130,4 @@ def test_digests(spark, odd, empty):
         n_frames = -(-len(p) // (64 * gif.FRAME_ROWS))
         want.append((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{n_frames}:" + ",".join(map(str, levels))))
     assert rows == sorted(want, key=str)
-    assert gif.digests(gif.store(empty)).count() == 0
+    assert gif.digests(gif.media_columns(gif.store(empty))).count() == 0
