@@ -88,3 +88,32 @@ def test_items_without_id_are_searched_for(spark):
     for block in (decontam.BLOCK_BYTES, 20):
         assert sorted(tuple(r) for r in decontam.report(table, bench, block_bytes=block).collect()) == want
     assert [r.doc_id for r in decontam.remove(table, bench).collect()] == [2]
+
+
+def test_ids_of_any_type(spark):
+    """Ids that aren't numbers, and null ones."""
+    docs = spark.createDataFrame([(1, "some leaked words"), (2, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([("b/1", "leaked words"), ("a/1", "some leaked"), (None, "words")], "item_id string, text string")
+    rows = {r.doc_id: r for r in decontam.report(docs, bench).collect()}
+    assert rows[1].n_hit == 3 and rows[1].n_items == 3 and rows[1].items_sha256 == hashlib.sha256(b"a/1,b/1").hexdigest()
+    assert rows[2].n_items == 0
+    found = decontam.annotate(docs, bench, "f").filter("doc_id = 1").first().f
+    assert found["items"] == ["a/1", "b/1", None]
+
+
+def test_memory_follows_the_benchmark():
+    """No pattern is copied: a list of words, arrays of places, one shift table."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(3)
+    vocabulary = [f"{rng.getrandbits(30):x}" for _ in range(20_000)]
+    items = [(str(k), " ".join(rng.choice(vocabulary) for _ in range(100))) for k in range(1200)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    held = decontam.Matchers(items)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 12 * size
+    assert decontam.scan("x " + items[7][1] + " y", held)[1:] == ([(1, 101)], {"7"})
+
