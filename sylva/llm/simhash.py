@@ -17,7 +17,9 @@ near enough for a link. A task sends on a forest of what it linked, never all pa
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; a
 component's id is the smallest id in it (null if it has none); repeated rows and ties
-are members of one component and each keeps its row; an empty table gives no rows.
+are members of one component and each keeps its row; an empty table gives no rows; very
+long texts are hashed in parts; extra columns aren't read, and ``keep_one`` keeps them,
+whatever their names and types.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stage, tune
+from .common import broadcast_if_small, free_name, stage, tune
 from .components import components
 
 SHINGLE = 4
@@ -79,7 +81,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = text.encode().lower().split() if text else []
     if not words:
         return 0
-    hashes = shingle_hashes(words, shingle)
+    return majority(shingle_hashes(words, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     n = len(hashes)
     set_bits = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 14):
@@ -141,12 +147,19 @@ def _link_small(first: np.ndarray, group: np.ndarray, fp: np.ndarray) -> list[tu
         d += 1
 
 
-def _link_large(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A set of links with the same components as all links of a group."""
+def _link_large(first: int, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A set of links with the same components as all links of a group that have their
+    chain at its first segment."""
     pivots, members, out = [], [], []
     rest = np.unique(fp)
+
+    def linked(x: np.ndarray) -> np.ndarray:
+        kept = chain_ok(x, np.full(x.shape, first))
+        kept[kept] = np.bitwise_count(x[kept]) <= DISTANCE
+        return kept
+
     while len(rest):
-        near = np.bitwise_count(rest ^ rest[0]) <= DISTANCE
+        near = linked(rest ^ rest[0])
         pivots.append(rest[0])
         members.append(rest[near])
         out.append((np.full(int(near.sum()), rest[0]), rest[near]))
@@ -168,7 +181,7 @@ def _link_large(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             b = members[j]
             for lo in range(0, len(members[k]), 256):
                 a = members[k][lo : lo + 256]
-                hit = np.argwhere(np.bitwise_count(a[:, None] ^ b[None, :]) <= DISTANCE)
+                hit = np.argwhere(linked(a[:, None] ^ b[None, :]))
                 if len(hit):
                     out.append((a[hit[:1, 0]], b[hit[:1, 1]]))
                     root[find(j)] = find(k)
@@ -191,7 +204,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(begins)
         large = size > SMALL
         for k in np.flatnonzero(large):
-            links.extend(_link_large(fp[begins[k] : begins[k + 1]]))
+            links.extend(_link_large(int(first_of[t[begins[k]]]), fp[begins[k] : begins[k + 1]]))
         small = ~np.repeat(large, size)
         links.extend(_link_small(first_of[t[small]], group[small], fp[small]))
 
@@ -258,17 +271,14 @@ def report(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the first of its smallest id."""
-    found = classes(docs)
-    leads = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("leads")
-    drop = stage(found.groupBy("doc_id").agg(leads).filter("NOT leads").select("doc_id"), "copies")
-    number, row = free_name(docs, "_n"), free_name(docs, "_row")
-    kept = docs.join(drop, "doc_id", "left_anti")
-    many = stage(kept.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if many.isEmpty():
-        return kept
-    # rows that share an id: one of them stays, chosen by content
-    again = kept.join(many, "doc_id", "left_semi").withColumn(row, F.struct(*[F.col(c) for c in docs.columns]))
-    once = again.groupBy("doc_id").agg(F.min(row).alias(number)).select(*[F.col(number)[c].alias(c) for c in docs.columns])
-    return kept.join(many, "doc_id", "left_anti").unionByName(once)
+def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the first of its smallest id. Rows are
+    told apart by a number, so that null and repeated ids are rows like others."""
+    key = free_name(docs, "_row")
+    rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = stage(classes(rows, key, text_col).select(F.col("doc_id").alias("v"), "component_id"), "classes")
+    ids = rows.select(F.col(key).alias("v"), "doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("first")
+    leads = found.join(ids, "v").groupBy("component_id").agg(first).select(F.col("first.v").alias("v"))
+    drop = stage(found.join(leads, "v", "left_anti").select(F.col("v").alias(key)), "copies")
+    return rows.join(broadcast_if_small(drop), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,19 +4,34 @@ A budget of bits that reaches a similarity of 0.8 leaves nothing of SimHash's ke
 fingerprints only find the nearest copies here. The rest comes from prefixes: of two
 sets as similar as asked for, in any common order of shingles, the first n - ceil(s n) + 1
 of each share one. The order is that of the hashes, with the shingles that very many
-prefixes hold put last. Counts of each set's hashes in ``CELLS`` cells bound what a pair
-can share and turn most others away; the rest is decided by the sets.
+prefixes hold put last.
+
+Fewer do for large sets. Of two such sets at most (1 - s) / s x n shingles aren't shared,
+and the order of the others, the rare ones, is random: the chance that the first k of
+their union are all unshared is at most f ** k, with f the share of these n among the rare
+ones. A prefix ends where this is 2 ** -``CHANCE``, the chance that two shingles have one
+64-bit hash, which any comparison of hashes takes: 32 entries of a text without common
+shingles, however long it is. (A text without a common shingle among its first 32
+keeps these: that many common ones stay unseen with a chance that makes up for it.)
+
+Counts of each set's hashes in cells, about four hashes to a cell, bound what a pair can
+share; they go with the entries, and turn most pairs away where they meet. The rest is
+decided by the sets.
 
 Pairs are looked for in three rounds: links of fingerprints, a few neighbours in each
 bucket, then all pairs of a bucket that the first two left in different groups. So a
-large group of near copies isn't compared pair by pair.
+large group of near copies isn't compared pair by pair. Buckets beyond ``BLOCK`` entries
+are dealt out as pairs of blocks, leaving out those within the bucket's main group.
 
 Defined results: equal texts (by lower-case words) are copies, those without words too;
-a text of fewer words than a shingle is one shingle; groups are connected components.
+a text of fewer words than a shingle is one shingle; groups are connected components;
+null and repeated ids are rows like others; an empty table gives no rows; extra columns
+stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -25,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import simhash
 from .common import broadcast_if_small, free_name, stage, tune
@@ -32,12 +48,18 @@ from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Shingles in more prefixes than this, and than one text in ``COMMON_SHARE``, go last.
+#: Bits of the chance that the prefixes of a pair miss each other.
+CHANCE = 64
+#: Shingles in more prefixes than this, and than one text in ``COMMON_SHARE``, go last;
+#: at most 32 x ``COMMON_SHARE`` of them are.
 COMMON = 256
 COMMON_SHARE = 1000
-#: Buckets up to this size are compared by offsets, all at once.
-LARGE = 512
-CELLS = 256
+#: Entries of a bucket that meet in one place, from each of two blocks.
+BLOCK = 4096
+#: Cells of a set: a power of two from a quarter of its size on, within these bounds.
+LEAST_CELLS, MOST_CELLS = 128, 4096
+#: Ids that may be broadcast when a count has shown that there are no more (16 MB).
+BROADCAST_IDS = 1_000_000
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -52,38 +74,97 @@ def alike(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
 
 
 def cells(found: np.ndarray) -> np.ndarray:
-    """How many hashes lie in each cell."""
-    return np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
-
-
-def may_be_alike(a: np.ndarray, b: np.ndarray, least: Fraction) -> np.ndarray:
-    """Of rows of cells: whether the shared part can be large enough."""
-    most, total = np.minimum(a, b).sum(axis=1, dtype=np.int64), a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
-    return most * (least.numerator + least.denominator) >= total * least.numerator
+    """How many hashes lie in each cell; none if a cell has more than a byte counts."""
+    n = min(MOST_CELLS, max(LEAST_CELLS, 1 << (-(-len(found) // 4) - 1).bit_length()))
+    count = np.bincount((found % np.uint64(n)).astype(np.int64), minlength=n)
+    return (count if count.max() < 256 else count[:0]).astype(np.uint8)
+
+
+class Cells:
+    """Cells of many sets, folded to the same number as they are compared."""
+
+    def __init__(self, held: list[bytes]):
+        self.held, self.widths, self.folded = held, np.array([len(c) for c in held]), {}
+
+    def _of(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each set's row is, and the rows, of all sets with so many cells."""
+        if width not in self.folded:
+            rows = np.flatnonzero(self.widths >= width)
+            at = np.zeros(len(self.widths), np.int64)
+            at[rows] = np.arange(len(rows))
+            made = [np.frombuffer(self.held[k], np.uint8).reshape(-1, width).sum(axis=0, dtype=np.uint16) for k in rows.tolist()]
+            self.folded[width] = at, np.stack(made)
+        return self.folded[width]
+
+    def may_be_alike(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, least: Fraction) -> np.ndarray:
+        """Of pairs of sets of n hashes: whether the shared part can be large enough."""
+        ok, width = np.ones(len(i), bool), np.minimum(self.widths[i], self.widths[j])
+        for w in np.unique(width[width > 0]).tolist():
+            at, made = self._of(w)
+            which = np.flatnonzero(width == w)
+            step = (1 << 22) // w
+            for k in range(0, len(which), step):
+                q = which[k : k + step]
+                x, y = i[q], j[q]
+                most = np.minimum(made[at[x]], made[at[y]]).sum(axis=1, dtype=np.int64)
+                ok[q] = most * (least.numerator + least.denominator) >= (n[x] + n[y]) * least.numerator
+        return ok
+
+
+def depth(n: int, rare: int, least: Fraction) -> int:
+    """Entries of the prefix of a set of n, of which so many are rare."""
+    exact = n + (-n * least.numerator // least.denominator) + 1
+    unshared = (1 - least) / least * n / rare if rare else 1
+    return min(exact, math.ceil(CHANCE / -math.log2(unshared))) if unshared < 0.75 else exact
 
 
 def prefix(found: np.ndarray, common: np.ndarray, least: Fraction) -> np.ndarray:
-    if len(common):
+    n = rare = len(found)
+    if n and len(common):
         last = np.isin(found, common)
+        rare -= int(last.sum())
         found = np.concatenate([found[~last], found[last]])
-    n = len(found)
-    return found[: n + (-n * least.numerator // least.denominator) + 1] if n else found
+    return found[: depth(n, rare, least)] if n else found
+
+
+SKETCH = T.StructType([T.StructField(n, t) for n, t in (("digest", T.BinaryType()), ("fp", T.LongType()), ("n", T.IntegerType()), ("cells", T.BinaryType()), ("low", T.ArrayType(T.LongType())))])
+_NONE = np.empty(0, np.uint64)
 
 
-def _prints(texts, size: int):
-    @F.arrow_udf("digest binary, fp long, cells binary")
+def sketch(text: str | None, size: int, least: Fraction) -> tuple[bytes, int, int, bytes, np.ndarray]:
+    """Digest of the words, fingerprint, number of shingles, cells, prefix."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return xxhash.xxh3_128_digest(b""), 0, 0, b"", _NONE.view(np.int64)
+    hashes = simhash.shingle_hashes(words, size)
+    found = np.unique(hashes)
+    fp = np.uint64(simhash.majority(hashes)).view(np.int64)
+    return xxhash.xxh3_128_digest(b" ".join(words)), int(fp), len(found), cells(found).tobytes(), prefix(found, _NONE, least).view(np.int64)
+
+
+def sketch_column(text, size: int = SHINGLE, least: Fraction = Fraction(str(SIMILARITY))):
+    @F.arrow_udf(SKETCH)
     def run(column: pa.Array) -> pa.Array:
-        rows = column.to_pylist()
-        digest = [xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split()) if t else b"") for t in rows]
-        fp = np.array([simhash.fingerprint(t, size) for t in rows], np.uint64).view(np.int64)
-        held = [cells(shingles(t, size)).tobytes() for t in rows]
-        return pa.StructArray.from_arrays([pa.array(digest, pa.binary()), pa.array(fp), pa.array(held, pa.binary())], names=["digest", "fp", "cells"])
+        rows = [sketch(t, size, least) for t in column.to_pylist()]
+        ends = np.cumsum([0, *(len(r[4]) for r in rows)])
+        low = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([r[4] for r in rows]) if rows else _NONE.view(np.int64)))
+        return pa.StructArray.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.binary()))), low], names=SKETCH.names)
+
+    return run(text)
+
+
+INDEX = "h long, v long, n int, at int"
 
-    return run(texts)
 
+def _index(prints: DataFrame, rows: DataFrame, common: np.ndarray, size: int, least: Fraction) -> DataFrame:
+    """(h, v, n, at): the shingles in the prefix of each text, with its size and their
+    places. Only texts with a common shingle in their first prefix are read again."""
 
-def _index(base: DataFrame, common: np.ndarray, size: int, least: Fraction) -> DataFrame:
-    """(h, v, n, at): the shingles in the prefix of each text, with its size and their places."""
+    @F.arrow_udf("boolean")
+    def touched(low: pa.Array) -> pa.Array:
+        hit = np.append(0, np.cumsum(np.isin(low.values.to_numpy().view(np.uint64), common)))
+        ends = low.offsets.to_numpy()
+        return pa.array(hit[ends[1:]] > hit[ends[:-1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,91 +180,129 @@ def _index(base: DataFrame, common: np.ndarray, size: int, least: Fraction) -> D
                 cols = [np.concatenate(x) for x in (h, v, n, at)]
                 yield pa.record_batch([pa.array(cols[0].view(np.int64)), *map(pa.array, cols[1:])], names=["h", "v", "n", "at"])
 
-    return base.mapInArrow(run, "h long, v long, n int, at int")
+    flat = lambda df: df.select("v", "n", F.posexplode("low").alias("at", "h")).select("h", "v", "n", "at")
+    if not len(common):
+        return flat(prints)
+    marked = stage(prints.select("v", "n", "low", touched("low").alias("hit")), "marked")
+    again = rows.join(_few(marked.filter("hit").select("v")), "v", "left_semi").select("v", "text").mapInArrow(run, INDEX)
+    return flat(marked.filter("NOT hit")).unionByName(again)
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    return broadcast_if_small(ids, BROADCAST_IDS)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole groups of the first one."""
-    held: list[list[np.ndarray]] = []
+def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.RecordBatch]:
+    """Whole groups of the first columns, which the rows are sorted by."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(cols[0]):
+        if not batch.num_rows:
             continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        if held and cols[0][0] != held[-1][0][-1]:
-            yield [np.concatenate(x) for x in zip(*held)]
+        same, goes_on = np.ones(batch.num_rows, bool), True
+        for k in range(keys):
+            c = batch.column(k).to_numpy()
+            same &= c == c[-1]
+            goes_on = goes_on and bool(held) and held[-1].column(k)[-1].as_py() == c[0]
+        if held and not goes_on:
+            yield joined()
             held = []
+        cut = int(np.argmax(same))
         if cut:
-            held.append([c[:cut] for c in cols])
-            yield [np.concatenate(x) for x in zip(*held)]
+            held.append(batch.slice(0, cut))
+            yield joined()
             held = []
-        held.append([c[cut:] for c in cols])
+        held.append(batch.slice(cut))
     if held:
-        yield [np.concatenate(x) for x in zip(*held)]
+        yield joined()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Only what more than one text has."""
-    for cols in _groups(batches):
-        same = cols[0][1:] == cols[0][:-1]
+    """Only what more than one text has, of rows sorted by h."""
+    for batch in _groups(batches):
+        h = batch.column(0).to_numpy()
+        same = h[1:] == h[:-1]
         keep = np.append(same, False) | np.append(False, same)
         if keep.any():
-            yield pa.record_batch([pa.array(c[keep]) for c in cols], names=["h", "v", "n", "at"])
+            yield batch.filter(pa.array(keep))
 
 
-def _candidates(shared: DataFrame, roots: DataFrame | None, least: Fraction, few: bool) -> DataFrame:
+def _candidates(shared: DataFrame, members: DataFrame, roots: DataFrame | None, least: Fraction, few: bool) -> DataFrame:
     """Pairs (a, b) of different groups that may be as similar as asked for; with
-    ``few``, neighbours and first members only."""
+    ``few``, neighbours and first members only. ``members``: (v, fp, cells)."""
     num, den = least.numerator, least.denominator
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, n, _, v, at, root in _groups(batches):
+        for batch in _groups(batches, 3):
+            h, p, q, own, n, at, _, v, root = (batch.column(k).to_numpy() for k in range(9))
             n, at = n.astype(np.int64), at.astype(np.int64)
-            new = np.append(True, h[1:] != h[:-1])
-            begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+            held = Cells(batch.column(9).to_pylist())
+            new = np.append(True, (h[1:] != h[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
+            group = np.cumsum(new)
+            begin = np.flatnonzero(new)[group - 1]
 
             def send(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+                ok = root[i] != root[j]
+                if not few:
+                    ok &= (p[i] == q[i]) | (own[i] != own[j])
+                i, j = i[ok], j[ok]
                 most = np.minimum(n[i] - at[i], n[j] - at[j])
-                ok = (root[i] != root[j]) & (np.maximum(n[i], n[j]) * num <= np.minimum(n[i], n[j]) * den) & (most * (num + den) >= (n[i] + n[j]) * num)
+                ok = (np.maximum(n[i], n[j]) * num <= np.minimum(n[i], n[j]) * den) & (most * (num + den) >= (n[i] + n[j]) * num)
+                i, j = i[ok], j[ok]
+                ok = held.may_be_alike(i, j, n, least)
                 i, j = i[ok], j[ok]
                 if len(i):
                     yield pa.record_batch([pa.array(np.minimum(v[i], v[j])), pa.array(np.maximum(v[i], v[j]))], names=["a", "b"])
 
-            every, d = np.arange(len(h)), 1
+            i, d = np.arange(len(h)), 1
             if few:
-                yield from send(begin, every)
-                i = every
-            else:
-                # the largest group of a large bucket isn't compared with itself
-                starts = np.append(np.flatnonzero(new), len(h))
-                large = np.diff(starts) > LARGE
-                for k in np.flatnonzero(large).tolist():
-                    members = every[starts[k] : starts[k + 1]]
-                    names, times = np.unique(root[members], return_counts=True)
-                    for one in members[root[members] != names[times.argmax()]].tolist():
-                        yield from send(np.full(len(members), one), members)
-                i = every[~np.repeat(large, np.diff(starts))]
+                yield from send(begin, i)
             while len(i) and not (few and d > 2):
                 i = i[i + d < len(h)]
-                i = i[h[i] == h[i + d]]
-                i = i[n[i + d] * num <= n[i] * den]
+                i = i[group[i] == group[i + d]]
+                if not few:  # in order of size
+                    i = i[n[i + d] * num <= n[i] * den]
                 yield from send(i, i + d)
                 d += 1
 
-    mixed = F.xxhash64("h", "v")
-    rows = shared.withColumn("root", F.col("v")) if roots is None else shared.join(broadcast_if_small(roots), shared["v"] == roots["vertex"], "left").withColumn("root", F.coalesce("root", "v"))
-    rows = rows.select("h", "n", mixed.alias("m"), "v", "at", "root")
-    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "h").sortWithinPartitions("h", "n", "m").mapInArrow(pairs, "a long, b long").distinct()
-
-
-def _check(pairs: DataFrame, base: DataFrame, prints: DataFrame, size: int, least: Fraction) -> DataFrame:
-    """The pairs that are as similar as asked for."""
-
-    @F.arrow_udf("boolean")
-    def possible(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.int32).reshape(-1, CELLS) for c in (a, b))
-        return pa.array(may_be_alike(x, y, least))
+    spark = shared.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if roots is None:
+        named = members.withColumn("root", F.col("v"))
+    else:
+        named = members.join(_few(roots), members["v"] == roots["vertex"], "left").select(members["v"], "fp", "cells", F.coalesce("root", "v").alias("root"))
+    rows = shared.join(named, "v")
+    zero = F.lit(0).cast("int")
+    hot = stage(shared.groupBy("h").count().filter(F.col("count") > BLOCK), "hot")
+    mixed = F.xxhash64("v")
+    if hot.isEmpty():
+        dealt = rows.withColumns({"own": zero, "p": zero, "q": zero})
+    elif few:
+        # neighbours within a block will do in this round
+        blocks = rows.join(broadcast_if_small(hot), "h", "left")
+        own = F.coalesce(F.pmod(mixed, F.ceil(F.col("count") / BLOCK)).cast("int"), zero)
+        dealt = blocks.withColumn("own", own).withColumns({"p": F.col("own"), "q": F.col("own")}).drop("count")
+    else:
+        # a bucket's main group comes in blocks behind those of the others
+        sizes = rows.join(hot.select("h"), "h", "left_semi").groupBy("h", "root").count()
+        main = sizes.groupBy("h").agg(F.max_by("root", "count").alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
+        main = stage(main.select("h", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("others")), "mains")
+        blocks = rows.join(main, "h", "left").filter("others IS NULL OR others > 0")
+        is_main = F.col("root") == F.col("main")
+        own = F.when(is_main, F.col("others") + F.pmod(mixed, F.col("mains")).cast("int")).otherwise(F.pmod(mixed, F.col("others")).cast("int"))
+        blocks = blocks.withColumn("own", F.coalesce(own, zero))
+        last = F.coalesce(F.when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1), zero)
+        dealt = blocks.withColumn("c", F.explode(F.sequence(zero, last))).withColumns({"p": F.least("own", "c"), "q": F.greatest("own", "c")})
+    dealt = dealt.select("h", "p", "q", "own", "n", "at", "fp", "v", "root", "cells")
+    keys = ["h", "p", "q"]
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "fp" if few else "n", "v").mapInArrow(pairs, "a long, b long").distinct()
+
+
+def _check(pairs: DataFrame, rows: DataFrame, size: int, least: Fraction) -> DataFrame:
+    """The pairs that are as similar as asked for, by the texts of ``rows``."""
 
     @F.arrow_udf("boolean")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -198,53 +317,54 @@ def _check(pairs: DataFrame, base: DataFrame, prints: DataFrame, size: int, leas
 
         return pa.array([alike(get(x), get(y), least) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
-    one, two = prints.select(F.col("v").alias("a"), F.col("cells").alias("s")), prints.select(F.col("v").alias("b"), F.col("cells").alias("t"))
-    pairs = stage(pairs.join(one, "a").join(two, "b").filter(possible("s", "t")).select("a", "b"), "pairs")
+    pairs = stage(pairs, "pairs")
     ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "ends")
-    texts = stage(base.join(broadcast_if_small(ends), "v", "left_semi"), "texts")
+    texts = stage(rows.select("v", "text").join(_few(ends), "v", "left_semi"), "texts")
     one, two = texts.select(F.col("v").alias("a"), F.col("text").alias("s")), texts.select(F.col("v").alias("b"), F.col("text").alias("t"))
     return stage(pairs.join(one, "a").join(two, "b").filter(similar("s", "t")).select("a", "b"), "similar")
 
 
 def copies(rows: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(v, root) of each row of a staged table (v long, text) that has a near copy."""
+    """(v, root) of each row of a staged table (v long, text, sketch) that has a near
+    copy; ``sketch`` is a ``sketch_column`` of the same settings."""
     spark, least = rows.sparkSession, Fraction(str(similarity))
-    tune(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prints = stage(rows.select("v", _prints(F.col("text"), size).alias("p")).select("v", "p.*"), "prints")
+    prints = rows.select("v", "sketch.*")
     texts = stage(prints.groupBy("digest").agg(F.min("v").alias("least"), F.min("fp").alias("fp"), F.count("*").alias("times")), "digests")
-    again = stage(prints.join(texts.filter("times > 1").select(F.col("least").alias("w"), "digest"), "digest").filter("v <> w").select("v"), "again")
-    base = rows.join(broadcast_if_small(again), "v", "left_anti").select("v", "text")
+    again = stage(prints.select("v", "digest").join(texts.filter("times > 1").select(F.col("least").alias("w"), "digest"), "digest").filter("v <> w").select("v"), "again")
+    single = prints.join(_few(again), "v", "left_anti")
     # links of fingerprints
     by_fp = stage(texts.groupBy("fp").agg(F.min("least").alias("lead")), "leads")
     near = stage(simhash.links(by_fp.select("fp")), "links")
     fa, fb = by_fp.select(F.col("fp").alias("a"), F.col("lead").alias("la")), by_fp.select(F.col("fp").alias("b"), F.col("lead").alias("lb"))
     pairs = near.join(fa, "a").join(fb, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
     pairs = pairs.unionByName(texts.join(by_fp, "fp").filter("least <> lead").select(F.col("lead").alias("a"), F.col("least").alias("b"))).distinct()
-    edges = _check(pairs, base, prints, size, least)
+    edges = _check(pairs, rows, size, least)
     roots = stage(components(edges), "roots")
     # prefixes that share a shingle
     limit = max(COMMON, texts.count() // COMMON_SHARE)
-    none = np.empty(0, np.uint64)
-    often = _index(base, none, size, least).groupBy("h").count().filter(F.col("count") > limit).select("h")
+    often = single.select(F.explode("low").alias("h")).groupBy("h").count().filter(F.col("count") > limit).select("h")
     common = np.array([r.h for r in often.collect()], np.int64).view(np.uint64)
-    index = _index(base, common, size, least)
-    shared = stage(index.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shared, index.schema), "shared")
+    index = _index(single.select("v", "n", "low"), rows, common, size, least)
+    shared = stage(index.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shared, INDEX), "shared")
+    members = single.select("v", "fp", "cells").join(_few(stage(shared.select("v").distinct(), "sharing")), "v", "left_semi")
+    members = stage(members, "members")
     for few in (True, False):
-        edges = edges.unionByName(_check(_candidates(shared, roots, least, few), base, prints, size, least))
+        edges = edges.unionByName(_check(_candidates(shared, members, roots, least, few), rows, size, least))
         roots = stage(components(edges), "roots")
     named = texts.join(roots, texts["least"] == roots["vertex"], "left").filter("times > 1 OR root IS NOT NULL")
     named = stage(named.select("digest", F.coalesce("root", "least").alias("root")), "named")
-    return stage(prints.join(named, "digest").select("v", "root"), "members")
+    return stage(prints.select("v", "digest").join(named, "digest").select("v", "root"), "members")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near copies: the first of its smallest id."""
-    key = free_name(docs, "_row")
-    rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
-    found = copies(rows.select(F.col(key).alias("v"), "text"), size, similarity)
+    tune(docs.sparkSession)
+    key, found = free_name(docs, "_row"), free_name(docs, "_sketch")
+    rows = stage(docs.withColumns({key: F.monotonically_increasing_id(), found: sketch_column(F.col("text"), size, Fraction(str(similarity)))}), "rows")
+    groups = copies(rows.select(F.col(key).alias("v"), "text", F.col(found).alias("sketch")), size, similarity)
     ids = rows.select(F.col(key).alias("v"), "doc_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("first")
-    leads = stage(found.join(ids, "v").groupBy("root").agg(first).select(F.col("first.v").alias("v")), "kept")
-    drop = stage(found.join(leads, "v", "left_anti").select(F.col("v").alias(key)), "dropped")
-    return rows.join(broadcast_if_small(drop), key, "left_anti").select(*docs.columns)
+    leads = stage(groups.join(ids, "v").groupBy("root").agg(first).select(F.col("first.v").alias("v")), "kept")
+    drop = stage(groups.join(leads, "v", "left_anti").select(F.col("v").alias(key)), "dropped")
+    return rows.join(_few(drop), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -91,14 +91,28 @@ def test_links_keep_components(spark, rng):
 
 
 def test_large_groups(rng):
-    fp = np.array(near(rng.getrandbits(64), rng, 500, 8) + [rng.getrandbits(64) for _ in range(50)], np.uint64)
-    a, b = simhash._forest(*(np.concatenate(x) for x in zip(*simhash._link_large(fp))))
-    root = dict(zip(a.tolist(), b.tolist()))
-    want = {p: r for p, _, r in slow_components([(p, p) for p in sorted(set(fp.tolist()))])}
-    by = {}
-    for p in set(fp.tolist()):
-        by.setdefault(root.get(p, p), set()).add(want[p])
-    assert all(len(v) == 1 for v in by.values()) and len(by) == len(set(want.values()))
+    """Of fingerprints with one key: all links whose chain starts there."""
+    for first, mask in simhash.KEYS[::3]:
+        base = rng.getrandbits(64)
+        fp = [p & ~mask | base & mask for p in near(base, rng, 500, 8) + [rng.getrandbits(64) for _ in range(50)]]
+        fp = np.array(fp, np.uint64)
+        a, b = simhash._forest(*(np.concatenate(x) for x in zip(*simhash._link_large(first, fp))))
+        root, names = dict(zip(a.tolist(), b.tolist())), sorted(set(fp.tolist()))
+        up = {p: p for p in names}
+
+        def find(p):
+            while up[p] != p:
+                p = up[p]
+            return p
+
+        for i, p in enumerate(names):
+            x = np.array(names[:i], np.uint64) ^ np.uint64(p)
+            for k in np.flatnonzero(simhash.chain_ok(x, np.full(i, first)) & (np.bitwise_count(x) <= 4)).tolist():
+                up[find(p)] = find(names[k])
+        by = {}
+        for p in names:
+            by.setdefault(root.get(p, p), set()).add(find(p))
+        assert all(len(v) == 1 for v in by.values()) and len(by) == len({find(p) for p in names})
 
 
 def test_report(spark, odd, empty):
@@ -112,15 +126,18 @@ def test_report(spark, odd, empty):
 def test_keep_one(spark, odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    # 1 and 6 are copies; 2, 3 and 4 have no words; 5 comes twice; rows without id stay
+    # 1 and 6 are copies; 2, 3, 4 and one without id have no words; 5 comes twice
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == [1, 2, 5, 7, 8, 9, 10] and ids.count(None) == 2
+    assert sorted(i for i in ids if i is not None) == [1, 2, 5, 7, 8, 9, 10] and ids.count(None) == 1
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in odd.collect()}
+    with_map = odd.selectExpr("*", "map('a', doc_id) AS m")
+    assert simhash.keep_one(with_map).columns == with_map.columns and simhash.keep_one(with_map).count() == len(ids)
     assert simhash.keep_one(empty).count() == 0
 
 
 def test_one_id_in_two_groups(spark):
     docs = frame(spark, [(5, "alpha beta gamma delta"), (5, "one two three four"), (3, "one two three four"), (6, "alpha beta gamma delta")])
-    assert {r.text for r in simhash.keep_one(docs).collect()} >= {"one two three four"}
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(3, "one two three four"), (5, "alpha beta gamma delta")]
 
 
 def test_near_copies_meet(spark):
