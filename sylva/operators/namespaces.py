@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .structure import pairs
+
+#: Prefixes that are put into an expression; more are joined.
+MOST_PREFIXES = 1000
+
 
 def normalize(declarations: DataFrame) -> DataFrame:
     """(doc_id, uri, normprefix) from declarations in order: the first prefix seen for
@@ -28,18 +33,17 @@ def normalize(declarations: DataFrame) -> DataFrame:
 
 def declarations(nodes: DataFrame) -> DataFrame:
     """(doc_id, seq, prefix, uri) of documents parsed without namespaces, from their
-    xmlns attributes."""
-    a = nodes.select("doc_id", F.col("pre").alias("owner"), F.col("fin"), F.inline("attrs")).filter("name = 'xmlns' OR name LIKE 'xmlns:%'")
+    xmlns attributes; ``seq`` orders them by element and place."""
+    a = nodes.select("doc_id", F.col("pre").alias("owner"), F.col("fin"), "path", F.inline("attrs")).filter("name = 'xmlns' OR name LIKE 'xmlns:%'")
     prefix = F.when(F.col("name") == "xmlns", "").otherwise(F.substring("name", 7, 2**31 - 1))
-    return a.select("doc_id", "owner", "fin", (F.col("owner") * 1000 + F.col("pos")).alias("seq"), prefix.alias("prefix"), F.col("value").alias("uri"))
+    return a.select("doc_id", "owner", "fin", "path", F.struct("owner", "pos").alias("seq"), prefix.alias("prefix"), F.col("value").alias("uri"))
 
 
 def effective(nodes: DataFrame) -> DataFrame:
     """(doc_id, pre, prefix, uri) in scope at each element: the nearest declaration of
     each prefix; an empty URI hides it."""
-    owners = declarations(nodes).select(F.col("doc_id").alias("_d"), "owner", "fin", "prefix", F.col("uri"))
-    at = nodes.filter("kind = 'element'").select("doc_id", "pre")
-    seen = at.join(owners, (F.col("doc_id") == F.col("_d")) & (F.col("owner") <= F.col("pre")) & (F.col("fin") >= F.col("pre")))
+    owners = declarations(nodes).select(F.col("doc_id").alias("_d"), F.col("owner").alias("_a"), F.col("fin").alias("_f"), F.col("path").alias("_path"), "owner", "prefix", "uri")
+    seen = pairs(nodes.filter("kind = 'element'").select("doc_id", "pre", "path"), owners, own=True)
     near = seen.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "pre", "prefix").orderBy(F.desc("owner")))).filter("_n = 1 AND uri <> ''")
     return near.select("doc_id", "pre", "prefix", "uri")
 
@@ -61,10 +65,29 @@ def display_prefixes(nodes: DataFrame) -> DataFrame:
 
 
 def relocate(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Elements under another set of normalised prefixes (uri, normprefix): names are
-    made again from URIs; a URI that isn't there keeps its prefix."""
-    fresh = prefixes.select(F.col("uri").alias("_u"), F.col("normprefix").alias("_p"))
-    rows = nodes.join(F.broadcast(fresh) if prefixes.limit(1001).count() <= 1000 else fresh, F.col("uri") == F.col("_u"), "left")
+    """Elements and attributes under another set of normalised prefixes (uri,
+    normprefix): names are made again from URIs; a URI that isn't there keeps its prefix."""
+
+    def renamed(prefix, local, name):
+        return F.when(local.isNull(), name).when(prefix == "", local).otherwise(F.concat(prefix, F.lit(":"), local))
+
+    few = prefixes.select("uri", "normprefix").limit(MOST_PREFIXES + 1).collect()
+    if not few:
+        return nodes
+    if len(few) <= MOST_PREFIXES:
+        table = F.create_map(*[F.lit(x) for r in few for x in (r["uri"], r["normprefix"])])
+        fresh = lambda uri, prefix: F.coalesce(F.try_element_at(table, uri), prefix)
+
+        def moved(a):
+            prefix = fresh(a["uri"], a["prefix"])
+            return a.withField("prefix", prefix).withField("name", renamed(prefix, a["local"], a["name"]))
+
+        prefix = fresh(F.col("uri"), F.col("prefix"))
+        return nodes.withColumns({"name": renamed(prefix, F.col("local"), F.col("name")), "prefix": prefix, "attrs": F.transform("attrs", moved)}).select(*nodes.columns)
+    table = prefixes.select(F.col("uri").alias("_u"), F.col("normprefix").alias("_p"))
+    each = nodes.filter(F.size("attrs") > 0).select("doc_id", "pre", F.explode("attrs").alias("_x")).join(table, F.col("_x.uri") == F.col("_u"), "left")
+    x, own = F.col("_x"), F.coalesce("_p", "_x.prefix")
+    lists = each.groupBy("doc_id", "pre").agg(F.array_sort(F.collect_list(x.withField("prefix", own).withField("name", renamed(own, x["local"], x["name"])))).alias("_attrs"))
+    rows = nodes.join(table, F.col("uri") == F.col("_u"), "left").join(lists, ["doc_id", "pre"], "left")
     prefix = F.coalesce("_p", "prefix")
-    name = F.when(F.col("local").isNull(), F.col("name")).when(prefix == "", F.col("local")).otherwise(F.concat(prefix, F.lit(":"), "local"))
-    return rows.withColumns({"prefix": prefix, "name": name}).select(*nodes.columns)
+    return rows.withColumns({"name": renamed(prefix, F.col("local"), F.col("name")), "prefix": prefix, "attrs": F.coalesce("_attrs", "attrs")}).select(*nodes.columns)

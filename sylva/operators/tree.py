@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from sylva.functions.text import SPACE
 
 from .events import depth
+from .structure import key, pairs, with_path
+
 
 def sibling_order() -> WindowSpec:
     return Window.partitionBy("doc_id", "parent").orderBy("pos")
 
 
-
 def solidify(events: DataFrame) -> DataFrame:
     """Events to nodes: each start tag meets its end tag, which is the next end tag of
     its depth; ``pre`` counts the events that open nodes."""
@@ -53,8 +54,8 @@ def liquefy(nodes: DataFrame) -> DataFrame:
 
 def descendants(nodes: DataFrame, of: DataFrame, matching: Column) -> DataFrame:
     """(doc_id, of, ...node) for nodes below those in ``of`` (doc_id, pre, fin)."""
-    start = of.select(F.col("doc_id").alias("_d"), F.col("pre").alias("of"), F.col("fin").alias("_fin"))
-    return nodes.filter(matching).join(start, (F.col("doc_id") == F.col("_d")) & (F.col("pre") > F.col("of")) & (F.col("pre") <= F.col("_fin"))).drop("_d", "_fin")
+    start = with_path(of, nodes).select(F.col("doc_id").alias("_d"), F.col("pre").alias("_a"), F.col("pre").alias("of"), F.col("fin").alias("_f"), F.col("path").alias("_path"))
+    return pairs(nodes.filter(matching), start).drop("_a", "_f")
 
 
 def find_all(nodes: DataFrame, of: DataFrame, matching: Column, deeply: bool = True) -> DataFrame:
@@ -96,28 +97,31 @@ def post_order(nodes: DataFrame) -> DataFrame:
 
 # ---- edits
 
-def _below(a: str, b: str) -> Column:
-    return (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{b}.pre") <= F.col(f"{a}.pre")) & (F.col(f"{b}.fin") >= F.col(f"{a}.pre"))
-
-
 def prune(nodes: DataFrame, matching: Column) -> DataFrame:
-    """Without the subtrees of matching nodes (not numbered anew)."""
-    dropped = nodes.filter(matching).select("doc_id", "pre", "fin")
-    return nodes.alias("n").join(dropped.alias("x"), _below("n", "x"), "left_anti")
+    """Without the subtrees of matching nodes (not numbered anew): a node goes if a
+    matching one before it, or itself, ends behind it."""
+    before = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.max(F.when(matching, F.col("fin"))).over(before)
+    return nodes.withColumn("_ends", ends).filter("_ends IS NULL OR _ends < pre").drop("_ends")
 
 
 def renumber(nodes: DataFrame) -> DataFrame:
     """pre, fin, level, pos and parent from ``path``, which orders the nodes. Paths
-    may have gaps; a node's parent has its path without the last number."""
-    order = Window.partitionBy("doc_id").orderBy("path")
-    rows = nodes.withColumns({"pre": F.row_number().over(order).cast("long") - 1, "level": F.size("path"), "_key": F.col("path").cast("string"), "_up": F.when(F.size("path") > 0, F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).cast("string")})
-    # a subtree ends before the next node that isn't deeper: the last pre that has
-    # the path as a prefix, counted by exploding each node's ancestors
-    up = rows.select("doc_id", "pre", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", 1, k))).alias("_a")).select("doc_id", F.col("_a").cast("string").alias("_key"), "pre")
-    ends = up.groupBy("doc_id", "_key").agg(F.max("pre").alias("_fin"))
-    parents = rows.select("doc_id", F.col("_key").alias("_up"), F.col("pre").alias("_parent"))
-    out = rows.drop("fin").join(ends, ["doc_id", "_key"]).join(parents, ["doc_id", "_up"], "left").drop("parent")
-    out = out.withColumns({"fin": F.col("_fin"), "parent": F.col("_parent"), "pos": F.when(F.size("path") > 0, F.row_number().over(Window.partitionBy("doc_id", "_up").orderBy("path")) - 1).otherwise(0)})
+    may have gaps; a node's parent has its path without the last number.
+
+    Each node has a mark that its path orders behind all below it: the nodes counted up
+    to the mark give ``fin``."""
+    last = F.lit(2**31 - 1)
+    both = nodes.select("doc_id", key().alias("_key"), "path", F.lit(1).alias("_is")).unionByName(nodes.select("doc_id", key().alias("_key"), F.concat("path", F.array(last)).alias("path"), F.lit(0).alias("_is")))
+    order = Window.partitionBy("doc_id").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("_n", F.sum("_is").over(order) - 1)
+    places = counted.groupBy("doc_id", "_key").agg(F.max(F.when(F.col("_is") == 1, F.col("_n"))).alias("_pre"), F.max(F.when(F.col("_is") == 0, F.col("_n"))).alias("_fin"))
+    up = F.when(F.size("path") > 0, key(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))))
+    rows = nodes.withColumns({"_key": key(), "_up": up, "level": F.size("path")}).join(places, ["doc_id", "_key"])
+    parents = places.select("doc_id", F.col("_key").alias("_up"), F.col("_pre").alias("_parent"))
+    out = rows.join(parents, ["doc_id", "_up"], "left")
+    pos = F.when(F.size("path") > 0, F.row_number().over(Window.partitionBy("doc_id", "_up").orderBy("path")) - 1).otherwise(0)
+    out = out.withColumns({"pre": F.col("_pre"), "fin": F.col("_fin"), "parent": F.col("_parent"), "pos": pos})
     return out.select(*nodes.columns)
 
 
@@ -146,10 +150,10 @@ def sort_children(nodes: DataFrame, of: str, key: str) -> DataFrame:
     kids = nodes.join(parents, ["doc_id", "parent"]).select("doc_id", "parent", "pre", "pos")
     keys = nodes.filter((F.col("kind") == "element") & (F.col("name") == key)).select("doc_id", F.col("parent").alias("pre"), F.struct("pos", "value").alias("_v")).groupBy("doc_id", "pre").agg(F.min("_v").alias("_v"))
     ranked = kids.join(keys, ["doc_id", "pre"], "left").withColumn("_to", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy(F.coalesce("_v.value", F.lit("")), "pos")) - 1)
-    moved = ranked.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_m"), "_to")
+    moved = ranked.select("doc_id", "pre", "_to")
     # a node's path changes at the level of each ancestor that moved
-    spans = nodes.select("doc_id", "pre", "fin", "level").join(moved, (F.col("doc_id") == F.col("_d")) & (F.col("pre") == F.col("_m"))).select(F.col("doc_id").alias("_d"), F.col("pre").alias("_a"), F.col("fin").alias("_f"), (F.col("level") - 1).alias("_at"), "_to")
-    hits = nodes.select("doc_id", "pre").join(spans, (F.col("doc_id") == F.col("_d")) & (F.col("pre") >= F.col("_a")) & (F.col("pre") <= F.col("_f"))).groupBy("doc_id", "pre").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_to"))).alias("_map"))
+    spans = nodes.select("doc_id", "pre", "fin", "level", "path").join(moved, ["doc_id", "pre"]).select(F.col("doc_id").alias("_d"), F.col("pre").alias("_a"), F.col("fin").alias("_f"), F.col("path").alias("_path"), (F.col("level") - 1).alias("_at"), "_to")
+    hits = pairs(nodes.select("doc_id", "pre", "path"), spans, own=True).groupBy("doc_id", "pre").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_to"))).alias("_map"))
     out = nodes.join(hits, ["doc_id", "pre"], "left")
     path = F.transform("path", lambda k, i: F.coalesce(F.try_element_at("_map", i), k))
     return renumber(out.withColumn("path", F.when(F.col("_map").isNull(), F.col("path")).otherwise(path)).select(*nodes.columns))
@@ -180,8 +184,8 @@ def strip_whitespace(nodes: DataFrame, left: str = "seq", right: str = "seq", de
     """Strip the first data child of each element at its left and the last at its
     right. Comments don't count; below xml:space="preserve" nothing is stripped."""
     space = F.filter("attrs", lambda a: a["name"] == "xml:space")
-    owners = nodes.filter(F.size(space) > 0).select(F.col("doc_id").alias("_d"), F.col("pre").alias("_a"), F.col("fin").alias("_f"), F.get(space, 0)["value"].alias("_s"))
-    near = nodes.filter("kind = 'data'").join(owners, (F.col("doc_id") == F.col("_d")) & (F.col("pre") >= F.col("_a")) & (F.col("pre") <= F.col("_f"))).groupBy("doc_id", "pre").agg(F.max_by("_s", "_a").alias("_space"))
+    owners = nodes.filter(F.size(space) > 0).select(F.col("doc_id").alias("_d"), F.col("pre").alias("_a"), F.col("fin").alias("_f"), F.col("path").alias("_path"), F.get(space, 0)["value"].alias("_s"))
+    near = pairs(nodes.filter("kind = 'data'").select("doc_id", "pre", "path"), owners, own=True).groupBy("doc_id", "pre").agg(F.max_by("_s", "_a").alias("_space"))
     counted = nodes.filter("kind NOT IN ('comment', 'super_root')").groupBy("doc_id", "parent").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
     rows = nodes.join(near, ["doc_id", "pre"], "left").join(counted, ["doc_id", "parent"], "left")
     ruled = (F.col("kind") == "data") & (F.coalesce("_space", F.lit("default")) != "preserve")
@@ -203,8 +207,8 @@ def set_attribute(nodes: DataFrame, matching: Column, name: str, value: Column)
 
 def clone(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Subtrees as documents of their own: ``roots`` (doc_id, pre, fin, path, new_id)."""
-    r = roots.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_a"), F.col("fin").alias("_f"), F.size("path").alias("_n"), "new_id")
-    inside = nodes.join(r, (F.col("doc_id") == F.col("_d")) & (F.col("pre") >= F.col("_a")) & (F.col("pre") <= F.col("_f")))
+    r = roots.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_a"), F.col("fin").alias("_f"), F.col("path").alias("_path"), F.size("path").alias("_n"), "new_id")
+    inside = pairs(nodes, r, own=True)
     moved = inside.withColumns({"doc_id": F.col("new_id"), "path": F.concat(F.array(F.lit(0)), F.slice("path", F.col("_n") + 1, F.size("path")))}).select(*nodes.columns)
     top = roots.select(F.col("new_id").alias("doc_id")).withColumns({"kind": F.lit("super_root"), "path": F.array().cast("array<int>")})
     fill = {c: F.lit(None).cast(t) for c, t in nodes.dtypes if c not in top.columns}

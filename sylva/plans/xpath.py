@@ -3,12 +3,17 @@
 A relation of contexts is *loop-lifted*: key columns say which context a row belongs
 to, and node columns hold its node. A step joins the node table; a predicate makes
 each candidate a context of its own; a scalar is a column on the rows of its contexts.
-Every join has ``doc`` among its equalities, so that structural range conditions are
-checked inside hash or merge joins.
+
+Joins are equalities: of parents, of places, and of the keys of paths and their prefixes
+for ancestors and descendants, so that a join makes the rows asked for and few others.
+``following`` and ``preceding`` without positions look at the outermost context only;
+with positions they compare ranks within a document. What a node's own row holds, its
+attributes and its string value, is read there without a join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import count
 
@@ -20,11 +25,13 @@ from sylva.sources.parser import Options
 from sylva.sources.store import roundtrip
 from sylva.sources.xml import parse_nodes
 
+from sylva.operators.structure import key, keys_above
+
 from .path import BOOLEAN, NODESET, NUMBER, REVERSE, STRING, Binary, Call, Filter, Literal, Neg, Path, PathError, Step, Var, parse, positional, rewrite, type_of
 
 #: Columns of a node; (doc, pre, sub, apos) identifies it and orders a document:
 #: an element (sub 0), its namespaces (1), its attributes (2), its children.
-NODE = ["doc", "pre", "sub", "apos", "fin", "parent", "pos", "kind", "name", "prefix", "local", "uri", "qname", "type", "sv"]
+NODE = ["doc", "pre", "sub", "apos", "fin", "parent", "pos", "path", "kind", "name", "prefix", "local", "uri", "qname", "type", "sv", "attrs", "ns"]
 KEY = ["doc", "pre", "sub", "apos"]
 
 
@@ -32,23 +39,36 @@ def node_table(nodes: DataFrame, irregular: bool = True) -> DataFrame:
     """All nodes in one table, attributes and namespaces among them."""
     none, zero = F.lit(None).cast("string"), F.lit(0)
 
-    def qname() -> Column:
-        """The name with the prefix that the document has for it."""
-        shown = F.get(F.filter("ns", lambda n: n["normprefix"] == F.col("prefix")), 0)["prefix"]
-        shown = F.coalesce(shown, F.col("prefix"))
-        return F.when(shown == "", F.coalesce("local", "name")).otherwise(F.concat(shown, F.lit(":"), "local"))
-
     regular = nodes.select(
-        F.col("doc_id").alias("doc"), "pre", zero.alias("sub"), zero.alias("apos"), "fin", "parent", "pos", "kind", "name", "prefix", "local", "uri", qname().alias("qname"), none.alias("type"), F.coalesce("value", F.lit("")).alias("sv")
+        F.col("doc_id").alias("doc"), "pre", zero.alias("sub"), zero.alias("apos"), "fin", "parent", "pos", "path", "kind", "name", "prefix", "local", "uri", _qname(F.col("prefix"), F.col("local"), F.col("name"), "ns").alias("qname"), none.alias("type"), F.coalesce("value", F.lit("")).alias("sv"), "attrs", "ns"
     )
     if not irregular:
         return regular
-    own = ["doc_id", F.col("pre").alias("owner")]
-    attrs = nodes.filter(F.size("attrs") > 0).select(*own, "ns", F.inline("attrs"))
-    a = attrs.select(F.col("doc_id").alias("doc"), F.col("owner").alias("pre"), F.lit(2).alias("sub"), F.col("pos").alias("apos"), F.col("owner").alias("fin"), F.col("owner").alias("parent"), F.lit(-1).alias("pos"), F.lit("attribute").alias("kind"), "name", "prefix", "local", "uri", qname().alias("qname"), "type", F.col("value").alias("sv"))
-    spaces = nodes.filter(F.size("ns") > 0).select(*own, F.inline("ns"))
-    n = spaces.select(F.col("doc_id").alias("doc"), F.col("owner").alias("pre"), F.lit(1).alias("sub"), F.col("pos").alias("apos"), F.col("owner").alias("fin"), F.col("owner").alias("parent"), F.lit(-2).alias("pos"), F.lit("namespace").alias("kind"), F.col("prefix").alias("name"), F.lit("").alias("prefix"), F.col("prefix").alias("local"), F.lit("").alias("uri"), F.col("prefix").alias("qname"), none.alias("type"), F.col("uri").alias("sv"))
-    return regular.unionByName(a).unionByName(n)
+    return regular.unionByName(_attributes(regular, [], F.lit(True))).unionByName(_namespaces(regular, []))
+
+
+def _qname(prefix: Column, local: Column, name: Column, ns: str) -> Column:
+    """The name with the prefix that the document has for it."""
+    shown = F.coalesce(F.get(F.filter(ns, lambda n: n["normprefix"] == prefix), 0)["prefix"], prefix)
+    return F.when(shown == "", F.coalesce(local, name)).otherwise(F.concat(shown, F.lit(":"), local))
+
+
+def _inner(rows: DataFrame, keep: list[str], each: Column, sub: int, pos: int, kind: str, columns: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """The nodes that lie within the rows of elements, as rows of their own."""
+    x = F.col("_x")
+    own = {"sub": F.lit(sub), "apos": x["pos"], "fin": F.col("pre"), "parent": F.col("pre"), "pos": F.lit(pos), "kind": F.lit(kind)} | columns(x)
+    own |= {c: F.array().cast(rows.schema[c].dataType) for c in ("attrs", "ns")}
+    return rows.filter("sub = 0").withColumn("_x", F.explode(each)).select(*keep, *[own.get(c, F.col(c)).alias(c) for c in NODE])
+
+
+def _attributes(rows: DataFrame, keep: list[str], matching: Callable[[Column], Column] | Column) -> DataFrame:
+    each = F.filter("attrs", matching) if callable(matching) else F.col("attrs")
+    return _inner(rows, keep, each, 2, -1, "attribute", lambda a: {c: a[c] for c in ("name", "prefix", "local", "uri", "type")} | {"qname": _qname(a["prefix"], a["local"], a["name"], "ns"), "sv": a["value"]})
+
+
+def _namespaces(rows: DataFrame, keep: list[str]) -> DataFrame:
+    none = F.lit("")
+    return _inner(rows, keep, F.col("ns"), 1, -2, "namespace", lambda n: {"name": n["prefix"], "prefix": none, "local": n["prefix"], "uri": none, "qname": n["prefix"], "type": F.lit(None).cast("string"), "sv": n["uri"]})
 
 
 @dataclass
@@ -152,24 +172,40 @@ class Evaluator:
     def _step(self, s: Step, rel: Rel, single: bool) -> tuple[Rel, bool]:
         """One step from each node of ``rel``. ``single``: each context has at most one
         node so far, so that no result comes twice."""
-        axis = s.axis
+        axis = s.axis.removesuffix("-reverse")
         c_ = self._new("c")
-        ctx = [F.col(c).alias(c_ + c) for c in KEY + ["fin", "parent", "pos"]]
+        ctx = [F.col(c).alias(c_ + c) for c in KEY + ["fin", "parent", "pos", "path"]]
         if axis == "self":
             found = rel.df.filter(self._test(s)).select(*rel.keys, *ctx, *NODE)
             disjoint, single_out = True, single
+        elif axis in ("attribute", "namespace"):
+            here = rel.df.select(*rel.keys, *ctx, *NODE)
+            keep = rel.keys + [c_ + c for c in KEY]
+            found = _namespaces(here, keep) if axis == "namespace" else _attributes(here, keep, F.lit(True))
+            found = found.filter(self._test(s))
+            disjoint, single_out = True, False
         else:
-            here = rel.df.select(*rel.keys, *ctx)
+            if axis in ("following", "preceding") and not any(positional(p) or self._type(p) == NUMBER for p in s.preds):
+                here, single = self._outermost(axis, rel, c_), True
+            else:
+                here = rel.df.select(*rel.keys, *ctx)
             b = self.table.filter(self._test(s))
-            if axis == "attribute":
-                b = b.filter("sub = 2")
-            elif axis == "namespace":
-                b = b.filter("sub = 1")
-            elif axis not in ("descendant-or-self", "ancestor-or-self", "descendant-or-self-reverse"):
+            if not axis.endswith("-or-self"):
                 b = b.filter("sub = 0")
             on, before = self._condition(axis, c_)
-            found = here.filter(before).join(b, (F.col(c_ + "doc") == F.col("doc")) & on).select(*rel.keys, *[c_ + c for c in KEY], *NODE)
-            disjoint = axis in ("child", "attribute", "namespace", "child-reverse")
+            here, same = here.filter(before), F.col(c_ + "doc") == F.col("doc")
+            if axis.startswith("descendant"):
+                here = here.withColumn(c_ + "key", key(c_ + "path"))
+                b = b.withColumn("_key", F.explode(keys_above("path", axis != "descendant")))
+                same = same & (F.col(c_ + "key") == F.col("_key"))
+            elif axis.startswith("ancestor"):
+                # an attribute's element is above it
+                above = keys_above(c_ + "path", True) if axis != "ancestor" else F.when(F.col(c_ + "sub") > 0, keys_above(c_ + "path", True)).otherwise(keys_above(c_ + "path"))
+                here = here.withColumn(c_ + "key", F.explode(above))
+                b = b.withColumn("_key", key())
+                same = same & (F.col(c_ + "key") == F.col("_key"))
+            found = here.join(b, same & on).select(*rel.keys, *[c_ + c for c in KEY], *NODE)
+            disjoint = axis == "child"
             single_out = single and axis == "parent"
         if s.preds:
             found = self._step_predicates(s, rel.keys + [c_ + c for c in KEY], found)
@@ -178,6 +214,13 @@ class Evaluator:
             out = out.dropDuplicates(rel.keys + KEY)
         return Rel(out, rel.keys), single_out
 
+    def _outermost(self, axis: str, rel: Rel, c_: str) -> DataFrame:
+        """Of each context the node that has all results of the axis."""
+        ends = F.when(F.col("sub") > 0, F.col("pre")).otherwise(F.col("fin"))
+        place = F.struct(ends, "pre", "sub", "apos", "doc", "fin") if axis == "following" else F.struct("pre", "sub", "apos", "doc", "fin")
+        best = rel.df.groupBy(*rel.keys, F.col("doc").alias("_same_doc")).agg((F.min if axis == "following" else F.max)(place).alias("_best"))
+        return best.select(*rel.keys, *[F.col(f"_best.{c}").alias(c_ + c) for c in KEY + ["fin"]])
+
     @staticmethod
     def _condition(axis: str, context: str) -> tuple[Column, Column]:
         """The join condition, and which contexts have results at all."""
@@ -199,12 +242,25 @@ class Evaluator:
             # after an attribute comes what its element contains
             "following": (pre > F.when(c("sub") > 0, c("pre")).otherwise(c("fin")), always),
             "preceding": (fin < c("pre"), always),
-            "attribute": (pre == c("pre"), element),
-            "namespace": (pre == c("pre"), element),
             "descendant-or-self": (same | (regular & element & below), always),
             "ancestor-or-self": (same | (regular & (above | owner)), always),
         }
-        return conditions[axis.removesuffix("-reverse")]
+        return conditions[axis]
+
+    def _local(self, e) -> Column | None:
+        """Of a path that stays on the row of its context, the string values as an array:
+        attributes without predicates, or the node itself."""
+        if not isinstance(e, Path) or e.start is not None or len(e.steps) != 1 or e.steps[0].preds:
+            return None
+        s = e.steps[0]
+        if s.axis == "self" and s.test == "node":
+            return F.array("sv")
+        if s.axis != "attribute" or s.test not in ("*", "name", "prefix", "node"):
+            return None
+        each = F.col("attrs")
+        if s.test in ("name", "prefix"):
+            each = F.filter(each, lambda a: a[s.test] == s.name)
+        return F.transform(each, lambda a: a["value"])
 
     def _step_predicates(self, s: Step, group: list[str], found: DataFrame) -> DataFrame:
         backward = s.axis in REVERSE
@@ -268,6 +324,11 @@ class Evaluator:
         """An expression as a column of type ``want`` on the rows of ``rel``."""
         kind = self._type(e)
         if kind == NODESET:
+            if (values := self._local(e)) is not None:
+                if want == BOOLEAN:
+                    return rel, F.size(values) > 0
+                text = F.coalesce(F.get(values, 0), F.lit(""))
+                return rel, fn.to_number(text) if want == NUMBER else text
             if want == BOOLEAN:
                 return self._aggregate(e, rel, F.count("*") > 0, False)
             first = F.min_by("sv", F.struct("pre", "sub", "apos"))
@@ -335,6 +396,8 @@ class Evaluator:
         # some node must compare with the scalar of its context
         numbers = right == NUMBER or e.op not in ("=", "!=")
         rel, b = self._held(e.right, rel, NUMBER if numbers else STRING)
+        if (values := self._local(e.left)) is not None:
+            return rel, F.exists(values, lambda v: fn.compare(e.op, fn.to_number(v) if numbers else v, b, numbers))
         nodes = self.nodeset(e.left, rel).df
         name, found = self._new("v"), self._new("b")
         if not isinstance(e.right, (Literal, Var)):
@@ -347,6 +410,11 @@ class Evaluator:
     def _compare_sets(self, e: Binary, rel: Rel) -> tuple[Rel, Column]:
         """Some node of one set against some node of the other: equality joins, the
         rest by extremes."""
+        one, two = self._local(e.left), self._local(e.right)
+        if one is not None and two is not None:
+            numbers = e.op not in ("=", "!=")
+            number = (lambda v: fn.to_number(v)) if numbers else (lambda v: v)
+            return rel, F.exists(one, lambda v: F.exists(two, lambda w: fn.compare(e.op, number(v), number(w), numbers)))
         name = self._new("v")
         a, b = self.nodeset(e.left, rel).df, self.nodeset(e.right, rel).df
         if e.op == "=":
@@ -375,6 +443,8 @@ class Evaluator:
             return rel, F.col("_position")
         if e.name == "last":
             return rel, F.col("_size")
+        if e.name in ("count", "sum") and (values := self._local(e.args[0])) is not None:
+            return rel, F.size(values).cast("double") if e.name == "count" else F.aggregate(values, F.lit(0.0), lambda acc, v: acc + fn.to_number(v))
         if e.name == "count":
             return self._aggregate(e.args[0], rel, F.count("*").cast("double"), 0.0)
         if e.name == "sum":
@@ -403,11 +473,11 @@ class Evaluator:
         """Whether the nearest xml:lang is the language or a variety of it."""
         rel, want = self._held(arg, rel, STRING)
         name = self._new("v")
-        langs = self.table.filter("sub = 2 AND name = 'xml:lang'").select(F.col("doc").alias("_of"), F.col("pre").alias("_pre"), F.col("sv").alias("_lang"))
-        spans = self.table.filter("sub = 0").select(F.col("doc").alias("_of"), F.col("pre").alias("_pre"), F.col("fin").alias("_fin"))
-        owners = langs.join(spans, ["_of", "_pre"])
-        here = rel.df.select(*rel.keys, F.col("doc").alias("_doc_here"), F.col("pre").alias("_at"))
-        near = here.join(owners, (F.col("_doc_here") == F.col("_of")) & (F.col("_pre") <= F.col("_at")) & (F.col("_fin") >= F.col("_at"))).groupBy(*rel.keys).agg(F.max_by("_lang", "_pre").alias(name))
+        lang = F.get(F.filter("attrs", lambda a: a["name"] == "xml:lang"), 0)["value"]
+        owners = self.table.filter("sub = 0").select(F.col("doc").alias("_of"), key().alias("_own"), F.col("pre").alias("_pre"), F.col("fin").alias("_fin"), lang.alias("_lang")).filter("_lang IS NOT NULL")
+        here = rel.df.select(*rel.keys, F.col("doc").alias("_doc_here"), F.col("pre").alias("_at"), F.explode(keys_above("path", True)).alias("_key"))
+        on = (F.col("_doc_here") == F.col("_of")) & (F.col("_key") == F.col("_own")) & (F.col("_pre") <= F.col("_at")) & (F.col("_fin") >= F.col("_at"))
+        near = here.join(owners, on).groupBy(*rel.keys).agg(F.max_by("_lang", "_pre").alias(name))
         rel, lang = self._attach(rel, near, name, "")
         lang, want = F.lower(lang), F.lower(want)
         return rel, (lang == want) | F.startswith(lang, F.concat(want, F.lit("-")))
