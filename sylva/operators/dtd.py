@@ -1,4 +1,5 @@
-"""DTDs: declarations read on the driver, kept as small tables for plans.
+"""DTDs: declarations read to tables for plans, one DTD on the driver (``parse_dtd``) or
+those of many documents in tasks (``dtds_of``).
 
 Reading knows parameter entities, conditional sections and the processing
 instructions that relax declarations. The first declaration of an attribute or entity
@@ -7,12 +8,20 @@ counts; what that ignores is a warning."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sylva import ship
+from sylva.sources.store import roundtrip
 
 #: The most declarations of one kind that are broadcast.
 DTD_ROWS = 20_000
+#: The target of processing instructions that are options of a DTD.
+OPTIONS = "sylva:dtd"
 
 NAME = r"(?:[^\W\d]|:)[\w.\-:·]*"
 
@@ -164,6 +173,32 @@ class Entity:
     external: bool = False
 
 
+#: Declarations of any kind in one table; ``what`` says which.
+DECLARATIONS = "what string, element string, name string, kind string, regex string, allowed array<string>, deterministic boolean, external boolean, text string, default_kind string, public_id string, system_id string, notation string"
+_COLUMNS = [c.split()[0] for c in DECLARATIONS.split(", ")]
+
+
+def _row(what: str, **values) -> tuple:
+    values = {"what": what, "allowed": [], "deterministic": True, "external": False} | values
+    return tuple(values.get(c) for c in _COLUMNS)
+
+
+def split(rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a table (dtd_id, ...) of declarations."""
+    of = lambda what: rows.filter(F.col("what") == what)
+    text = lambda name: F.col("text").alias(name)
+    return {
+        "elements": of("element").select("dtd_id", "name", F.col("kind").alias("model_kind"), F.col("regex").alias("model_regex"), "allowed", "deterministic", "external", text("model")),
+        "attributes": of("attribute").select("dtd_id", "element", "name", F.col("kind").alias("type"), "allowed", "default_kind", text("default_value"), "external"),
+        "entities": of("entity").select("dtd_id", "name", (F.col("kind") == "parameter").alias("is_parameter"), "text", "public_id", "system_id", "notation", "external"),
+        "notations": of("notation").select("dtd_id", "name", "public_id", "system_id"),
+        "settings": of("settings").select("dtd_id", F.col("name").alias("root"), (F.col("kind") == "optional").alias("optional_elements"), F.col("allowed").alias("optional_attributes")),
+        "namespaces": of("namespace").select("dtd_id", F.col("name").alias("prefix"), text("uri")),
+        "warnings": of("warning").select("dtd_id", text("message")),
+        "errors": of("error").select("dtd_id", text("message")),
+    }
+
+
 @dataclass
 class Dtd:
     root: str | None = None
@@ -181,19 +216,27 @@ class Dtd:
 
     # ---- tables
 
+    def declarations(self) -> list[tuple]:
+        """Rows of ``DECLARATIONS``: one for each declaration, option, warning and error."""
+        out = []
+        for e in self.elements.values():
+            tree = e.tree if e.kind == "regexp" else None
+            out.append(_row("element", name=e.name, kind=e.kind, regex=regex_of(tree) if tree else None, allowed=list(e.tree or []) if e.kind == "mixed" else [], deterministic=deterministic(tree) if tree else True, external=e.external, text=e.model))
+        for a in self.attributes.values():
+            out.append(_row("attribute", element=a.element, name=a.name, kind=a.type, allowed=a.allowed, default_kind=a.default, text=a.value, external=a.external))
+        for e in [*self.entities.values(), *self.parameters.values()]:
+            out.append(_row("entity", name=e.name, kind="parameter" if e.parameter else "general", text=e.text, public_id=e.public, system_id=e.system, notation=e.notation, external=e.external))
+        out += [_row("notation", name=n, public_id=p, system_id=s) for n, (p, s) in self.notations.items()]
+        out.append(_row("settings", name=self.root, kind="optional" if self.optional_elements else "declared", allowed=sorted(self.optional_attributes)))
+        out += [_row("namespace", name=p, text=u) for p, u in self.namespaces.items()]
+        out += [_row("warning", text=w) for w in self.warnings]
+        return out + [_row("error", text=e) for e in self.validate()]
+
     def frames(self, spark: SparkSession) -> dict[str, DataFrame]:
-        """Tables elements, attributes, entities, notations; a row for each
-        declaration, so their size is the DTD's."""
-        elements = [(e.name, e.kind, regex_of(e.tree) if e.kind == "regexp" else None, list(e.tree or []) if e.kind == "mixed" else [], deterministic(e.tree) if e.kind == "regexp" else True, e.external, e.model) for e in self.elements.values()]
-        attributes = [(a.element, a.name, a.type, a.allowed, a.default, a.value, a.external) for a in self.attributes.values()]
-        entities = [(e.name, e.parameter, e.text, e.public, e.system, e.notation, e.external) for e in [*self.entities.values(), *self.parameters.values()]]
-        notations = [(n, p, s) for n, (p, s) in self.notations.items()]
-        return {
-            "elements": spark.createDataFrame(elements, "name string, model_kind string, model_regex string, allowed array<string>, deterministic boolean, external boolean, model string"),
-            "attributes": spark.createDataFrame(attributes, "element string, name string, type string, allowed array<string>, default_kind string, default_value string, external boolean"),
-            "entities": spark.createDataFrame(entities, "name string, is_parameter boolean, text string, public_id string, system_id string, notation string, external boolean"),
-            "notations": spark.createDataFrame(notations, "name string, public_id string, system_id string"),
-        }
+        """Tables elements, attributes, entities, notations, settings and more; a row for
+        each declaration, so their size is the DTD's."""
+        rows = spark.createDataFrame([(0, *r) for r in self.declarations()], f"dtd_id long, {DECLARATIONS}")
+        return {name: table.drop("dtd_id") for name, table in split(rows).items()}
 
     def write(self) -> str:
         """The declarations as text."""
@@ -280,8 +323,8 @@ def char_refs(text: str) -> str:
 
 
 class _Reader:
-    def __init__(self, dtd: Dtd, catalog: dict[str, str], external: bool):
-        self.dtd, self.catalog, self.external, self.open = dtd, catalog, external, []
+    def __init__(self, dtd: Dtd, catalog: dict[str, str], external: bool, target: str = OPTIONS):
+        self.dtd, self.catalog, self.external, self.target, self.open = dtd, catalog, external, target, []
 
     def expand(self, name: str) -> str:
         e = self.dtd.parameters.get(name)
@@ -443,8 +486,7 @@ class _Reader:
 
     def pinstr(self, target: str, data: str) -> None:
         self.dtd.pinstrs.append((target, data))
-        # options for the reader have a target of any prefix with the local part dtd
-        if not re.fullmatch(r"[\w.\-]+:dtd", target):
+        if target != self.target:
             return
         option, attrs = parse_option(data)
         if option == "optional-element-and-notation-declarations":
@@ -465,11 +507,12 @@ def parse_option(data: str) -> tuple[str, dict[str, str]]:
     return m[1], {n: v[1:-1] for n, v in re.findall(rf"({NAME})\s*=\s*{_QUOTED}", data[m.end() :])}
 
 
-def parse_dtd(text: str, internal: str = "", root: str | None = None, catalog: dict[str, str] | None = None) -> Dtd:
-    """A DTD of an internal subset, read first, and an external one."""
+def parse_dtd(text: str, internal: str = "", root: str | None = None, catalog: dict[str, str] | None = None, target: str = OPTIONS) -> Dtd:
+    """A DTD of an internal subset, read first, and an external one. Processing
+    instructions for ``target`` are options; those for others are kept, no more."""
     dtd = Dtd(root=root)
     for part, external in ((internal, False), (text, True)):
-        _Reader(dtd, catalog or {}, external).read(re.sub("\r\n?", "\n", re.sub(r"^<\?xml[^>]*\?>", "", part)))
+        _Reader(dtd, catalog or {}, external, target).read(re.sub("\r\n?", "\n", re.sub(r"^<\?xml[^>]*\?>", "", part)))
     return dtd
 
 
@@ -489,3 +532,67 @@ def dtd_of(xml: str, catalog: dict[str, str] | None = None) -> Dtd:
     root, public, system, internal = doctype(xml)
     known = catalog or {}
     return parse_dtd(known.get(system, known.get(public, "")), internal, root, known)
+
+
+@dataclass
+class DtdTables:
+    """The DTDs of many documents: ``of`` (doc_id, dtd_id), and tables keyed by dtd_id."""
+
+    of: DataFrame
+    frames: dict[str, DataFrame]
+
+
+def _doctypes(docs: DataFrame) -> DataFrame:
+    """(doc_id, root, public_id, system_id, internal) of documents that have a DOCTYPE."""
+
+    @F.arrow_udf("root string, public_id string, system_id string, internal string")
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [doctype(t) if t else (None, None, None, "") for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["root", "public_id", "system_id", "internal"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run("xml").alias("d")).select("doc_id", "d.*").filter("root IS NOT NULL")
+
+
+def dtds_of(docs: DataFrame, catalog: dict[str, str] | None = None, target: str = OPTIONS) -> DtdTables:
+    """The DTDs of ``docs`` (doc_id, xml), each different one parsed once, in a task:
+    its internal subset, then the external one from the catalog. A DTD that can't be
+    read has an error, and what was read before it."""
+    known = catalog or {}
+    ship(docs.sparkSession)
+    found = roundtrip(_doctypes(docs).withColumn("dtd_id", F.xxhash64("root", "public_id", "system_id", "internal")), "doctypes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["dtd_id", *_COLUMNS]
+        kinds = [pa.int64(), *(pa.list_(pa.string()) if c == "allowed" else pa.bool_() if c in ("deterministic", "external") else pa.string() for c in _COLUMNS)]
+        for batch in batches:
+            out = []
+            for key, root, public, system, internal in zip(*(c.to_pylist() for c in batch.columns)):
+                dtd = Dtd(root=root)
+                try:
+                    for part, external in ((internal or "", False), (known.get(system, known.get(public, "")), True)):
+                        _Reader(dtd, known, external, target).read(re.sub("\r\n?", "\n", re.sub(r"^<\?xml[^>]*\?>", "", part)))
+                except DtdError as e:
+                    dtd.errors.append(str(e))
+                out += [(key, *r) for r in dtd.declarations()]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    each = found.groupBy("dtd_id").agg(*[F.first(c).alias(c) for c in ("root", "public_id", "system_id", "internal")])
+    rows = roundtrip(each.mapInArrow(run, f"dtd_id long, {DECLARATIONS}"), "declarations")
+    return DtdTables(found.select("doc_id", "dtd_id"), split(rows))
+
+
+def written(text: Column, target: str = OPTIONS) -> Column:
+    """The declarations of a DTD as they are written again; null if it can't be read."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            try:
+                out.append(None if t is None else parse_dtd(t, target=target).write())
+            except DtdError:
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    return run(text)

@@ -1,7 +1,8 @@
-"""Validation of node tables against a DTD, as set-oriented plans.
+"""Validation of node tables against DTDs, as set-oriented plans.
 
-Each check gives diagnostics (doc_id, pre, check, message); nothing fails a job. A DTD's
-tables have a row for each declaration and are broadcast only within ``DTD_ROWS``."""
+Each check gives diagnostics (doc_id, pre, check, message); nothing fails a job. All
+documents have one DTD, or each its own: declarations are joined by the id of the DTD
+and their names. Their tables are broadcast only within ``DTD_ROWS``."""
 
 from __future__ import annotations
 
@@ -9,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions.text import SPACE, normalize_space, only_space, tokens
+from sylva.sources.store import roundtrip
 
-from .dtd import DTD_ROWS, Dtd
+from .dtd import DTD_ROWS, Dtd, DtdTables
 
 _NAME, _TOKEN = r"(?:[^\W\d]|:)[\w.\-:·]*", r"[\w.\-:·]+"
 #: The form of normalised values by type; names may have letters of any script.
@@ -22,34 +24,54 @@ LEXICAL = {
 
 
 class Validator:
-    """The checks of one DTD over one node table."""
-
-    def __init__(self, nodes: DataFrame, dtd: Dtd, standalone: bool = False):
-        self.nodes, self.dtd, self.standalone = nodes, dtd, standalone
-        frames = dtd.frames(nodes.sparkSession)
-        few = max(len(dtd.elements), len(dtd.attributes)) <= DTD_ROWS
-        self.elements = F.broadcast(frames["elements"]) if few else frames["elements"]
-        self.attributes = F.broadcast(frames["attributes"]) if few else frames["attributes"]
-        self.entities, self.notations = frames["entities"], frames["notations"]
-        self.regular = nodes.filter("kind = 'element'").select("doc_id", "pre", "parent", "name", "attrs")
+    """The checks of a DTD, or of each document's own, over one node table."""
+
+    def __init__(self, nodes: DataFrame, dtd: Dtd | DtdTables, standalone: bool = False):
+        self.nodes, self.standalone = nodes, standalone
+        rows = nodes.filter("kind = 'element'").select("doc_id", "pre", "parent", "name", "attrs")
+        if isinstance(dtd, DtdTables):
+            self.of, tables = dtd.of, dtd.frames
+            self.regular = rows.join(self.of, "doc_id")
+            few = all(tables[t].limit(DTD_ROWS + 1).count() <= DTD_ROWS for t in ("elements", "attributes", "settings"))
+        else:
+            self.of = None
+            tables = {name: table.withColumn("dtd_id", F.lit(0).cast("long")) for name, table in dtd.frames(nodes.sparkSession).items()}
+            self.regular = rows.withColumn("dtd_id", F.lit(0).cast("long"))
+            few = max(len(dtd.elements), len(dtd.attributes)) <= DTD_ROWS
+        self.tables = tables
+        small = (lambda t: F.broadcast(tables[t])) if few else (lambda t: tables[t])
+        self.elements, self.attributes, self.settings = small("elements"), small("attributes"), small("settings")
+        self.entities, self.notations = tables["entities"], tables["notations"]
+        self._typed: DataFrame | None = None
 
     @staticmethod
     def _say(rows: DataFrame, check: str, message: Column) -> DataFrame:
         return rows.select("doc_id", "pre", F.lit(check).alias("check"), message.alias("message"))
 
     def _declared(self) -> DataFrame:
-        return self.regular.join(self.elements.select("name", "model_kind", "model_regex", F.col("allowed").alias("model_names"), "external"), "name")
+        return self.regular.join(self.elements.select("dtd_id", "name", "model_kind", "model_regex", F.col("allowed").alias("model_names"), "external"), ["dtd_id", "name"])
+
+    def no_dtd(self) -> DataFrame:
+        """The roots of documents without a DTD, where each has its own."""
+        top = self.nodes.filter("pre = 0")
+        lost = top.join(self.of, "doc_id", "left_anti") if self.of is not None else top.filter(F.lit(False))
+        return self._say(lost, "dtd", F.lit("Document has no DTD"))
+
+    def declarations(self) -> DataFrame:
+        """What is wrong with the DTDs themselves, at the root of each document."""
+        errors = self.tables["errors"]
+        of = self.of if self.of is not None else self.nodes.filter("pre = 0").select("doc_id", F.lit(0).cast("long").alias("dtd_id"))
+        return self._say(of.join(errors, "dtd_id").withColumn("pre", F.lit(0).cast("long")), "dtd", F.col("message"))
 
     def declared(self) -> DataFrame:
         """Elements need a declaration, unless the DTD says they are optional."""
-        missing = self.regular.join(self.elements.select("name"), "name", "left_anti")
-        if self.dtd.optional_elements:
-            missing = missing.filter(F.lit(False))
+        missing = self.regular.join(self.elements.select("dtd_id", "name"), ["dtd_id", "name"], "left_anti")
+        missing = missing.join(self.settings.select("dtd_id", "optional_elements"), "dtd_id").filter("NOT optional_elements")
         return self._say(missing, "declared", F.concat(F.lit("Reference to undeclared element `"), "name", F.lit("'")))
 
     def root(self) -> DataFrame:
-        top = self.regular.filter("parent = 0")
-        return self._say(top.filter(F.lit(self.dtd.root is not None) & (F.col("name") != F.lit(self.dtd.root or ""))), "root", F.concat(F.lit("The root element is `"), "name", F.lit(f"' but is declared as `{self.dtd.root}'")))
+        top = self.regular.filter("parent = 0").join(self.settings.select("dtd_id", "root"), "dtd_id")
+        return self._say(top.filter("root IS NOT NULL AND name <> root"), "root", F.concat(F.lit("The root element is `"), "name", F.lit("' but is declared as `"), "root", F.lit("'")))
 
     def _children(self) -> DataFrame:
         """(doc_id, pre, children): the names of child elements in order."""
@@ -98,11 +120,17 @@ class Validator:
     def typed(self) -> DataFrame:
         """Every specified or declared attribute of every element: (doc_id, pre,
         element, name, raw, specified, type, allowed, default_kind, default_value,
-        value, values), values normalised by type and defaults put in."""
-        given = self.regular.select("doc_id", "pre", F.col("name").alias("element"), F.explode("attrs").alias("a")).select("doc_id", "pre", "element", F.col("a.name").alias("name"), F.col("a.value").alias("raw"))
-        known = self.attributes.select("element", "name", "type", "allowed", "default_kind", "default_value", "external")
-        owners = self.regular.select("doc_id", "pre", F.col("name").alias("element")).join(known, "element")
-        rows = owners.join(given, ["doc_id", "pre", "element", "name"], "full").withColumn("specified", F.col("raw").isNotNull())
+        value, values), values normalised by type and defaults put in. It is stored,
+        as many checks read it."""
+        if self._typed is None:
+            self._typed = roundtrip(self._all_attributes(), "typed")
+        return self._typed
+
+    def _all_attributes(self) -> DataFrame:
+        given = self.regular.select("doc_id", "dtd_id", "pre", F.col("name").alias("element"), F.explode("attrs").alias("a")).select("doc_id", "dtd_id", "pre", "element", F.col("a.name").alias("name"), F.col("a.value").alias("raw"))
+        known = self.attributes.select("dtd_id", "element", "name", "type", "allowed", "default_kind", "default_value", "external")
+        owners = self.regular.select("doc_id", "dtd_id", "pre", F.col("name").alias("element")).join(known, ["dtd_id", "element"])
+        rows = owners.join(given, ["doc_id", "dtd_id", "pre", "element", "name"], "full").withColumn("specified", F.col("raw").isNotNull())
         text = F.coalesce("raw", "default_value")
         value = F.when(F.coalesce("type", F.lit("CDATA")) == "CDATA", text).otherwise(normalize_space(text))
         plural = F.coalesce("type", F.lit("")).isin("IDREFS", "ENTITIES", "NMTOKENS")
@@ -111,8 +139,8 @@ class Validator:
     def attrs(self, of: tuple = ("undeclared", "required", "lexical", "fixed")) -> DataFrame:
         """Attributes: declared, there if required, of the form of their type, equal to
         a fixed value."""
-        rows = self.typed()
-        optional = F.lit(self.dtd.optional_elements) | F.col("element").isin(*self.dtd.optional_attributes, "")
+        rows = self.typed().join(self.settings.select("dtd_id", "optional_elements", "optional_attributes"), "dtd_id")
+        optional = F.col("optional_elements") | F.array_contains("optional_attributes", F.col("element"))
         pattern = F.create_map(*[F.lit(x) for pair in LEXICAL.items() for x in pair])
         malformed = (F.col("type").isin("ENUM", "NOTATION") & ~F.array_contains("allowed", F.col("value"))) | (F.try_element_at(pattern, "type").isNotNull() & ~F.rlike("value", F.try_element_at(pattern, "type")))
         tests = {
@@ -147,9 +175,9 @@ class Validator:
 
     def entity_values(self) -> DataFrame:
         """ENTITY attributes name unparsed entities."""
-        rows = self.typed().filter("type IN ('ENTITY', 'ENTITIES') AND value IS NOT NULL").select("doc_id", "pre", F.explode(F.coalesce("values", F.array("value"))).alias("entity"))
-        unparsed = self.entities.filter("NOT is_parameter AND notation IS NOT NULL").select(F.col("name").alias("entity"))
-        return self._say(rows.join(unparsed, "entity", "left_anti"), "entity", F.concat(F.lit("Reference to undeclared or parsed entity `"), "entity", F.lit("'")))
+        rows = self.typed().filter("type IN ('ENTITY', 'ENTITIES') AND value IS NOT NULL").select("doc_id", "dtd_id", "pre", F.explode(F.coalesce("values", F.array("value"))).alias("entity"))
+        unparsed = self.entities.filter("NOT is_parameter AND notation IS NOT NULL").select("dtd_id", F.col("name").alias("entity"))
+        return self._say(rows.join(unparsed, ["dtd_id", "entity"], "left_anti"), "entity", F.concat(F.lit("Reference to undeclared or parsed entity `"), "entity", F.lit("'")))
 
     def standalone_checks(self) -> DataFrame:
         """In a standalone document nothing may depend on external declarations:
@@ -167,4 +195,17 @@ class Validator:
         out = self.declared()
         for part in (self.root(), self.content(), self.chardata(), self.attrs(), self.id_unique(), self.idref(), self.entity_values()):
             out = out.unionByName(part)
+        if self.of is not None:
+            out = out.unionByName(self.no_dtd()).unionByName(self.declarations())
         return out.unionByName(self.standalone_checks()) if self.standalone else out
+
+    def diagnostics(self) -> DataFrame:
+        """Every check, with its place: doc_id, severity, class, message, entity, line,
+        col. Warnings of the DTDs come with them."""
+        at = self.nodes.select("doc_id", "pre", "line", "col")
+        found = self.all().join(at, ["doc_id", "pre"])
+        errors = found.select("doc_id", F.lit("error").alias("severity"), F.lit("Validity").alias("class"), "message", F.lit("[toplevel]").alias("entity"), "line", "col")
+        of = self.of if self.of is not None else self.nodes.filter("pre = 0").select("doc_id", F.lit(0).cast("long").alias("dtd_id"))
+        warned = of.join(self.tables["warnings"], "dtd_id")
+        none = F.lit(None).cast("int")
+        return errors.unionByName(warned.select("doc_id", F.lit("warning").alias("severity"), F.lit("Validity").alias("class"), "message", F.lit("[dtd]").alias("entity"), none.alias("line"), none.alias("col")))

@@ -50,7 +50,7 @@ def sweep(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> in
 def save(df: DataFrame, path: str) -> None:
     """In order of documents within files, so that ranges of doc_id skip row groups."""
     keys = [c for c in ("doc_id", "pre", "seq") if c in df.columns]
-    df.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    (df.sortWithinPartitions(*keys) if keys else df).write.mode("overwrite").parquet(path)
 
 
 def load(like: DataFrame, path: str) -> DataFrame:

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from sylva.operators import events as ev
 from sylva.operators import tree
-from sylva.operators.dtd import DtdError, deterministic, doctype, dtd_of, parse_dtd, parse_model, parse_option, regex_of
+from sylva.operators.dtd import DtdError, deterministic, doctype, dtd_of, dtds_of, parse_dtd, parse_model, parse_option, regex_of
 from sylva.operators.validate import Validator
+from sylva.sources.parser import Options
 from sylva.sources.xml import parse_events, parse_nodes
 
 
@@ -137,9 +138,49 @@ def test_validation(spark):
         assert sorted(r.message for r in rows if r.doc_id == k) == want, xml
 
 
+def test_validation_against_own_dtds(spark):
+    """Each document has its DTD inside, or part of it in a catalog, or none."""
+    inside = f"<!DOCTYPE r [{DTD}]>"
+    rows = [(k, inside + xml, want) for k, (xml, want) in enumerate(CASES.items())]
+    outside = '<!DOCTYPE r SYSTEM "urn:d" [<!ATTLIST e k (x|z) "x">]>'
+    rows += [(100 + k, outside + xml, [m for m in want if "`k'" not in m]) for k, (xml, want) in enumerate(CASES.items()) if "k=' y" not in xml]
+    rows += [
+        (200, "<r/>", ["Document has no DTD"]),
+        (201, "<!DOCTYPE a [<!ELEMENT a EMPTY>]><a/>", []),
+        (202, "<!DOCTYPE a [<!ELEMENT a EMPTY><!ELEMENT a ANY>]><a/>", ["Element `a' has already been declared"]),
+        (203, "<!DOCTYPE a [<!ELEMENT a ((b,c)|(b,d))>]><a/>", ["Element `a' does not match its content model", "The content model of element `a' is not deterministic"]),
+        (204, "<!DOCTYPE a [<!ELEMENT a EMPTY><!ATTLIST a i ID #IMPLIED j ID #IMPLIED>]><a/>", ["More than one ID attribute for element `a'"]),
+        (205, "<!DOCTYPE a [<?sylva:dtd optional-element-and-notation-declarations?>]><a x='1'><b/></a>", []),
+        (206, "<!DOCTYPE a [<?sylva:dtd optional-attribute-declarations elements='a'?><!ELEMENT a (b)><!ELEMENT b EMPTY>]><a x='1'><b x='1'/></a>", ["The following attributes are not declared: x"]),
+        (207, "<!DOCTYPE a [<!ELEMENT a EMPTY><!ATTLIST a n NOTATION (g) #IMPLIED>]><a/>", ["Reference to undeclared notation `g'"]),
+        (208, "<!DOCTYPE b [<!ELEMENT a EMPTY>]><a/>", ["The root element is `a' but is declared as `b'"]),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, xml string")
+    nodes = parse_nodes(docs, Options(catalog={"urn:d": DTD}))
+    own = dtds_of(docs, {"urn:d": DTD})
+    assert own.of.select("dtd_id").distinct().count() == 10
+    v = Validator(nodes, own)
+    got = v.all().collect()
+    for k, xml, want in rows:
+        assert sorted(r.message for r in got if r.doc_id == k) == want, xml
+    places = v.diagnostics().collect()
+    assert len([r for r in places if r.severity == "error"]) == len(got) and all(r["class"] == "Validity" for r in places)
+    at = {(r.doc_id, r.message): (r.line, r.col) for r in places}
+    assert at[5 + 4, "Reference to undeclared element `u'"] == (3, len(DTD.splitlines()[-1]) + len("]><r>"))
+
+
+def test_a_dtd_that_cant_be_read(spark):
+    docs = spark.createDataFrame([(1, "<!DOCTYPE a [<!ELEMENT a EMPTY> %x;]><a/>"), (2, None), (3, "<!DOCTYPE a [<!ELEMENT a EMPTY>]><a/>")], "doc_id long, xml string")
+    own = dtds_of(docs)
+    errors = own.of.join(own.frames["errors"], "dtd_id").collect()
+    assert [(r.doc_id, r.message) for r in errors] == [(1, "Reference to undeclared parameter entity `x'")]
+    assert sorted(r.doc_id for r in own.of.collect()) == [1, 3] and own.frames["elements"].count() == 2
+
+
 def test_relaxed_and_classes(spark):
     docs = spark.createDataFrame([(1, "<r><x a='1'/></r>"), (2, "<r> <t>x</t></r>")], "doc_id long, xml string")
-    relaxed = parse_dtd("<?o:dtd optional-element-and-notation-declarations?><!ELEMENT r (t)><!ELEMENT t (#PCDATA)>")
+    relaxed = parse_dtd("<?o:dtd optional-element-and-notation-declarations?><?other:dtd something-else?><!ELEMENT r (t)><!ELEMENT t (#PCDATA)>", target="o:dtd")
+    assert relaxed.validate() == [] and parse_dtd("<?sylva:dtd what?>").validate() == ["Unknown option `what'"]
     v = Validator(parse_nodes(docs), relaxed)
     assert v.declared().count() == 0 and v.attrs().count() == 0
     assert {(r.doc_id, r["class"]) for r in v.classify().collect()} == {(2, "IGNORABLE"), (2, "NORMAL")}
