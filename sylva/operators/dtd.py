@@ -557,29 +557,37 @@ def dtds_of(docs: DataFrame, catalog: dict[str, str] | None = None, target: str
     """The DTDs of ``docs`` (doc_id, xml), each different one parsed once, in a task:
     its internal subset, then the external one from the catalog. A DTD that can't be
     read has an error, and what was read before it."""
-    known = catalog or {}
     ship(docs.sparkSession)
     found = roundtrip(_doctypes(docs).withColumn("dtd_id", F.xxhash64("root", "public_id", "system_id", "internal")), "doctypes")
+    each = found.groupBy("dtd_id").agg(*[F.first(c).alias(c) for c in ("root", "public_id", "system_id", "internal")])
+    return DtdTables(found.select("doc_id", "dtd_id"), read_dtds(each.withColumn("external", F.lit(None).cast("string")), catalog, target))
+
+
+def read_dtds(texts: DataFrame, catalog: dict[str, str] | None = None, target: str = OPTIONS) -> dict[str, DataFrame]:
+    """The tables of ``texts`` (dtd_id, root, public_id, system_id, internal, external):
+    the internal subset of each comes first, then its external text, or the one that the
+    catalog has."""
+    known = catalog or {}
+    ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["dtd_id", *_COLUMNS]
         kinds = [pa.int64(), *(pa.list_(pa.string()) if c == "allowed" else pa.bool_() if c in ("deterministic", "external") else pa.string() for c in _COLUMNS)]
         for batch in batches:
             out = []
-            for key, root, public, system, internal in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, root, public, system, internal, external in zip(*(c.to_pylist() for c in batch.columns)):
                 dtd = Dtd(root=root)
                 try:
-                    for part, external in ((internal or "", False), (known.get(system, known.get(public, "")), True)):
-                        _Reader(dtd, known, external, target).read(re.sub("\r\n?", "\n", re.sub(r"^<\?xml[^>]*\?>", "", part)))
+                    for part, outside in ((internal or "", False), (external if external is not None else known.get(system, known.get(public, "")), True)):
+                        _Reader(dtd, known, outside, target).read(re.sub("\r\n?", "\n", re.sub(r"^<\?xml[^>]*\?>", "", part)))
                 except DtdError as e:
                     dtd.errors.append(str(e))
                 out += [(key, *r) for r in dtd.declarations()]
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    each = found.groupBy("dtd_id").agg(*[F.first(c).alias(c) for c in ("root", "public_id", "system_id", "internal")])
-    rows = roundtrip(each.mapInArrow(run, f"dtd_id long, {DECLARATIONS}"), "declarations")
-    return DtdTables(found.select("doc_id", "dtd_id"), split(rows))
+    rows = texts.select("dtd_id", "root", "public_id", "system_id", "internal", "external").mapInArrow(run, f"dtd_id long, {DECLARATIONS}")
+    return split(roundtrip(rows, "declarations"))
 
 
 def written(text: Column, target: str = OPTIONS) -> Column:

@@ -9,14 +9,18 @@ Errors never raise out of here: they are the last event of a document.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
+from .uri import normalize_uri
+
 XML_URI = "http://www.w3.org/XML/1998/namespace"
 
-#: What parsing a document may yield in characters from entities, at most.
+#: What entities may add to a document's characters, at most.
 MAX_EXPANSION = 64 << 20
+#: Bytes of a document that are read before its events so far are sent on.
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -27,11 +31,16 @@ class Options:
     comments: bool = True
     pinstr: bool = True
     super_root: bool = True
+    #: lines and columns; null without
     positions: bool = True
+    #: what the documents' system ids are relative to
+    base: str | None = None
     #: ``document``; ``content`` for a fragment with one element at its top; ``expr``
     #: for elements, instructions, comments or text in the middle of one
     entry: str = "document"
-    #: system or public id -> text of an external entity, or a function of both ids
+    #: system or public id -> text of an external entity, or a function of both ids. A
+    #: system id is looked for as it is resolved against the entity that names it, then as
+    #: it stands there
     catalog: dict | Callable[[str | None, str | None], str | None] = field(default_factory=dict)
     #: what stands for each of { {{ } }} in character data and in attribute values
     escape_contents: Callable[[str], str] | None = None
@@ -44,8 +53,8 @@ class Event:
     name: str | None = None
     value: str | None = None
     attrs: list[tuple[str, str]] = field(default_factory=list)
-    line: int = 0
-    col: int = 0
+    line: int | None = 0
+    col: int | None = 0
     #: of a start tag, with namespaces: in-scope (prefix, normprefix, uri)
     scope: list[tuple[str, str, str]] | None = None
 
@@ -80,15 +89,21 @@ class _Reader:
         # the scopes of the open elements: prefix -> uri
         self.scopes: list[dict[str, str]] = [{"xml": XML_URI}]
         self.names: list[str] = []
-        self.expanded = 0
+        self.made = self.loaded = 0
+        self.most = MAX_EXPANSION
+        # the pieces of the text that may still go on
+        self.run: list[str] = []
         # the element put around an expression isn't shown
         self.wrapped = options.entry == "expr"
         self.att_types: dict[tuple[str, str], str] = {}
+        if options.base:
+            self.parser.SetBase(options.base)
         self._hook(self.parser)
 
     def _hook(self, p) -> None:
         p.ordered_attributes = True
         p.buffer_text = True
+        p.buffer_size = 1 << 16
         p.StartElementHandler = self.start
         p.EndElementHandler = self.end
         p.CharacterDataHandler = self.text
@@ -99,22 +114,39 @@ class _Reader:
         if self.o.catalog:
             p.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_ALWAYS)
 
-    def put(self, kind: str, **rest) -> None:
+    def place(self) -> tuple[int | None, int | None]:
         p = self.active
-        self.events.append(Event(kind, line=p.CurrentLineNumber, col=p.CurrentColumnNumber, **rest))
+        return (p.CurrentLineNumber, p.CurrentColumnNumber) if self.o.positions else (None, None)
+
+    def put(self, kind: str, **rest) -> None:
+        self.flush()
+        line, col = self.place()
+        self.events.append(Event(kind, line=line, col=col, **rest))
+
+    def flush(self) -> None:
+        """The text read last is complete."""
+        if self.run:
+            self.events[-1].value = "".join(self.run)
+            self.run.clear()
 
     def attlist(self, element, name, kind, default, required) -> None:
         self.att_types.setdefault((element, name), kind)
 
     def external(self, context, base, system_id, public_id) -> int:
         find = self.o.catalog
-        text = find(system_id, public_id) if callable(find) else find.get(system_id, find.get(public_id))
+        full = normalize_uri(system_id, base) if system_id and base else system_id
+        if callable(find):
+            text = find(full, public_id)
+        else:
+            text = next((find[k] for k in (full, system_id, public_id) if k is not None and k in find), None)
         if text is None:
             return 0
-        self.expanded += len(text)
-        if self.expanded > MAX_EXPANSION:
+        self.loaded += len(text)
+        if self.loaded > MAX_EXPANSION:
             return 0
         sub, outer = self.active.ExternalEntityParserCreate(context), self.active
+        if full:
+            sub.SetBase(full)
         self.active = sub
         sub.Parse(text, True)
         self.active = outer
@@ -176,27 +208,33 @@ class _Reader:
         return re.sub(r"\{\{|\}\}|\{|\}", lambda m: escape(m[0]), text)
 
     def grow(self, n: int) -> None:
-        self.expanded += n
-        if self.expanded > MAX_EXPANSION:
+        """A document has no more characters than its text, but for those of entities."""
+        self.made += n
+        if self.made > self.most:
             raise ValueError("entities expand to too much text")
 
-    def parse(self, xml: str | None) -> None:
+    def parts(self, xml: str | None) -> Iterator[None]:
+        """Reads a document chunk by chunk."""
         if xml is None:
             raise ValueError("no document")
-        if self.o.entry == "expr":
-            self.parser.Parse(f"<expr>{xml}</expr>".encode(), True)
-            return
+        self.most = len(xml) + MAX_EXPANSION
         # the text is decoded already: what an XML declaration says of bytes is past
-        self.parser.Parse(re.sub(r"""^(<\?xml[^>]*?)\s+encoding\s*=\s*("[^"]*"|'[^']*')""", r"\1", xml, count=1).encode("utf-8"), True)
+        raw = f"<expr>{xml}</expr>".encode() if self.o.entry == "expr" else re.sub(r"""^(<\?xml[^>]*?)\s+encoding\s*=\s*("[^"]*"|'[^']*')""", r"\1", xml, count=1).encode("utf-8")
+        for k in range(0, max(1, len(raw)), CHUNK):
+            self.parser.Parse(raw[k : k + CHUNK], k + CHUNK >= len(raw))
+            yield
+
+    def parse(self, xml: str | None) -> None:
+        for _ in self.parts(xml):
+            pass
 
     def text(self, data) -> None:
         if self.o.escape_contents:
             data = self.braces(data, self.o.escape_contents)
         self.grow(len(data))
-        if self.events and self.events[-1].kind == "char_data":
-            self.events[-1].value += data
-        else:
-            self.put("char_data", value=data)
+        if not self.run:
+            self.put("char_data")
+        self.run.append(data)
 
     def pi(self, target, data) -> None:
         if self.o.pinstr:
@@ -207,25 +245,35 @@ class _Reader:
             self.put("comment", value=data)
 
 
-def read(xml: str | None, options: Options) -> list[Event]:
-    """The events of a document. The last is end_of_stream, or error."""
+def iterate(xml: str | None, options: Options) -> Iterator[Event]:
+    """The events of a document as it is read. The last is end_of_stream, or error."""
     r = _Reader(options)
     r.events.append(Event("start_doc", line=1))
     if options.super_root:
         r.events.append(Event("start_super", line=1))
     try:
-        r.parse(xml)
+        for _ in r.parts(xml):
+            # a text that may go on stays behind
+            done = len(r.events) - bool(r.run)
+            yield from r.events[:done]
+            del r.events[:done]
         if options.super_root:
             r.put("end_super")
         r.put("end_doc")
         r.put("end_of_stream")
     except expat.ExpatError as e:
+        r.flush()
         r.events.append(Event("error", "Well-formedness", expat.ErrorString(e.code), line=e.lineno, col=e.offset))
     except NamespaceError as e:
         r.put("error", name="Namespace", value=str(e))
     except ValueError as e:
         r.put("error", name="Other", value=str(e))
-    return r.events
+    yield from r.events
+
+
+def read(xml: str | None, options: Options) -> list[Event]:
+    """All events of a document."""
+    return list(iterate(xml, options))
 
 
 def split_name(name: str) -> tuple[str, str]:
@@ -272,14 +320,21 @@ class _NodeReader(_Reader):
         self.to = to
         self.first = len(to)
         self.texts: list[str] = []
-        self.data = -1  # the row of the text that may still grow
+        # the row of the text that may still grow, and where its pieces begin
+        self.data, self.begun = -1, 0
         # of the open elements: row, children so far, texts before, path
         self.open: list[list] = []
         self.scope: list[tuple[str, str, str]] = []
         self._row("super_root", None, None)
         self.open.append([self.first, 0, 0, []])
 
+    def flush(self) -> None:
+        if self.data >= 0:
+            self.to.value[self.data] = "".join(self.texts[self.begun :])
+            self.data = -1
+
     def _row(self, kind: str, name: str | None, value: str | None) -> int:
+        self.flush()
         to, row = self.to, len(self.to)
         to.pre.append(row - self.first)
         to.fin.append(row - self.first)
@@ -294,8 +349,9 @@ class _NodeReader(_Reader):
             to.path += top[3]
             to.path.append(top[1])
             top[1] += 1
-            to.line.append(self.active.CurrentLineNumber)
-            to.col.append(self.active.CurrentColumnNumber)
+            line, col = self.place()
+            to.line.append(line)
+            to.col.append(col)
         else:
             to.parent.append(None)
             to.level.append(0)
@@ -305,7 +361,6 @@ class _NodeReader(_Reader):
         to.path_end.append(len(to.path))
         to.attrs_end.append(len(to.attrs[0]))
         to.ns_end.append(len(to.ns[0]))
-        self.data = -1
         return row
 
     def put(self, kind: str, name: str | None = None, value: str | None = None, attrs=(), scope=None) -> None:
@@ -329,19 +384,17 @@ class _NodeReader(_Reader):
             self._row(kind, name, value)
 
     def _close(self, row: int, texts: int) -> None:
+        self.flush()
         self.to.fin[row] = len(self.to) - 1 - self.first
         self.to.value[row] = "".join(self.texts[texts:])
-        self.data = -1
 
     def text(self, data) -> None:
         if self.o.escape_contents:
             data = self.braces(data, self.o.escape_contents)
         self.grow(len(data))
+        if self.data < 0:
+            self.data, self.begun = self._row("data", None, None), len(self.texts)
         self.texts.append(data)
-        if self.data >= 0:
-            self.to.value[self.data] += data
-        else:
-            self.data = self._row("data", None, data)
 
 
 def read_nodes(doc: int | None, xml: str | None, options: Options, to: Columns) -> bool:
@@ -357,7 +410,3 @@ def read_nodes(doc: int | None, xml: str | None, options: Options, to: Columns)
     to.doc += [doc] * (len(to) - r.first)
     return True
 
-
-def split_name(name: str) -> tuple[str, str]:
-    prefix, colon, local = name.partition(":")
-    return (prefix, local) if colon else ("", name)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sylva import ship
 
-from .parser import Columns, Options, read, read_nodes, split_name
+from .parser import Columns, Options, iterate, read_nodes, split_name
 
 EVENTS = "doc_id long, seq long, kind string, name string, value string, attrs array<struct<name:string,value:string>>, line int, col int"
 
@@ -65,7 +65,7 @@ def parse_events(docs: DataFrame, options: Options = Options()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for doc, xml in _documents(batches):
-                for seq, e in enumerate(read(xml, options)):
+                for seq, e in enumerate(iterate(xml, options)):
                     yield doc, seq, e.kind, e.name, e.value, [{"name": n, "value": v} for n, v in e.attrs], e.line, e.col
 
         return _emit(rows(), _EVENT_TYPES, _names(EVENTS))

@@ -143,3 +143,49 @@ def test_diagnostics(spark):
     docs = spark.createDataFrame([(1, "<a/>"), (2, "<a>"), (3, None)], "doc_id long, xml string")
     assert {(r.doc_id, r["class"]) for r in diagnostics(docs).collect()} == {(2, "Well-formedness"), (3, "Other")}
     assert {r.doc_id for r in parse_nodes(docs).collect()} == {1}
+
+
+def test_plain_text_is_no_expansion():
+    """Only entities count against the limit, and long texts take linear time."""
+    import time
+
+    from sylva.sources import parser
+
+    long = "<a>" + "x" * (70 << 20) + "</a>"
+    began = time.time()
+    events = read(long, Options())
+    assert [e.kind for e in events if e.kind == "error"] == [] and max(len(e.value or "") for e in events) == 70 << 20
+    to = Columns()
+    assert read_nodes(1, long, Options(), to) and len(to.value[-1]) == 70 << 20
+    assert time.time() - began < 60
+    bomb = '<!DOCTYPE a [<!ENTITY e SYSTEM "urn:e">]><a>' + "&e;" * 9 + "</a>"
+    assert read(bomb, Options(catalog={"urn:e": "y" * (parser.MAX_EXPANSION // 8)}))[-1].kind == "error"
+
+
+def test_events_leave_while_a_document_is_read():
+    from sylva.sources.parser import CHUNK, iterate
+
+    xml = "<a>" + "<b>text</b>" * (CHUNK // 4) + "<c></a>"
+    it = iterate(xml, Options())
+    first = [next(it) for _ in range(10)]
+    assert [e.kind for e in first[:4]] == ["start_doc", "start_super", "start_tag", "start_tag"] and first[4].value == "text"
+    rest = list(it)
+    assert rest[-1].kind == "error" and sum(e.kind == "char_data" for e in rest) + 2 == CHUNK // 4
+    # a text that runs over chunks is one event
+    whole = [e for e in iterate("<a>" + "word " * CHUNK + "</a>", Options()) if e.kind == "char_data"]
+    assert len(whole) == 1 and len(whole[0].value) == 5 * CHUNK
+
+
+def test_system_ids_are_relative_to_their_entity():
+    catalog = {"http://h/x/one.ent": '<b/>&two;', "http://h/y/two.ent": "<c/>", "http://h/x/d.dtd": '<!ENTITY one SYSTEM "one.ent"><!ENTITY two SYSTEM "../y/two.ent">'}
+    xml = '<!DOCTYPE a SYSTEM "x/d.dtd"><a>&one;</a>'
+    names = [e.name for e in read(xml, Options(catalog=catalog, base="http://h/doc.xml")) if e.kind == "start_tag"]
+    assert names == ["a", "b", "c"]
+    assert read(xml, Options(catalog=catalog, base="http://other/doc.xml"))[-1].kind == "error"
+
+
+def test_without_positions():
+    assert {(e.line, e.col) for e in read("<a>\n<b/></a>", Options(positions=False, super_root=False)) if e.kind != "start_doc"} == {(None, None)}
+    to = Columns()
+    read_nodes(1, "<a>\n<b/></a>", Options(positions=False), to)
+    assert to.line[1:] == [None] * (len(to) - 1)
