@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from sylva.functions import build, text
@@ -7,7 +9,7 @@ from sylva.operators import tree
 from sylva.sources import corpora, files, uri
 from sylva.sources.parser import Options
 from sylva.sources.xml import parse_events, parse_nodes
-from sylva.streaming.filters import norm_cdata_stream, pfilter_stream
+from sylva.streaming.filters import drop_ignorable_whitespace_stream, norm_cdata_stream, pfilter_stream
 
 
 def nodes(spark, *xml, **options):
@@ -79,6 +81,36 @@ def test_event_filters(spark):
     assert parents["start_tag", "a", None] is None and parents["char_data", None, "x"] == "b" and parents["end_tag", "c", None] == "a"
 
 
+def test_streams_keep_all_columns(spark, tmp_path):
+    """Whole events in small batches, against the same filters on a table."""
+    from sylva.operators.dtd import parse_dtd
+    from sylva.operators.events import drop_ignorable_whitespace, norm_cdata
+
+    docs = spark.createDataFrame([(k, f"<a x='{k}'>\n <b y='1' z='2'>te&amp;xt{k}</b> <c/>\n  </a>") for k in range(6)] + [(9, "<a> <b>")], "doc_id long, xml string")
+    events = parse_events(docs).cache()
+    cut = events.filter("kind = 'char_data'").selectExpr("doc_id", "seq * 10 + 5 AS seq", "kind", "name", "'!' AS value", "attrs", "line", "col")
+    events = events.withColumn("seq", F.col("seq") * 10).unionByName(cut).cache()
+    bounds = [r.s for r in events.select("seq").distinct().selectExpr("seq AS s").orderBy("s").collect()]
+    for k, at in enumerate(range(0, len(bounds), 3)):
+        part = events.filter(F.col("seq").isin(bounds[at : at + 3]))
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"batch={k:02}"))
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for k, f in enumerate(sorted((tmp_path / "in").glob("batch=*/*.parquet"))):
+        target = flat / f"{k:03}.parquet"
+        target.write_bytes(f.read_bytes())
+        os.utime(target, (k + 1, k + 1))
+    models = parse_dtd("<!ELEMENT a (b,c)><!ELEMENT b (#PCDATA)><!ELEMENT c EMPTY>").frames(spark)["elements"]
+    for n, run, want in (("norm", norm_cdata_stream, norm_cdata(events)), ("drop", lambda s: drop_ignorable_whitespace_stream(s, ["a"]), drop_ignorable_whitespace(events, models)[0])):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(flat))
+        out = run(stream)
+        assert out.columns == events.columns
+        out.writeStream.format("parquet").option("path", str(tmp_path / n)).option("checkpointLocation", str(tmp_path / f"{n}-state")).trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.schema(out.schema).parquet(str(tmp_path / n))
+        key = lambda rows: sorted(map(str, rows.select(*events.columns).collect()))
+        assert key(got) == key(want)
+
+
 def test_streaming_filter(spark, tmp_path):
     rows = [(1, 0, "start_tag", "a", None), (1, 1, "char_data", None, "x"), (1, 2, "char_data", None, ""), (1, 3, "char_data", None, "y"), (1, 4, "end_tag", "a", None), (1, 5, "end_of_stream", None, None), (2, 0, "char_data", None, "z"), (2, 1, "error", "e", "bad")]
     schema = "doc_id long, seq long, kind string, name string, value string"
