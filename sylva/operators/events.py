@@ -143,8 +143,24 @@ def write_documents(events: DataFrame, dtd=None, style: str = "omit", system: st
     return write(events, column).withColumn(column, F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n{head}'), column))
 
 
+def display_documents(events: DataFrame, prefixes: DataFrame, dtd=None, style: str = "omit", system: str | None = None) -> DataFrame:
+    """Whole documents as ``write_documents`` gives them, with display prefixes."""
+    return write_documents(display_events(events, prefixes), dtd, style, system)
+
+
+def described(events: DataFrame) -> DataFrame:
+    """(doc_id, seq, text): a line for each event, for reading."""
+    attrs = F.array_join(F.transform("attrs", lambda a: F.concat(F.lit(" "), a["name"], F.lit("="), a["value"])), "")
+    return events.select("doc_id", "seq", F.concat(F.concat_ws(" ", "kind", "name", "value"), F.coalesce(attrs, F.lit(""))).alias("text"))
+
+
 def display(events: DataFrame, prefixes: DataFrame, column: str = "xml") -> DataFrame:
-    """Like ``write`` with display prefixes: ``prefixes`` (doc_id, normprefix, display,
+    """The text of ``display_events``."""
+    return write(display_events(events, prefixes), column)
+
+
+def display_events(events: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Events with display prefixes: ``prefixes`` (doc_id, normprefix, display,
     uri) renames them, and the root declares them all. An empty display prefix is
     allowed for elements only; ns1, ns2, ... are made up where there is none."""
     made = Window.partitionBy("doc_id").orderBy("normprefix")
@@ -161,7 +177,7 @@ def display(events: DataFrame, prefixes: DataFrame, column: str = "xml") -> Data
     declared = F.transform(F.map_entries("_uris"), lambda e: F.struct(F.when(e["key"] == "", "xmlns").otherwise(F.concat(F.lit("xmlns:"), e["key"])).alias("name"), e["value"].alias("value")))
     attrs = F.transform("attrs", lambda a: F.struct(shown(a["name"]).alias("name"), a["value"].alias("value")))
     root = (F.col("kind") == "start_tag") & (F.col("depth") == 1) & F.col("_uris").isNotNull()
-    return write(rows.withColumns({"name": F.when(F.col("kind").isin("start_tag", "end_tag"), shown(F.col("name"))).otherwise(F.col("name")), "attrs": F.when(root, F.concat(attrs, declared)).otherwise(attrs)}), column)
+    return rows.withColumns({"name": F.when(F.col("kind").isin("start_tag", "end_tag"), shown(F.col("name"))).otherwise(F.col("name")), "attrs": F.when(root, F.concat(attrs, declared)).otherwise(attrs)}).select(*events.columns)
 
 
 def errors(events: DataFrame) -> DataFrame:

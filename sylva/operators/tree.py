@@ -216,6 +216,37 @@ def clone(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return renumber(moved.unionByName(top.withColumns(fill).select(*nodes.columns)))
 
 
+def map_tree(nodes: DataFrame, pre: Column | None = None, post: dict[str, Column] | None = None, skip: Column | None = None) -> DataFrame:
+    """A rewritten copy: nodes for which ``skip`` holds go on the way down with all below
+    them; ``post`` gives columns of the nodes that are left anew; nodes for which ``pre``
+    doesn't hold go by themselves, and what was below them moves up to their place."""
+    rows = prune(nodes, skip) if skip is not None else nodes
+    rows = rows.withColumns(post) if post else rows
+    if pre is not None:
+        # the numbers of a node that goes stay in the paths below it, which keeps the
+        # order; a level less is made up for by the nearest ancestor that stays
+        kept = rows.filter(pre | (F.col("kind") == "super_root"))
+        up = kept.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_a"), F.col("fin").alias("_f"), F.col("path").alias("_path"), F.size("path").alias("_n"))
+        own = kept.select("doc_id", F.col("pre"), "path")
+        above = pairs(own, up, own=True).groupBy("doc_id", "pre").agg(F.array_sort(F.collect_list("_n")).alias("_levels"))
+        # each remaining step is the whole way from one that stays to the next, as a number
+        order = Window.partitionBy("doc_id").orderBy("path")
+        ranked = kept.withColumn("_rank", F.row_number().over(order))
+        keyed = ranked.join(above, ["doc_id", "pre"])
+        ranks = ranked.select(F.col("doc_id").alias("_d"), key().alias("_own"), F.col("_rank").alias("_r"))
+        steps = keyed.select("doc_id", "pre", F.posexplode(F.transform(F.filter("_levels", lambda n: n > 0), lambda n: F.xxhash64(F.slice("path", 1, n)))).alias("_i", "_key"))
+        paths = steps.join(ranks, (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_own"))).groupBy("doc_id", "pre").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_r"))), lambda s: s["_r"]).cast("array<int>").alias("_new"))
+        rows = kept.join(paths, ["doc_id", "pre"], "left").withColumn("path", F.coalesce("_new", F.array().cast("array<int>"))).select(*nodes.columns)
+    return renumber(rows.select(*nodes.columns))
+
+
+def dump(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pre, text): a line for each node, for reading."""
+    attrs = F.array_join(F.transform("attrs", lambda a: F.concat(F.lit(" "), a["name"], F.lit("="), a["value"])), "")
+    said = F.when(F.col("kind") == "element", F.concat("name", attrs)).otherwise(F.concat_ws(" ", "kind", "name", F.when(F.col("kind") != "super_root", F.col("value"))))
+    return nodes.select("doc_id", "pre", F.concat(F.repeat(F.lit("  "), F.size("path")), said).alias("text"))
+
+
 def extend(nodes: DataFrame, column: str, registry: dict[str, Column], default: Column | None = None) -> DataFrame:
     """A computed column chosen by element name, as extensions of a tree are."""
     out = default if default is not None else F.lit(None)

@@ -181,3 +181,45 @@ def test_corpora_parse(spark, sf):
     for make in (corpora.geo, corpora.orders, corpora.chat, corpora.catalog, corpora.prose, corpora.spaces):
         docs = make(spark, sf)
         assert parse_nodes(docs).select("doc_id").distinct().count() == docs.count()
+
+
+def test_map_tree(spark):
+    n = nodes(spark, "<a><b>1<c/>2</b><d><b>3</b></d><x><b>4</b></x></a>", "<b><b><b/>5</b></b>")
+    upper = {"name": F.when(F.col("kind") == "element", F.upper("name")).otherwise(F.col("name"))}
+    assert written(tree.map_tree(n, post=upper, skip=F.col("name") == "x")) == ["<A><B>1<C></C>2</B><D><B>3</B></D></A>", "<B><B><B></B>5</B></B>"]
+    # elements go, and what was in them moves up
+    stays = (F.col("kind") != "element") | (F.col("name") != "b") | (F.col("level") == 1)
+    out = tree.map_tree(n, pre=stays)
+    assert written(out) == ["<a>1<c></c>2<d>3</d><x>4</x></a>", "<b>5</b>"]
+    rows = {(r.doc_id, r.name): r for r in out.filter("kind = 'element'").collect()}
+    assert (rows[0, "d"].pre, rows[0, "d"].fin, rows[0, "d"].level, rows[0, "d"].pos) == (5, 6, 2, 3)
+
+
+def test_texts_for_reading(spark):
+    n = nodes(spark, "<a x='1'>t<!--c--></a>", comments=True)
+    assert [r.text for r in tree.dump(n).orderBy("pre").collect()] == ["super_root", "  a x=1", "    data t", "    comment c"]
+    e = parse_events(spark.createDataFrame([(1, "<a x='1'>t</a>")], "doc_id long, xml string"), Options(super_root=False))
+    assert [r.text for r in ev.described(e).orderBy("seq").collect()] == ["start_doc", "start_tag a x=1", "char_data t", "end_tag a", "end_doc", "end_of_stream"]
+
+
+def test_whole_documents_with_display_prefixes(spark):
+    docs = spark.createDataFrame([(1, '<q:a xmlns:q="urn:x" q:k="v"><q:b/></q:a>')], "doc_id long, xml string")
+    options = Options(namespaces=True)
+    shown = ev.display_documents(parse_events(docs, options), ns.display_prefixes(parse_nodes(docs, options))).first().xml
+    assert shown == '<?xml version="1.0" encoding="UTF-8"?>\n<q:a q:k="v" xmlns:q="urn:x"><q:b></q:b></q:a>'
+
+
+def test_files_are_checked(spark, tmp_path):
+    from tools.validate import check_files
+
+    for name, text in {"good": "<!DOCTYPE a [<!ELEMENT a EMPTY>]><a/>", "bad": "<!DOCTYPE a [<!ELEMENT a EMPTY>]>\n<a>\n<b/></a>", "broken": "<a>", "outside": '<!DOCTYPE a SYSTEM "urn:d"><a k="v"/>'}.items():
+        (tmp_path / f"{name}.xml").write_text(text)
+    (tmp_path / "odd.xml").write_bytes(b"\xff\xfe\x00")
+    catalog = {"urn:d": "<!ELEMENT a EMPTY>"}
+    rows = {(r.system_id.rpartition("/")[2], r["class"], r.message, r.line) for r in check_files(spark, str(tmp_path), catalog=catalog).collect()}
+    assert rows == {
+        ("bad.xml", "Validity", "Element `a' must be empty", 2), ("bad.xml", "Validity", "Element `a' must be empty", 3), ("bad.xml", "Validity", "Reference to undeclared element `b'", 3),
+        ("broken.xml", "Well-formedness", "no element found", 1), ("outside.xml", "Validity", "The following attributes are not declared: k", 1), ("odd.xml", "Other", "The encoding can't be read", None),
+    }
+    wf = {r.system_id.rpartition("/")[2] for r in check_files(spark, str(tmp_path), wf=True, catalog=catalog).collect()}
+    assert wf == {"broken.xml", "odd.xml"}
