@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sylva.llm import decontam, packing, quality, secrets, similar
-from sylva.llm.common import read, stage
+from sylva.llm.common import read, scratch, stage
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another. What a stage stages for itself is deleted when its
+    result is written; the last one's result is read from its own tables.
+
+    Defined results: an empty table gives no rows; null texts are rejected by the first
+    stage as blank ones are; repeated rows and equal ids are rows like others until the
+    second keeps one of each group; ties there go to the smallest id and then the first
+    row; very long texts are read whole by all stages; extra columns of ``documents``
+    stay, whatever their names, up to the last stage."""
     docs = read(spark, sf_dir, "documents")
-    for k, (_, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, f"stage{k}")
-    return docs
+    for k, (_, apply) in enumerate(STAGES[:-1]):
+        with scratch(spark) as kept:
+            docs = stage(apply(spark, docs, sf_dir), f"stage{k}")
+            kept.append(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import scratch, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,14 +29,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, root) of every vertex that has an edge to another; a root is the
     smallest vertex of its component and has a row of its own."""
-    now = stage(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     mark = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
-    seen = now.agg(mark.alias("m")).first()[0]
-    while seen["n"]:
-        now = stage(_small_star(_large_star(now)), "edges")
-        mark_now = now.agg(mark.alias("m")).first()[0]
-        if mark_now == seen:
-            break
-        seen = mark_now
+    with scratch(edges.sparkSession) as kept:
+        now = stage(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+        seen = now.agg(mark.alias("m")).first()[0]
+        while seen["n"]:
+            now = stage(_small_star(_large_star(now)), "edges")
+            mark_now = now.agg(mark.alias("m")).first()[0]
+            if mark_now == seen:
+                break
+            seen = mark_now
+        kept.append(now)
     stars = now.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("vertex"), "root").distinct())

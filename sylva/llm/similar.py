@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import broadcast_if_small, free_name, stage, tune
+from .common import broadcast_if_small, free_name, scratch, stage, tune
 from .components import components
 
 SHINGLE = 5
@@ -58,6 +58,8 @@ COMMON_SHARE = 1000
 BLOCK = 4096
 #: Cells of a set: a power of two from a quarter of its size on, within these bounds.
 LEAST_CELLS, MOST_CELLS = 128, 4096
+#: Entries of a text that are used in the round of few pairs.
+FEW = 6
 #: Ids that may be broadcast when a count has shown that there are no more (16 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -230,9 +232,22 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(keep))
 
 
+def _middle(fp: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Of each group the row whose fingerprint is nearest to the bits that most of its
+    rows have: of near copies of one text, what is nearest to that text."""
+    starts = np.flatnonzero(new)
+    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    sizes = np.diff(np.append(starts, len(fp)))
+    most = np.packbits(2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    far = np.bitwise_count(fp ^ np.repeat(most, sizes))
+    order = np.lexsort((np.arange(len(fp)), far, np.repeat(np.arange(len(starts)), sizes)))
+    return order[starts]
+
+
 def _candidates(shared: DataFrame, members: DataFrame, roots: DataFrame | None, least: Fraction, few: bool) -> DataFrame:
     """Pairs (a, b) of different groups that may be as similar as asked for; with
-    ``few``, neighbours and first members only. ``members``: (v, fp, cells)."""
+    ``few``, only neighbours in the order of fingerprints and pairs with the middle of a
+    bucket, in the first buckets of a text. ``members``: (v, fp, cells)."""
     num, den = least.numerator, least.denominator
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +257,6 @@ def _candidates(shared: DataFrame, members: DataFrame, roots: DataFrame | None,
             held = Cells(batch.column(9).to_pylist())
             new = np.append(True, (h[1:] != h[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
             group = np.cumsum(new)
-            begin = np.flatnonzero(new)[group - 1]
 
             def send(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
                 ok = root[i] != root[j]
@@ -250,7 +264,8 @@ def _candidates(shared: DataFrame, members: DataFrame, roots: DataFrame | None,
                     ok &= (p[i] == q[i]) | (own[i] != own[j])
                 i, j = i[ok], j[ok]
                 most = np.minimum(n[i] - at[i], n[j] - at[j])
-                ok = (np.maximum(n[i], n[j]) * num <= np.minimum(n[i], n[j]) * den) & (most * (num + den) >= (n[i] + n[j]) * num)
+                # where their first common entry is, all before it aren't shared
+                ok = (np.maximum(n[i], n[j]) * num <= np.minimum(n[i], n[j]) * den) & (most * (num + den) >= (n[i] + n[j]) * num) & ((at[i] + at[j]) * (num + den) <= (n[i] + n[j]) * (den - num))
                 i, j = i[ok], j[ok]
                 ok = held.may_be_alike(i, j, n, least)
                 i, j = i[ok], j[ok]
@@ -259,12 +274,13 @@ def _candidates(shared: DataFrame, members: DataFrame, roots: DataFrame | None,
 
             i, d = np.arange(len(h)), 1
             if few:
-                yield from send(begin, i)
-            while len(i) and not (few and d > 2):
+                yield from send(_middle(batch.column(6).to_numpy().view(np.uint64), new)[group - 1], i)
+                i = i[:-1]
+                yield from send(*((i[group[i] == group[i + 1]] + k) for k in (0, 1)))
+            while not few and len(i):
                 i = i[i + d < len(h)]
                 i = i[group[i] == group[i + d]]
-                if not few:  # in order of size
-                    i = i[n[i + d] * num <= n[i] * den]
+                i = i[n[i + d] * num <= n[i] * den]  # in order of size
                 yield from send(i, i + d)
                 d += 1
 
@@ -274,7 +290,7 @@ def _candidates(shared: DataFrame, members: DataFrame, roots: DataFrame | None,
         named = members.withColumn("root", F.col("v"))
     else:
         named = members.join(_few(roots), members["v"] == roots["vertex"], "left").select(members["v"], "fp", "cells", F.coalesce("root", "v").alias("root"))
-    rows = shared.join(named, "v")
+    rows = (shared.filter(F.col("at") < FEW) if few else shared).join(named, "v")
     zero = F.lit(0).cast("int")
     hot = stage(shared.groupBy("h").count().filter(F.col("count") > BLOCK), "hot")
     mixed = F.xxhash64("v")
@@ -317,11 +333,14 @@ def _check(pairs: DataFrame, rows: DataFrame, size: int, least: Fraction) -> Dat
 
         return pa.array([alike(get(x), get(y), least) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
-    pairs = stage(pairs, "pairs")
-    ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "ends")
-    texts = stage(rows.select("v", "text").join(_few(ends), "v", "left_semi"), "texts")
-    one, two = texts.select(F.col("v").alias("a"), F.col("text").alias("s")), texts.select(F.col("v").alias("b"), F.col("text").alias("t"))
-    return stage(pairs.join(one, "a").join(two, "b").filter(similar("s", "t")).select("a", "b"), "similar")
+    with scratch(rows.sparkSession) as kept:
+        pairs = stage(pairs, "pairs")
+        ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "ends")
+        texts = stage(rows.select("v", "text").join(_few(ends), "v", "left_semi"), "texts")
+        one, two = texts.select(F.col("v").alias("a"), F.col("text").alias("s")), texts.select(F.col("v").alias("b"), F.col("text").alias("t"))
+        out = stage(pairs.join(one, "a").join(two, "b").filter(similar("s", "t")).select("a", "b"), "similar")
+        kept.append(out)
+    return out
 
 
 def copies(rows: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -362,7 +381,9 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARIT
     tune(docs.sparkSession)
     key, found = free_name(docs, "_row"), free_name(docs, "_sketch")
     rows = stage(docs.withColumns({key: F.monotonically_increasing_id(), found: sketch_column(F.col("text"), size, Fraction(str(similarity)))}), "rows")
-    groups = copies(rows.select(F.col(key).alias("v"), "text", F.col(found).alias("sketch")), size, similarity)
+    with scratch(docs.sparkSession) as kept:
+        groups = copies(rows.select(F.col(key).alias("v"), "text", F.col(found).alias("sketch")), size, similarity)
+        kept.append(groups)
     ids = rows.select(F.col(key).alias("v"), "doc_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("first")
     leads = stage(groups.join(ids, "v").groupBy("root").agg(first).select(F.col("first.v").alias("v")), "kept")
