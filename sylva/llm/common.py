@@ -53,11 +53,12 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
 PART_BYTES, LEAST_BYTES = 128 << 20, 8 << 20
 
 
-def parts_for(spark: SparkSession, size: int) -> int:
+def parts_for(spark: SparkSession, size: int, busy: bool = False) -> int:
     """Partitions for so many bytes: as many as the session asks for, fewer where they
-    would be tiny, more where they would be large."""
+    would be tiny (not if tasks are ``busy`` for their size), more where they would be
+    large: an explicit count isn't split by adaptive execution."""
     asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(asked, -(-size // LEAST_BYTES)), -(-size // PART_BYTES))
+    return max(1, asked if busy else min(asked, -(-size // LEAST_BYTES)), -(-size // PART_BYTES))
 
 
 def free_name(df: DataFrame, base: str) -> str:

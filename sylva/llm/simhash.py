@@ -32,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, free_name, stage, tune
+from .common import broadcast_if_small, free_name, parts_for, stage, tune
 from .components import components
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 BUCKET = 8192
+#: Bytes of a row of the index, about.
+ROW_BYTES = 24
 #: Groups up to this size are compared by offsets, all at once.
 SMALL = 48
 _WIDTHS = (13, 13, 13, 13, 12)
@@ -248,7 +250,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
         other = index.join(hot, ["t", "bits"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", block)
         other = other.select("t", "bits", "fp", "own", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("c"))
         dealt = other.select("t", "bits", F.least("own", "c").alias("p"), F.greatest("own", "c").alias("q"), "fp")
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(prints.sparkSession, len(KEYS) * ROW_BYTES * prints.count(), busy=True)
     keys = ["t", "bits", "p", "q"]
     return dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "fp").mapInArrow(_link, "a long, b long")
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import broadcast_if_small, free_name, scratch, stage, tune
+from .common import broadcast_if_small, free_name, parts_for, scratch, stage, tune
 from .components import components
 
 SHINGLE = 5
@@ -60,6 +60,8 @@ BLOCK = 4096
 LEAST_CELLS, MOST_CELLS = 128, 4096
 #: Entries of a text that are used in the round of few pairs.
 FEW = 6
+#: Bytes of an entry with its cells, about.
+ENTRY_BYTES = 300
 #: Ids that may be broadcast when a count has shown that there are no more (16 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -284,8 +286,7 @@ def _candidates(shared: DataFrame, members: DataFrame, roots: DataFrame | None,
                 yield from send(i, i + d)
                 d += 1
 
-    spark = shared.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(shared.sparkSession, ENTRY_BYTES * shared.count(), busy=True)
     if roots is None:
         named = members.withColumn("root", F.col("v"))
     else:
@@ -347,7 +348,6 @@ def copies(rows: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     """(v, root) of each row of a staged table (v long, text, sketch) that has a near
     copy; ``sketch`` is a ``sketch_column`` of the same settings."""
     spark, least = rows.sparkSession, Fraction(str(similarity))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     prints = rows.select("v", "sketch.*")
     texts = stage(prints.groupBy("digest").agg(F.min("v").alias("least"), F.min("fp").alias("fp"), F.count("*").alias("times")), "digests")
     again = stage(prints.select("v", "digest").join(texts.filter("times > 1").select(F.col("least").alias("w"), "digest"), "digest").filter("v <> w").select("v"), "again")
@@ -365,6 +365,7 @@ def copies(rows: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     often = single.select(F.explode("low").alias("h")).groupBy("h").count().filter(F.col("count") > limit).select("h")
     common = np.array([r.h for r in often.collect()], np.int64).view(np.uint64)
     index = _index(single.select("v", "n", "low"), rows, common, size, least)
+    parts = parts_for(spark, ENTRY_BYTES * (single.agg(F.sum(F.size("low"))).first()[0] or 0), busy=True)
     shared = stage(index.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shared, INDEX), "shared")
     members = single.select("v", "fp", "cells").join(_few(stage(shared.select("v").distinct(), "sharing")), "v", "left_semi")
     members = stage(members, "members")
