@@ -143,7 +143,7 @@ def _(spark, sf):
     return parse_nodes(corpora.geo(spark, sf)).filter("kind = 'element'").select("doc_id", "pre", "fin", "name", "level")
 
 
-@query("wf_check", """SELECT p_partkey AS doc_id, 'error' AS severity, 'Well-formedness' AS class, message, CAST(1 + p_partkey % 7 AS INTEGER) AS line, CAST(col AS INTEGER) AS col FROM part,
+@query("wf_check", """SELECT p_partkey AS doc_id, 'error' AS severity, 'Well-formedness' AS class, message, '[toplevel]' AS entity, CAST(1 + p_partkey % 7 AS INTEGER) AS line, CAST(col AS INTEGER) AS col FROM part,
   (VALUES (1, 'mismatched tag', 8), (2, 'undefined entity', 3), (3, 'duplicate attribute', 9), (4, 'no element found', 3)) AS t(r, message, col) WHERE p_partkey % 5 = r""")
 def _(spark, sf):
     """A document for each part, four in five broken in a known place."""

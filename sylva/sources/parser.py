@@ -19,6 +19,8 @@ XML_URI = "http://www.w3.org/XML/1998/namespace"
 
 #: What entities may add to a document's characters, at most.
 MAX_EXPANSION = 64 << 20
+#: The name of the document itself among entities.
+TOPLEVEL = "[toplevel]"
 #: Bytes of a document that are read before its events so far are sent on.
 CHUNK = 1 << 18
 
@@ -90,6 +92,8 @@ class _Reader:
         self.scopes: list[dict[str, str]] = [{"xml": XML_URI}]
         self.names: list[str] = []
         self.made = self.loaded = 0
+        # the entities that are being read
+        self.inside = [TOPLEVEL]
         self.most = MAX_EXPANSION
         # the pieces of the text that may still go on
         self.run: list[str] = []
@@ -148,7 +152,9 @@ class _Reader:
         if full:
             sub.SetBase(full)
         self.active = sub
+        self.inside.append(full or public_id)
         sub.Parse(text, True)
+        self.inside.pop()
         self.active = outer
         return 1
 
@@ -246,7 +252,8 @@ class _Reader:
 
 
 def iterate(xml: str | None, options: Options) -> Iterator[Event]:
-    """The events of a document as it is read. The last is end_of_stream, or error."""
+    """The events of a document as it is read. The last is end_of_stream, or error: its
+    name is the class, its value the message, its attribute the entity it is in."""
     r = _Reader(options)
     r.events.append(Event("start_doc", line=1))
     if options.super_root:
@@ -263,11 +270,11 @@ def iterate(xml: str | None, options: Options) -> Iterator[Event]:
         r.put("end_of_stream")
     except expat.ExpatError as e:
         r.flush()
-        r.events.append(Event("error", "Well-formedness", expat.ErrorString(e.code), line=e.lineno, col=e.offset))
+        r.events.append(Event("error", "Well-formedness", expat.ErrorString(e.code), [("entity", r.inside[-1])], e.lineno, e.offset))
     except NamespaceError as e:
-        r.put("error", name="Namespace", value=str(e))
+        r.put("error", name="Namespace", value=str(e), attrs=[("entity", r.inside[-1])])
     except ValueError as e:
-        r.put("error", name="Other", value=str(e))
+        r.put("error", name="Other", value=str(e), attrs=[("entity", r.inside[-1])])
     yield from r.events
 
 

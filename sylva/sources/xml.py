@@ -25,7 +25,6 @@ _ATTR = pa.struct([("pos", pa.int32()), ("name", pa.string()), ("prefix", pa.str
 _NS = pa.struct([("pos", pa.int32()), ("prefix", pa.string()), ("normprefix", pa.string()), ("uri", pa.string())])
 _EVENT_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(_PAIR), pa.int32(), pa.int32()]
 _NODE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(_ATTR), pa.list_(_NS), pa.int32(), pa.int32()]
-_ERRORS = "doc_id long, severity string, class string, message string, line int, col int"
 
 #: Rows that a batch sent back to Spark has, about.
 BATCH = 20_000
@@ -132,7 +131,7 @@ def parse_nodes(docs: DataFrame, options: Options = Options()) -> DataFrame:
 def diagnostics(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """A row for each document that isn't well-formed."""
     errors = parse_events(docs, options).filter("kind = 'error'")
-    return errors.select("doc_id", F.lit("error").alias("severity"), F.col("name").alias("class"), F.col("value").alias("message"), "line", "col")
+    return errors.select("doc_id", F.lit("error").alias("severity"), F.col("name").alias("class"), F.col("value").alias("message"), F.col("attrs")[0]["value"].alias("entity"), "line", "col")
 
 
 def attributes(nodes: DataFrame) -> DataFrame:

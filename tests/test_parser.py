@@ -189,3 +189,10 @@ def test_without_positions():
     to = Columns()
     read_nodes(1, "<a>\n<b/></a>", Options(positions=False), to)
     assert to.line[1:] == [None] * (len(to) - 1)
+
+
+def test_errors_name_their_entity():
+    xml = '<!DOCTYPE a [<!ENTITY e SYSTEM "urn:e"><!ENTITY f SYSTEM "urn:f">]><a>&e;</a>'
+    events = read(xml, Options(catalog={"urn:e": "<b>&f;</b>", "urn:f": "<c>\n</d>"}))
+    assert (events[-1].kind, events[-1].attrs, events[-1].line) == ("error", [("entity", "urn:f")], 2)
+    assert read("<a>", Options())[-1].attrs == [("entity", "[toplevel]")]

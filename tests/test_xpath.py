@@ -1,10 +1,12 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from sylva.plans.path import PathError, parse, rewrite, type_of
 from sylva.plans.xpath import evaluate, xpath
 from sylva.sources.parser import Options
+from sylva.sources.store import roundtrip
 from sylva.sources.xml import parse_nodes
 
 XML = """<!DOCTYPE a [<!ATTLIST b x ID #IMPLIED>]><a id="1"><b x="x1" n="1">t1<c/>t2</b><b x="x2" n="2"><c>5</c><!--k--><?pi data?></b><d xml:lang="en-US" n="3"><b>7</b></d></a>"""
@@ -93,7 +95,6 @@ def test_rewrites():
 
 def test_second_opinion(spark, sf):
     """Spark's own xpath functions on paths that they can do."""
-    from pyspark.sql import functions as F
 
     from sylva.sources import corpora
 
@@ -111,3 +112,29 @@ def test_plans_join_on_documents(spark, sf):
     for path in ("//customer[@seg='BUILDING']/ancestor::*", "/region/nation[2]/following::customer", "//nation[customer/@bal > 9000]", "//*[@key = //nation/@key]"):
         plan = xpath(corpora.geo(spark, sf), path)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_structural_joins_meet_by_keys(spark):
+    """Each step of //a//b, ancestors and lang joins on the document and a key of paths;
+    twice the nodes of a document make twice the rows that are joined, not four times."""
+    from sylva.operators.structure import keys_above
+
+    made = []
+    for n in (200, 400):
+        docs = spark.createDataFrame([(1, "<r>" + "<a><b><c/></b></a>" * n + "</r>")], "doc_id long, xml string")
+        nodes = roundtrip(parse_nodes(docs), "nodes")
+        assert evaluate(nodes, "count(//a//c)").first().value == n and evaluate(nodes, "//c/ancestor::a").count() == n
+        made.append(nodes.filter("name = 'c'").select(F.explode(keys_above("path"))).count())
+        for path in ("//a//c", "//c/ancestor::a", "//a/descendant-or-self::b", "//c[lang('en')]"):
+            plan = evaluate(nodes, path)._jdf.queryExecution().optimizedPlan().toString()
+            assert "xxhash64" in plan, path
+    assert made[1] == 2 * made[0]
+
+
+def test_attributes_are_read_on_the_row(spark):
+    docs = spark.createDataFrame([(1, "<r><a x='1' y='2'/><a x='3'/><a/></r>")], "doc_id long, xml string")
+    nodes = roundtrip(parse_nodes(docs), "nodes")
+    for path, want in (("//a[@x='1']", 1), ("//a[@x]", 2), ("//a[not(@x)]", 1), ("//a[@x > 1 and not(@y)]", 1), ("//a[count(@*) = 2]", 1), ("//a[@x != @y]", 1), ("//a[@x < @y]", 1), ("//a[sum(@*) = 3]", 2), ("//a/@*", 3), ("//a[string(@x) = '']", 1), ("//a[@x = 1]/@y", 1)):
+        df = evaluate(nodes, path)
+        assert df.count() == want, path
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString(), path

@@ -34,7 +34,7 @@ def check_files(spark: SparkSession, path: str, wf: bool = False, catalog: dict[
     docs = roundtrip(read_files(spark, path), "files")
     lost = docs.filter("xml IS NULL").select("system_id", F.lit("error").alias("severity"), F.lit("Other").alias("class"), F.lit("The encoding can't be read").alias("message"), F.lit("[toplevel]").alias("entity"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("col"))
     docs = docs.filter("xml IS NOT NULL")
-    found = diagnostics(docs, options).withColumn("entity", F.lit("[toplevel]"))
+    found = diagnostics(docs, options)
     if not wf:
         nodes = roundtrip(parse_nodes(docs, options), "nodes")
         found = found.unionByName(Validator(nodes, dtds_of(docs, catalog)).diagnostics().join(nodes.select("doc_id").distinct(), "doc_id", "left_semi"))
