@@ -24,6 +24,26 @@ def canonical(x: Column) -> Column:
     return x
 
 
+#: The largest code that an encoding has.
+_LARGEST = {"us-ascii": 0x7F, "iso-8859-1": 0xFF, "utf-8": 0x10FFFF, "utf-16": 0x10FFFF}
+
+
+def data_string(x: Column, encoding: str = "utf-8") -> Column:
+    """Escaped text for an encoding: what it doesn't have goes as references."""
+    largest = _LARGEST[encoding.lower()]
+    if largest == 0x10FFFF:
+        return escape(x)
+    each = F.transform(F.split(escape(x), ""), lambda c: F.when(F.ascii(c) > largest, F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))).otherwise(c))
+    return F.array_join(each, "")
+
+
+def markup_string(x: Column, encoding: str = "utf-8") -> Column:
+    """Markup for an encoding; null where the encoding lacks a character, as markup has
+    no references."""
+    largest = _LARGEST[encoding.lower()]
+    return x if largest == 0x10FFFF else F.when(~F.exists(F.split(x, ""), lambda c: F.ascii(c) > largest), x)
+
+
 def legal(x: Column) -> Column:
     """Without the characters that XML 1.0 doesn't allow."""
     return F.regexp_replace(x, r"[\x00-\x08\x0B\x0C\x0E-\x1F￾￿]", "")

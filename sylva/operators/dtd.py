@@ -8,7 +8,7 @@ counts; what that ignores is a warning."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -214,6 +214,12 @@ class Dtd:
     warnings: list[str] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
 
+    def add(self, text: str, external: bool = False, catalog: dict[str, str] | None = None, target: str = OPTIONS) -> Dtd:
+        """More declarations, after those that are there: the first of a kind counts,
+        and what may not be declared again is an error."""
+        _Reader(self, catalog or {}, external, target).read(re.sub("\r\n?", "\n", re.sub(r"^<\?xml[^>]*\?>", "", text)))
+        return self
+
     # ---- tables
 
     def declarations(self) -> list[tuple]:
@@ -510,10 +516,7 @@ def parse_option(data: str) -> tuple[str, dict[str, str]]:
 def parse_dtd(text: str, internal: str = "", root: str | None = None, catalog: dict[str, str] | None = None, target: str = OPTIONS) -> Dtd:
     """A DTD of an internal subset, read first, and an external one. Processing
     instructions for ``target`` are options; those for others are kept, no more."""
-    dtd = Dtd(root=root)
-    for part, external in ((internal, False), (text, True)):
-        _Reader(dtd, catalog or {}, external, target).read(re.sub("\r\n?", "\n", re.sub(r"^<\?xml[^>]*\?>", "", part)))
-    return dtd
+    return Dtd(root=root).add(internal, False, catalog, target).add(text, True, catalog, target)
 
 
 def doctype(xml: str) -> tuple[str | None, str | None, str | None, str]:
@@ -553,17 +556,18 @@ def _doctypes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run("xml").alias("d")).select("doc_id", "d.*").filter("root IS NOT NULL")
 
 
-def dtds_of(docs: DataFrame, catalog: dict[str, str] | None = None, target: str = OPTIONS) -> DtdTables:
+def dtds_of(docs: DataFrame, catalog: dict[str, str] | None = None, target: str = OPTIONS, transform: Callable[[Dtd], Dtd] | None = None) -> DtdTables:
     """The DTDs of ``docs`` (doc_id, xml), each different one parsed once, in a task:
     its internal subset, then the external one from the catalog. A DTD that can't be
-    read has an error, and what was read before it."""
+    read has an error, and what was read before it. ``transform`` may change a DTD before
+    anything is held against it."""
     ship(docs.sparkSession)
     found = roundtrip(_doctypes(docs).withColumn("dtd_id", F.xxhash64("root", "public_id", "system_id", "internal")), "doctypes")
     each = found.groupBy("dtd_id").agg(*[F.first(c).alias(c) for c in ("root", "public_id", "system_id", "internal")])
-    return DtdTables(found.select("doc_id", "dtd_id"), read_dtds(each.withColumn("external", F.lit(None).cast("string")), catalog, target))
+    return DtdTables(found.select("doc_id", "dtd_id"), read_dtds(each.withColumn("external", F.lit(None).cast("string")), catalog, target, transform))
 
 
-def read_dtds(texts: DataFrame, catalog: dict[str, str] | None = None, target: str = OPTIONS) -> dict[str, DataFrame]:
+def read_dtds(texts: DataFrame, catalog: dict[str, str] | None = None, target: str = OPTIONS, transform: Callable[[Dtd], Dtd] | None = None) -> dict[str, DataFrame]:
     """The tables of ``texts`` (dtd_id, root, public_id, system_id, internal, external):
     the internal subset of each comes first, then its external text, or the one that the
     catalog has."""
@@ -579,9 +583,10 @@ def read_dtds(texts: DataFrame, catalog: dict[str, str] | None = None, target: s
                 dtd = Dtd(root=root)
                 try:
                     for part, outside in ((internal or "", False), (external if external is not None else known.get(system, known.get(public, "")), True)):
-                        _Reader(dtd, known, outside, target).read(re.sub("\r\n?", "\n", re.sub(r"^<\?xml[^>]*\?>", "", part)))
+                        dtd.add(part, outside, known, target)
                 except DtdError as e:
                     dtd.errors.append(str(e))
+                dtd = transform(dtd) if transform else dtd
                 out += [(key, *r) for r in dtd.declarations()]
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)

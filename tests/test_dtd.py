@@ -169,6 +169,19 @@ def test_validation_against_own_dtds(spark):
     assert at[5 + 4, "Reference to undeclared element `u'"] == (3, len(DTD.splitlines()[-1]) + len("]><r>"))
 
 
+def test_dtds_are_changed_before_use(spark):
+    docs = spark.createDataFrame([(1, "<!DOCTYPE a [<!ELEMENT a (b)>]><a><b/></a>"), (2, "<!DOCTYPE a [<!ELEMENT a (b)><!ELEMENT b ANY>]><a><b x='1'/></a>")], "doc_id long, xml string")
+
+    def more(dtd):
+        if "b" not in dtd.elements:
+            dtd.add("<!ELEMENT b EMPTY>")
+        return dtd.add("<!ATTLIST b x CDATA #IMPLIED>")
+
+    assert Validator(parse_nodes(docs), dtds_of(docs, transform=more)).all().count() == 0
+    assert Validator(parse_nodes(docs), dtds_of(docs)).all().count() == 2
+    assert parse_dtd("<!ELEMENT a ANY>").add("<!ELEMENT a EMPTY>").validate() == ["Element `a' has already been declared"]
+
+
 def test_a_dtd_that_cant_be_read(spark):
     docs = spark.createDataFrame([(1, "<!DOCTYPE a [<!ELEMENT a EMPTY> %x;]><a/>"), (2, None), (3, "<!DOCTYPE a [<!ELEMENT a EMPTY>]><a/>")], "doc_id long, xml string")
     own = dtds_of(docs)

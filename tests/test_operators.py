@@ -223,3 +223,9 @@ def test_files_are_checked(spark, tmp_path):
     }
     wf = {r.system_id.rpartition("/")[2] for r in check_files(spark, str(tmp_path), wf=True, catalog=catalog).collect()}
     assert wf == {"broken.xml", "odd.xml"}
+
+
+def test_texts_for_an_encoding(spark):
+    t = spark.createDataFrame([("a<é日👍",), ("plain",), (None,)], "s string")
+    got = [tuple(r) for r in t.select(text.data_string(F.col("s"), "US-ASCII"), text.data_string(F.col("s"), "iso-8859-1"), text.data_string(F.col("s")), text.markup_string(F.col("s"), "iso-8859-1"), text.markup_string(F.col("s"))).collect()]
+    assert got == [("a&lt;&#233;&#26085;&#128077;", "a&lt;é&#26085;&#128077;", "a&lt;é日👍", None, "a<é日👍"), ("plain",) * 5, (None,) * 5]
