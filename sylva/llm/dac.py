@@ -18,8 +18,9 @@ commits, has a row for each segment: its file, its place there, and how many ids
 before it. Each attempt at a task writes a file of its own name, and only what the
 manifest names counts, so a lost executor leaves nothing that is read.
 
-Documents are tokenised first; their codes, staged, are what is sorted, over ranges of
-ids and, where ids tie, of the codes' hashes.
+Documents are tokenised first, and their codes are what is dealt out and sorted: over
+ranges of ids between approximate quantiles and, where one id fills several ranges, of
+the codes' hashes. So texts are read and tokenised once.
 
 Defined results: a null or empty text holds the end id only; null ids come first;
 repeated rows are stored as often as they occur, equal ids in the order of their codes'
@@ -151,12 +152,26 @@ class Segment:
         return out
 
 
-CODES = "doc_id long, n long, tie long, codes binary"
+CODES = "part int, doc_id long, n long, tie long, codes binary"
+_LOWEST = -(1 << 63)
 
 
-def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A staged table of the ids of each document, two bytes each where they all fit."""
-    end = END_ID.to_bytes(4, "little")
+def part_of(ids: list[int | None], ties: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range that each id is in: how many bounds are below it. An id that is several
+    bounds has their ranges, shared out by its ties; null comes before all."""
+    flat = np.array([_LOWEST if i is None else i for i in ids], np.int64)
+    low, high = np.searchsorted(bounds, flat, "left"), np.searchsorted(bounds, flat, "right")
+    share = (ties.astype(np.float64) + 2.0**63) / 2.0**64
+    spread = low + np.minimum((share * (high - low + 1)).astype(np.int64), high - low)
+    out = np.where(high - low > 1, spread, low)
+    # the lowest of all ids comes behind null ones
+    lowest = np.array([i == _LOWEST for i in ids], bool)
+    return np.where(lowest, high, out)
+
+
+def tokenised(docs: DataFrame, path: str, bounds: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ids of each document, two bytes each where they all fit, and its range."""
+    end, cuts = END_ID.to_bytes(4, "little"), np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, KEPT)
@@ -165,12 +180,12 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 continue
             found = [np.frombuffer(raw + end, "<u4") for raw in enc.encode(batch.column(1).to_pylist())]
             codes = [(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() for x in found]
-            tie = [zlib.crc32(c) << 32 | zlib.adler32(c) for c in codes]
-            tie = np.array(tie, np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(tie), pa.array(codes, pa.binary())], names=["doc_id", "n", "tie", "codes"])
+            ties = np.array([zlib.crc32(c) << 32 | zlib.adler32(c) for c in codes], np.uint64).view(np.int64)
+            part = part_of(batch.column(0).to_pylist(), ties, cuts)
+            yield pa.record_batch([pa.array(part, pa.int32()), batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(ties), pa.array(codes, pa.binary())], names=["part", "doc_id", "n", "tie", "codes"])
 
     tune(docs.sparkSession)
-    return stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, CODES), "codes")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, CODES)
 
 
 MANIFEST = "part int, segment_no int, first long, n_ids long, n_docs long, file string, at long, bytes long"
@@ -181,8 +196,12 @@ def write_tokens(docs: DataFrame, to: str | None = None, path: str | None = None
     shared folder), and give the manifest. ``first`` counts the ids of the same part
     before a segment; parts follow each other."""
     spark = docs.sparkSession
-    codes = tokenised(docs, path or tokenizer_path(), id_col, text_col)
-    n_parts = n_parts or parts_for(spark, 2 * (codes.agg(F.sum("n")).first()[0] or 0))
+    # ids take about half the bytes of their texts
+    n_parts = n_parts or parts_for(spark, (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // 2)
+    share, exact = [k / n_parts for k in range(1, n_parts)], max(10_000, 20 * n_parts)
+    lowest = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST))
+    bounds = docs.agg(F.percentile_approx(lowest, share, exact)).first()[0] if share else []
+    codes = tokenised(docs, path or tokenizer_path(), sorted(bounds or []), id_col, text_col)
     to = to or shared_path(spark, "dac")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +229,7 @@ def write_tokens(docs: DataFrame, to: str | None = None, path: str | None = None
             names.clear()
 
         for batch in batches:
-            for doc, size, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+            for doc, size, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist()):
                 held.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * size else "<u4").astype("<u4"))
                 names.append(doc)
                 n += size
@@ -222,7 +241,7 @@ def write_tokens(docs: DataFrame, to: str | None = None, path: str | None = None
             out.close()
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.string(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
-    ordered = codes.repartitionByRange(n_parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = codes.repartitionById(n_parts, "part").sortWithinPartitions("doc_id", "tie")
     return stage(ordered.mapInArrow(run, MANIFEST), "manifest")
 
 

@@ -151,6 +151,17 @@ def test_token_files(spark, odd, empty, plain):
     assert len(got) == len(asked) - 1
 
 
+def test_ranges_of_ids():
+    ties = np.array([-(2**63), -(2**62), 0, 2**62, 2**63 - 1], np.int64)
+    assert dac.part_of([1, 5, 6, 9, None], ties, np.array([1, 5, 8])).tolist() == [0, 1, 2, 3, 0]
+    # 7 is three bounds: its rows fill the ranges from before it to behind it
+    hot = np.array([3, 7, 7, 7])
+    assert dac.part_of([7] * 5, ties, hot).tolist() == [1, 2, 3, 4, 4] and dac.part_of([3, 4, 8], ties[:3], hot).tolist() == [0, 1, 4]
+    low = np.array([-(2**63)] * 2 + [4])
+    assert dac.part_of([None, None, -(2**63), 3], np.array([-(2**63), 2**62, 0, 0], np.int64), low).tolist() == [0, 2, 2, 2]
+    assert dac.part_of([None, 3], ties[:2], np.array([], np.int64)).tolist() == [0, 0]
+
+
 def test_equal_ids_in_many_ranges(spark, plain):
     """A hot id doesn't meet in one task: its documents are told apart by their codes."""
     docs = [(7, f"text number {k}") for k in range(400)] + [(8, "x")]
