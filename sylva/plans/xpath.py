@@ -181,7 +181,8 @@ class Evaluator:
         elif axis in ("attribute", "namespace"):
             here = rel.df.select(*rel.keys, *ctx, *NODE)
             keep = rel.keys + [c_ + c for c in KEY]
-            found = _namespaces(here, keep) if axis == "namespace" else _attributes(here, keep, F.lit(True))
+            named = (lambda a: a[s.test] == s.name) if s.test in ("name", "prefix") else F.lit(True)
+            found = _namespaces(here, keep) if axis == "namespace" else _attributes(here, keep, named)
             found = found.filter(self._test(s))
             disjoint, single_out = True, False
         else:

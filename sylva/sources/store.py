@@ -58,6 +58,7 @@ def load(like: DataFrame, path: str) -> DataFrame:
 
 
 def roundtrip(df: DataFrame, name: str) -> DataFrame:
+    """Stored as it comes, and read from there."""
     path = shared_path(df.sparkSession, name)
-    save(df, path)
+    df.write.parquet(path)
     return load(df, path)
