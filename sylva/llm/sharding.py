@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts_for, stage, tune
+from .common import BROADCAST_ROWS, parts_for, stage, tune
 
 BITS = 6
 SHARDS = 8
+#: Bytes of different strings that are sorted on the driver, at most.
+FEW_BYTES = 8 << 20
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -79,14 +81,23 @@ def _offsets(df: DataFrame, part: Column, size: Column) -> tuple[DataFrame, int]
     return df.sparkSession.createDataFrame(out, "p long, base long"), total
 
 
-def string_cuts(values: DataFrame, n: int) -> list[str]:
-    """Of a column of strings, the value at each n-th part of the rows, in order."""
+def string_cuts(values: DataFrame, n: int, few: int = BROADCAST_ROWS) -> list[str]:
+    """Of a column of strings, the value at each n-th part of the rows, in order. Up to
+    ``few`` different values of ``FEW_BYTES`` in all are sorted on the driver."""
     spark = values.sparkSession
     name = values.columns[0]
-    counts = stage(values.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).count(), "values")
-    size = counts.agg(F.sum(F.octet_length("value") + 16)).first()[0]
-    if not size:
+    counts = values.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).count()
+    different, size = counts.agg(F.count("*"), F.sum(F.octet_length("value") + 16)).first()
+    if not different:
         return []
+    if different <= few and size <= FEW_BYTES:
+        rows, upto, out = sorted(((r["value"], r["count"]) for r in counts.collect()), key=lambda r: r[0].encode()), 0, []
+        total = sum(c for _, c in rows)
+        for value, c in rows:
+            out += [value] * ((upto + c) * n // total - upto * n // total)
+            upto += c
+        return out[: n - 1]
+    counts = stage(counts, "values")
     ordered = counts.repartitionByRange(parts_for(spark, size), "value").sortWithinPartitions("value")
     ordered = stage(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_at", 33).cast("long")
