@@ -67,7 +67,7 @@ def measure(spark: SparkSession, docs: DataFrame, mb: float) -> dict:
         "//scene//line": lambda: evaluate(nodes, "//scene//line").count(),
         "count(//line/ancestor::act)": lambda: evaluate(nodes, "count(//line/ancestor::act)").count(),
     }
-    out = {"mb": round(mb, 2), "nodes": n}
+    out = {"mb": round(mb, 2), "n_nodes": n}
     for name, job in jobs.items():
         took, _ = timed(job)
         out[name] = {"s": round(took, 2), "mb_s": round(mb / took, 2), "nodes_s": round(n / took)}
