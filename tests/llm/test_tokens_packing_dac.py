@@ -30,6 +30,48 @@ def test_chunked_ids_are_the_tokenizers(s):
     assert encoder(tokenizer_path()).encode([s])[0] == np.array(t.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*PARTS, "Ω", " Жук", " long" + "g" * 80, " it's.\nSo", "   "]), max_size=9).map("".join), max_size=12))
+def test_ids_of_texts_made_together(texts):
+    t = Tokenizer.from_file(tokenizer_path())
+    want = [np.array(t.encode(s, add_special_tokens=False).ids, "<u4").tobytes() for s in texts]
+    # few chunks are kept: most of what is met again was forgotten
+    e = encoder(tokenizer_path(), 8)
+    assert e.encode(texts) == want and e.encode(texts[::-1]) == want[::-1]
+    assert max(map(len, [*e.kept, *e.kept.bare]), default=0) <= 64 and all(e.kept.values()) and all(type(x) is bytes for x in e.kept.values())
+
+
+def test_new_words_share_a_call_of_the_model(plain):
+    """op3, op9: one call for each new piece took more time than anything else."""
+    e, calls = Encoder(tokenizer_path()), []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def __call__(self, *args):
+            calls.append(1)
+            return self.model(*args)
+
+        def encode_batch_fast(self, *args, **kw):
+            calls.append(1)
+            return self.model.encode_batch_fast(*args, **kw)
+
+    e.kept.model = Counted(e.kept.model)
+    texts = [f"Some {'qwz'[k % 3] * (k % 5 + 1)}ord{chr(97 + k % 26)}é, and\nothers{k}." for k in range(300)]
+    assert e.encode(texts) == [plain(x) for x in texts]
+    assert len(calls) <= 2
+
+
+def test_a_failed_call_leaves_no_chunk_without_ids(plain):
+    e = Encoder(tokenizer_path())
+    model, e.kept.model = e.kept.model, None
+    with pytest.raises(Exception):
+        e.encode(["some words, once"])
+    e.kept.model = model
+    assert e.encode(["some words, once"]) == [plain("some words, once")]
+
+
 def test_added_tokens_count_as_the_tokenizer_has_them(tmp_path):
     t = Tokenizer.from_file(tokenizer_path())
     texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>  y", "a mark here  now", "plain", "a mark"]
