@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sylva.functions.text import SPACE
+from sylva.sources.store import roundtrip
 
 from .events import depth
-from .structure import key, pairs, with_path
+from .structure import key, pairs, wide, with_path
 
 
 def sibling_order() -> WindowSpec:
@@ -63,7 +64,7 @@ def find_all(nodes: DataFrame, of: DataFrame, matching: Column, deeply: bool = T
     if deeply:
         return descendants(nodes, of, matching)
     start = of.select(F.col("doc_id").alias("_d"), F.col("pre").alias("of"))
-    return nodes.filter(matching).join(start, (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("of"))).drop("_d")
+    return nodes.filter(matching).join(wide(start), (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("of"))).drop("_d")
 
 
 def find_first(nodes: DataFrame, of: DataFrame, matching: Column, deeply: bool = True) -> DataFrame:
@@ -77,7 +78,7 @@ def node_data(nodes: DataFrame, of: DataFrame) -> DataFrame:
     below = descendants(nodes, of, F.col("kind") == "data")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "value"))), lambda s: s["value"]), "")
     some = below.groupBy("doc_id", "of").agg(text.alias("data"))
-    return of.select("doc_id", F.col("pre").alias("of")).join(some, ["doc_id", "of"], "left").withColumn("data", F.coalesce("data", F.lit("")))
+    return of.select("doc_id", F.col("pre").alias("of")).join(wide(some), ["doc_id", "of"], "left").withColumn("data", F.coalesce("data", F.lit("")))
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
@@ -112,14 +113,15 @@ def renumber(nodes: DataFrame) -> DataFrame:
     Each node has a mark that its path orders behind all below it: the nodes counted up
     to the mark give ``fin``."""
     last = F.lit(2**31 - 1)
-    both = nodes.select("doc_id", key().alias("_key"), "path", F.lit(1).alias("_is")).unionByName(nodes.select("doc_id", key().alias("_key"), F.concat("path", F.array(last)).alias("path"), F.lit(0).alias("_is")))
+    ends = F.array(F.struct(F.col("path").alias("path"), F.lit(1).alias("_is")), F.struct(F.concat("path", F.array(last)).alias("path"), F.lit(0).alias("_is")))
+    both = nodes.select("doc_id", key().alias("_key"), F.inline(ends))
     order = Window.partitionBy("doc_id").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
     counted = both.withColumn("_n", F.sum("_is").over(order) - 1)
     places = counted.groupBy("doc_id", "_key").agg(F.max(F.when(F.col("_is") == 1, F.col("_n"))).alias("_pre"), F.max(F.when(F.col("_is") == 0, F.col("_n"))).alias("_fin"))
     up = F.when(F.size("path") > 0, key(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))))
-    rows = nodes.withColumns({"_key": key(), "_up": up, "level": F.size("path")}).join(places, ["doc_id", "_key"])
+    rows = nodes.withColumns({"_key": key(), "_up": up, "level": F.size("path")}).join(wide(places), ["doc_id", "_key"])
     parents = places.select("doc_id", F.col("_key").alias("_up"), F.col("_pre").alias("_parent"))
-    out = rows.join(parents, ["doc_id", "_up"], "left")
+    out = rows.join(wide(parents), ["doc_id", "_up"], "left")
     pos = F.when(F.size("path") > 0, F.row_number().over(Window.partitionBy("doc_id", "_up").orderBy("path")) - 1).otherwise(0)
     out = out.withColumns({"pre": F.col("_pre"), "fin": F.col("_fin"), "parent": F.col("_parent"), "pos": pos})
     return out.select(*nodes.columns)
@@ -133,7 +135,7 @@ def insert(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """Insert leaf elements ``new`` (doc_id, parent, pos, name, value, attrs): each goes
     before the child at ``pos`` of its parent, or behind the last."""
     paths = nodes.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p"), F.col("path").alias("_path"))
-    at = new.join(paths, (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_p")))
+    at = new.join(wide(paths), (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_p")))
     # old children move to odd numbers, new ones take the even number before
     kinds = dict(nodes.dtypes)
     rows = at.withColumns({"path": F.concat(F.transform("_path", lambda k: 2 * k + 1), F.array(2 * F.col("pos"))), "kind": F.lit("element")})
@@ -147,16 +149,17 @@ def sort_children(nodes: DataFrame, of: str, key: str) -> DataFrame:
     """Children of elements named ``of`` in the order of the text of their first child
     named ``key`` (missing: first), ties in their old order."""
     parents = nodes.filter((F.col("kind") == "element") & (F.col("name") == of)).select("doc_id", F.col("pre").alias("parent"))
-    kids = nodes.join(parents, ["doc_id", "parent"]).select("doc_id", "parent", "pre", "pos")
+    kids = nodes.join(wide(parents), ["doc_id", "parent"]).select("doc_id", "parent", "pre", "pos")
     keys = nodes.filter((F.col("kind") == "element") & (F.col("name") == key)).select("doc_id", F.col("parent").alias("pre"), F.struct("pos", "value").alias("_v")).groupBy("doc_id", "pre").agg(F.min("_v").alias("_v"))
-    ranked = kids.join(keys, ["doc_id", "pre"], "left").withColumn("_to", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy(F.coalesce("_v.value", F.lit("")), "pos")) - 1)
+    ranked = kids.join(wide(keys), ["doc_id", "pre"], "left").withColumn("_to", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy(F.coalesce("_v.value", F.lit("")), "pos")) - 1)
     moved = ranked.select("doc_id", "pre", "_to")
     # a node's path changes at the level of each ancestor that moved
-    spans = nodes.select("doc_id", "pre", "fin", "level", "path").join(moved, ["doc_id", "pre"]).select(F.col("doc_id").alias("_d"), F.col("pre").alias("_a"), F.col("fin").alias("_f"), F.col("path").alias("_path"), (F.col("level") - 1).alias("_at"), "_to")
+    spans = nodes.select("doc_id", "pre", "fin", "level", "path").join(wide(moved), ["doc_id", "pre"]).select(F.col("doc_id").alias("_d"), F.col("pre").alias("_a"), F.col("fin").alias("_f"), F.col("path").alias("_path"), (F.col("level") - 1).alias("_at"), "_to")
     hits = pairs(nodes.select("doc_id", "pre", "path"), spans, own=True).groupBy("doc_id", "pre").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_to"))).alias("_map"))
-    out = nodes.join(hits, ["doc_id", "pre"], "left")
+    out = nodes.join(wide(hits), ["doc_id", "pre"], "left")
     path = F.transform("path", lambda k, i: F.coalesce(F.try_element_at("_map", i), k))
-    return renumber(out.withColumn("path", F.when(F.col("_map").isNull(), F.col("path")).otherwise(path)).select(*nodes.columns))
+    # numbering reads the moved nodes more than once
+    return renumber(roundtrip(out.withColumn("path", F.when(F.col("_map").isNull(), F.col("path")).otherwise(path)).select(*nodes.columns), "moved"))
 
 
 def normalize(nodes: DataFrame) -> DataFrame:
@@ -187,7 +190,7 @@ def strip_whitespace(nodes: DataFrame, left: str = "seq", right: str = "seq", de
     owners = nodes.filter(F.size(space) > 0).select(F.col("doc_id").alias("_d"), F.col("pre").alias("_a"), F.col("fin").alias("_f"), F.col("path").alias("_path"), F.get(space, 0)["value"].alias("_s"))
     near = pairs(nodes.filter("kind = 'data'").select("doc_id", "pre", "path"), owners, own=True).groupBy("doc_id", "pre").agg(F.max_by("_s", "_a").alias("_space"))
     counted = nodes.filter("kind NOT IN ('comment', 'super_root')").groupBy("doc_id", "parent").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
-    rows = nodes.join(near, ["doc_id", "pre"], "left").join(counted, ["doc_id", "parent"], "left")
+    rows = nodes.join(wide(near), ["doc_id", "pre"], "left").join(wide(counted), ["doc_id", "parent"], "left")
     ruled = (F.col("kind") == "data") & (F.coalesce("_space", F.lit("default")) != "preserve")
     value = F.when(ruled & (F.col("pos") == F.col("_first")), F.regexp_replace("value", _STRIP[left][0], "")).otherwise(F.col("value"))
     value = F.when(ruled & (F.col("pos") == F.col("_last")), F.regexp_replace(value, _STRIP[right][1], "")).otherwise(value)
@@ -232,11 +235,11 @@ def map_tree(nodes: DataFrame, pre: Column | None = None, post: dict[str, Column
         # each remaining step is the whole way from one that stays to the next, as a number
         order = Window.partitionBy("doc_id").orderBy("path")
         ranked = kept.withColumn("_rank", F.row_number().over(order))
-        keyed = ranked.join(above, ["doc_id", "pre"])
+        keyed = ranked.join(wide(above), ["doc_id", "pre"])
         ranks = ranked.select(F.col("doc_id").alias("_d"), key().alias("_own"), F.col("_rank").alias("_r"))
         steps = keyed.select("doc_id", "pre", F.posexplode(F.transform(F.filter("_levels", lambda n: n > 0), lambda n: F.xxhash64(F.slice("path", 1, n)))).alias("_i", "_key"))
-        paths = steps.join(ranks, (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_own"))).groupBy("doc_id", "pre").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_r"))), lambda s: s["_r"]).cast("array<int>").alias("_new"))
-        rows = kept.join(paths, ["doc_id", "pre"], "left").withColumn("path", F.coalesce("_new", F.array().cast("array<int>"))).select(*nodes.columns)
+        paths = steps.join(wide(ranks), (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_own"))).groupBy("doc_id", "pre").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_r"))), lambda s: s["_r"]).cast("array<int>").alias("_new"))
+        rows = kept.join(wide(paths), ["doc_id", "pre"], "left").withColumn("path", F.coalesce("_new", F.array().cast("array<int>"))).select(*nodes.columns)
     return renumber(rows.select(*nodes.columns))
 
 

@@ -25,27 +25,33 @@ def element(name: str, attrs: dict[str, Column], body: Column) -> Column:
     return F.concat(*parts, F.lit(">"), body, F.lit(f"</{name}>"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Few, large documents are dealt out before they are read, as one task reads one."""
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def money(x: Column) -> Column:
     return F.format_string("%.2f", x)
 
 
-def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1: a document for each region: region > nation > customer."""
+def geo(spark: SparkSession, sf_dir: str, extra: dict[str, Column] | None = None) -> DataFrame:
+    """C1: a document for each region: region > nation > customer. Bodies grow with the
+    input, so they aren't broadcast. ``extra``: more attributes of customers."""
     c = table(spark, sf_dir, "customer")
-    cust = element("customer", {"key": F.col("c_custkey"), "seg": F.col("c_mktsegment"), "bal": money(F.col("c_acctbal"))}, escape(F.col("c_name")))
+    cust = element("customer", {"key": F.col("c_custkey"), "seg": F.col("c_mktsegment"), "bal": money(F.col("c_acctbal"))} | (extra or {}), escape(F.col("c_name")))
     by_nation = c.groupBy("c_nationkey").agg(children(F.col("c_custkey"), cust).alias("body"))
-    n = table(spark, sf_dir, "nation").join(by_nation, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    n = table(spark, sf_dir, "nation").join(by_nation.hint("merge"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
     nation = element("nation", {"key": F.col("n_nationkey"), "name": F.col("n_name")}, F.coalesce("body", F.lit("")))
     by_region = n.groupBy("n_regionkey").agg(children(F.col("n_nationkey"), nation).alias("body"))
-    r = table(spark, sf_dir, "region").join(by_region, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return r.select(F.col("r_regionkey").cast("long").alias("doc_id"), element("region", {"key": F.col("r_regionkey"), "name": F.col("r_name")}, F.coalesce("body", F.lit(""))).alias("xml"))
+    r = table(spark, sf_dir, "region").join(by_region.hint("merge"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    return spread(r.select(F.col("r_regionkey").cast("long").alias("doc_id"), element("region", {"key": F.col("r_regionkey"), "name": F.col("r_name")}, F.coalesce("body", F.lit(""))).alias("xml")))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2: a document for each customer with orders: orders > order > item."""
     item = element("item", {"n": F.col("l_linenumber"), "qty": F.col("l_quantity").cast("int"), "price": money(F.col("l_extendedprice"))}, F.lit(""))
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(children(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), item).alias("body"))
-    o = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    o = table(spark, sf_dir, "orders").join(items.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     order = element("order", {"key": F.col("o_orderkey"), "prio": F.col("o_orderpriority"), "status": F.col("o_orderstatus")}, F.coalesce("body", F.lit("")))
     return o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit("<orders>"), children(F.col("o_orderkey"), order), F.lit("</orders>")).alias("xml"))
 
@@ -91,7 +97,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</part>"),
     )
     docs = p.groupBy("p_brand").agg(F.min("p_partkey").alias("doc_id"), children(k, body).alias("body"))
-    return docs.select("doc_id", element("brand", {"name": F.col("p_brand")}, F.col("body")).alias("xml"))
+    return spread(docs.select("doc_id", element("brand", {"name": F.col("p_brand")}, F.col("body")).alias("xml")))
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:

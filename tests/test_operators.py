@@ -68,6 +68,30 @@ def test_sort_find_clone(spark):
     assert sorted(r.size for r in ext.collect() if r.size) == [-1, -1, 1, 1]
 
 
+def test_growing_tables_are_not_broadcast(spark, tmp_path):
+    """Stored tables look small to Spark; no edit may send one through the driver."""
+    from sylva.sources.store import load
+
+    n = nodes(spark, "<list>" + "".join(f"<record><seg>{k % 7}</seg><name>{k}</name></record>" for k in range(50)) + "</list>")
+    n.write.parquet(str(tmp_path / "nodes"))
+    n = load(n, str(tmp_path / "nodes"))
+    roots = n.filter("name = 'record'").select("doc_id", "pre", "fin", "path", (F.col("pre") + 1000).alias("new_id"))
+    edits = {"clone": tree.clone(n, roots), "sort_children": tree.sort_children(n, "list", "seg"), "remove": tree.remove(n, F.col("name") == "seg"), "strip": tree.strip_whitespace(n, delete_empty=True), "find": tree.find_all(n, n.filter("parent = 0"), F.col("name") == "seg")}
+    for name, out in edits.items():
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_prefixes_are_looked_up_at_levels_that_are_there(spark):
+    """A node of a deep document meets one key for each level asked for."""
+    from sylva.operators.structure import pairs
+
+    n = nodes(spark, "<a>" * 30 + "x" + "</a>" * 30).cache()
+    up = n.filter("level IN (2, 30)").select(F.col("doc_id").alias("_d"), F.col("pre").alias("_a"), F.col("fin").alias("_f"), F.col("path").alias("_path"))
+    df = pairs(n.select("doc_id", "pre", "path"), up, own=True)
+    assert sorted((r.pre, r._a) for r in df.collect()) == sorted([(k, 2) for k in range(2, 32)] + [(30, 30), (31, 30)])
+    assert pairs(n, up.filter("_a < 0")).count() == 0
+
+
 def test_event_filters(spark):
     e = parse_events(spark.createDataFrame([(1, "<a><b>x</b><c/></a>")], "doc_id long, xml string")).cache()
     inner, heads = ev.unwrap_document(e)
