@@ -15,6 +15,7 @@ from sylva.operators import events as ev
 from sylva.operators import namespaces as ns
 from sylva.operators import tree
 from sylva.operators.dtd import dtds_of, parse_dtd, read_dtds, written
+from sylva.operators.structure import wide
 from sylva.operators.validate import Validator
 from sylva.plans.xpath import evaluate, xpath
 from sylva.sources import corpora, store, uri
@@ -637,9 +638,9 @@ def _(spark, sf):
     c = corpora.table(spark, sf, "customer")
     rec = build.el("record", None, build.el("seg", None, F.col("c_mktsegment")), build.el("name", None, F.col("c_name")))
     docs = c.groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(F.concat(F.lit("<list>"), corpora.children(F.col("c_custkey"), rec.xml()), F.lit("</list>")).alias("xml"))
-    n = tree.sort_children(parse_nodes(docs), "list", "seg")
+    n = tree.sort_children(store.roundtrip(parse_nodes(corpora.spread(docs)), "nodes"), "list", "seg")
     records = n.filter("name = 'record'").select("doc_id", F.col("pre").alias("parent"), F.col("pos").alias("at"))
-    return records.join(n.filter("name = 'name'").select("doc_id", "parent", "value"), ["doc_id", "parent"]).select("doc_id", F.col("at").alias("pos"), F.col("value").alias("name"))
+    return records.join(wide(n.filter("name = 'name'").select("doc_id", "parent", "value")), ["doc_id", "parent"]).select("doc_id", F.col("at").alias("pos"), F.col("value").alias("name"))
 
 
 @query("xml_build", f"SELECT c_custkey, '<c k=\"' || c_custkey || '\"' || CASE WHEN c_acctbal >= 0 THEN ' ok=\"yes\"' ELSE '' END || '><!--x-->' || {esc('c_name')} || '</c>' AS xml FROM customer")
