@@ -619,8 +619,10 @@ def _(spark, sf):
 
 @query("tr_set_attr", GEO + "SELECT doc_id, pre, CASE WHEN bal < 0 THEN 'debt' ELSE seg END AS seg FROM c")
 def _(spark, sf):
-    n = nodes(spark, sf, "geo")
-    debt = (F.col("name") == "customer") & F.exists("attrs", lambda a: (a["name"] == "bal") & F.startswith(a["value"], F.lit("-")))
+    # two decimals don't tell a small debt from none, nor the sign of -0.00
+    exact = {"exact": F.coalesce(F.col("c_acctbal").cast("string"), F.lit(""))}
+    n = store.roundtrip(parse_nodes(corpora.geo(spark, sf, exact)), "nodes")
+    debt = (F.col("name") == "customer") & F.exists("attrs", lambda a: (a["name"] == "exact") & F.coalesce(a["value"].try_cast("double") < 0, F.lit(False)))
     out = tree.set_attribute(n, debt, "seg", F.lit("debt"))
     return out.filter("name = 'customer'").select("doc_id", "pre", F.get(F.filter("attrs", lambda a: a["name"] == "seg"), 0)["value"].alias("seg"))
 

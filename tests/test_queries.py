@@ -31,6 +31,20 @@ def test_query(spark, duck, sf, name):
         assert got
 
 
+def test_debts_are_told_by_the_balance(spark, duck, sf, tmp_path):
+    """Balances that two decimals show as -0.00: one is a debt, one isn't."""
+    for t in ("region", "nation"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    odd = "CASE c_custkey % 5 WHEN 0 THEN -0.0::DOUBLE WHEN 1 THEN -0.001::DOUBLE WHEN 2 THEN NULL WHEN 3 THEN 'nan'::DOUBLE ELSE c_acctbal END"
+    duck.execute(f"COPY (SELECT * REPLACE ({odd} AS c_acctbal) FROM customer) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    df = CORE["tr_set_attr"](spark, str(tmp_path))
+    cur = con.execute(entry.oracle_sql()["tr_set_attr"])
+    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["doc_id", "total"] and df.count() == 5
