@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva import ship
 
-from .parser import Columns, Options, iterate, read_nodes, split_name
+from .parser import Columns, Options, iterate, split_name, stream_nodes
 
 EVENTS = "doc_id long, seq long, kind string, name string, value string, attrs array<struct<name:string,value:string>>, line int, col int"
 
@@ -26,17 +27,19 @@ _NS = pa.struct([("pos", pa.int32()), ("prefix", pa.string()), ("normprefix", pa
 _EVENT_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(_PAIR), pa.int32(), pa.int32()]
 _NODE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(_ATTR), pa.list_(_NS), pa.int32(), pa.int32()]
 
-#: Rows that a batch sent back to Spark has, about.
-BATCH = 20_000
+#: Rows that a batch sent back to Spark has, about, and characters of their values.
+BATCH, CHARS = 20_000, 4 << 20
 
 
 def _emit(rows: Iterator[tuple], types: list, names: list[str]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
+    chars, value = 0, names.index("value")
     for row in rows:
         held.append(row)
-        if len(held) >= BATCH:
+        chars += len(row[value] or "")
+        if len(held) >= BATCH or chars >= CHARS:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
-            held = []
+            held, chars = [], 0
     if held:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
 
@@ -54,8 +57,10 @@ def _names(ddl: str) -> list[str]:
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None]]:
+    """One at a time: a batch of large documents isn't in memory twice."""
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for doc, xml in zip(batch.column(0), batch.column(1)):
+            yield doc.as_py(), xml.as_py()
 
 
 def parse_events(docs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -97,7 +102,12 @@ def _batch(rows: Columns, namespaces: bool) -> pa.RecordBatch:
     attrs = _list(rows.attrs_end, _ATTR, [pos, names, a_prefix, a_local, attr_uri, types, values])
     ns = _list(rows.ns_end, _NS, list(rows.ns))
     columns = [rows.doc, rows.pre, rows.fin, rows.level, rows.parent, rows.pos, paths, rows.kind, rows.name, prefix, local, uri, rows.value, attrs, ns, rows.line, rows.col]
-    return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _NODE_TYPES)], names=_names(NODES))
+    batch = pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _NODE_TYPES)], names=_names(NODES))
+    if rows.later:
+        complete = np.ones(len(rows), bool)
+        complete[rows.later] = False
+        batch = batch.filter(pa.array(complete))
+    return batch
 
 
 def _uris(docs: list, prefixes: list[str], rows: Columns) -> list[str]:
@@ -112,15 +122,16 @@ def _uris(docs: list, prefixes: list[str], rows: Columns) -> list[str]:
 def parse_nodes(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """One row for each node of the well-formed documents, with attributes and
     in-scope namespaces as arrays; ``pre`` is the rank in document order and ``fin``
-    the largest ``pre`` below."""
+    the largest ``pre`` below. A document of many nodes leaves the reader in parts, an
+    element behind what is below it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Columns()
         for doc, xml in _documents(batches):
-            read_nodes(doc, xml, options, rows)
-            if len(rows) >= BATCH:
-                yield _batch(rows, options.namespaces)
-                rows = Columns()
+            for rows, whole in stream_nodes(doc, xml, options, rows, BATCH, CHARS):
+                if not whole or rows.full(BATCH, CHARS):
+                    yield _batch(rows, options.namespaces)
+                    rows = Columns()
         if len(rows):
             yield _batch(rows, options.namespaces)
 

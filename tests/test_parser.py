@@ -196,3 +196,49 @@ def test_errors_name_their_entity():
     events = read(xml, Options(catalog={"urn:e": "<b>&f;</b>", "urn:f": "<c>\n</d>"}))
     assert (events[-1].kind, events[-1].attrs, events[-1].line) == ("error", [("entity", "urn:f")], 2)
     assert read("<a>", Options())[-1].attrs == [("entity", "[toplevel]")]
+
+
+def test_large_documents_leave_in_parts(monkeypatch):
+    """Parts have the rows that the whole has, none is large, and what isn't well-formed
+    gives none; a reader is gone when its document is."""
+    import gc
+
+    from sylva.sources import parser, xml as reader
+
+    monkeypatch.setattr(parser, "CHUNK", 300)
+    body = "".join(f"<b k='{k}'>t<c/>&amp;<!--x--><n:d xmlns:n='v{k % 3}' n:a='1'/>{'long ' * (k % 50)}</b>tail" for k in range(400))
+    xml = f"<a xmlns='u'><e>{body}</e>end</a>"
+    for options in (Options(), Options(namespaces=True)):
+        to = Columns()
+        assert read_nodes(1, xml, options, to)
+        whole = {r["pre"]: r for r in reader._batch(to, options.namespaces).to_pylist()}
+        gc.disable()
+        try:
+            parts = [(reader._batch(rows, options.namespaces), last, len(rows)) for rows, last in parser.stream_nodes(1, xml, options, Columns(), 100, 1000)]
+            assert not any(isinstance(x, parser._Reader) for x in gc.get_objects())
+        finally:
+            gc.enable()
+        rows = [r for batch, _, _ in parts for r in batch.to_pylist()]
+        assert [last for _, last, _ in parts].count(False) > 20 and max(n for _, _, n in parts) < 200
+        for r in rows + list(whole.values()):
+            r["line"] = r["col"] = 0  # of a text, they depend on the chunks
+        assert len(rows) == len(whole) and all(r == whole[r["pre"]] for r in rows)
+        for bad in (xml[:-1], xml + "<", xml.replace("tail</e>", "&nope;</e>"), None):
+            assert [(len(rows), last) for rows, last in parser.stream_nodes(1, bad, options, Columns(), 100, 1000)] == [(0, True)]
+
+
+def test_batches_are_bounded_by_their_text(spark):
+    """Few rows with long texts are a batch."""
+    import pyarrow as pa
+
+    from sylva.sources import xml as reader
+
+    class Docs:
+        sparkSession = spark
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    docs = pa.record_batch([pa.array(range(40)), pa.array(["<a>" + "x" * 10**6 + "</a>"] * 40)], names=["doc_id", "xml"])
+    for parse in (parse_nodes, parse_events):
+        batches = [b.num_rows for b in parse(Docs())(iter([docs]))]
+        assert sum(batches) > 100 and len(batches) >= 40 * 10**6 // (2 * reader.CHARS)
