@@ -13,6 +13,7 @@ from sylva.functions.text import SPACE, normalize_space, only_space, tokens
 from sylva.sources.store import roundtrip
 
 from .dtd import DTD_ROWS, Dtd, DtdTables
+from .structure import wide
 
 _NAME, _TOKEN = r"(?:[^\W\d]|:)[\w.\-:·]*", r"[\w.\-:·]+"
 #: The form of normalised values by type; names may have letters of any script.
@@ -31,14 +32,14 @@ class Validator:
         rows = nodes.filter("kind = 'element'").select("doc_id", "pre", "parent", "name", "attrs")
         if isinstance(dtd, DtdTables):
             self.of, tables = dtd.of, dtd.frames
-            self.regular = rows.join(self.of, "doc_id")
+            self.regular = rows.join(wide(self.of), "doc_id")
             few = all(tables[t].limit(DTD_ROWS + 1).count() <= DTD_ROWS for t in ("elements", "attributes", "settings"))
         else:
             self.of = None
             tables = {name: table.withColumn("dtd_id", F.lit(0).cast("long")) for name, table in dtd.frames(nodes.sparkSession).items()}
             self.regular = rows.withColumn("dtd_id", F.lit(0).cast("long"))
             few = max(len(dtd.elements), len(dtd.attributes)) <= DTD_ROWS
-        self.tables = tables
+        self.tables = tables = tables if few else {name: wide(table) for name, table in tables.items()}
         small = (lambda t: F.broadcast(tables[t])) if few else (lambda t: tables[t])
         self.elements, self.attributes, self.settings = small("elements"), small("attributes"), small("settings")
         self.entities, self.notations = tables["entities"], tables["notations"]
@@ -54,7 +55,7 @@ class Validator:
     def no_dtd(self) -> DataFrame:
         """The roots of documents without a DTD, where each has its own."""
         top = self.nodes.filter("pre = 0")
-        lost = top.join(self.of, "doc_id", "left_anti") if self.of is not None else top.filter(F.lit(False))
+        lost = top.join(wide(self.of), "doc_id", "left_anti") if self.of is not None else top.filter(F.lit(False))
         return self._say(lost, "dtd", F.lit("Document has no DTD"))
 
     def declarations(self) -> DataFrame:
@@ -82,7 +83,7 @@ class Validator:
         """Child elements against content models: a pattern over their names, the
         allowed names, or none."""
         names = F.coalesce("children", F.array().cast("array<string>"))
-        rows = self._declared().filter(F.col("model_kind").isin(*kinds)).join(self._children(), ["doc_id", "pre"], "left").withColumn("children", names)
+        rows = self._declared().filter(F.col("model_kind").isin(*kinds)).join(wide(self._children()), ["doc_id", "pre"], "left").withColumn("children", names)
         text = F.array_join(F.transform("children", lambda n: F.concat(F.lit("<"), n, F.lit(">"))), "")
         ok = (
             F.when(F.col("model_kind") == "regexp", F.rlike(text, F.concat(F.lit("^"), "model_regex", F.lit("$"))))
@@ -95,7 +96,7 @@ class Validator:
     def chardata(self) -> DataFrame:
         """Text in element content is blank; EMPTY elements have none."""
         data = self.nodes.filter("kind = 'data'").select("doc_id", F.col("pre").alias("at"), F.col("parent").alias("pre"), "value")
-        rows = self._declared().filter("model_kind IN ('regexp', 'empty')").join(data, ["doc_id", "pre"])
+        rows = self._declared().filter("model_kind IN ('regexp', 'empty')").join(wide(data), ["doc_id", "pre"])
         blank = only_space(F.col("value"))
         bad = rows.filter(((F.col("model_kind") == "regexp") & ~blank) | ((F.col("model_kind") == "empty") & (F.col("value") != "")))
         empty = F.col("model_kind") == "empty"
@@ -170,7 +171,7 @@ class Validator:
     def idref(self) -> DataFrame:
         """References to an id that no element has."""
         ids = self.id_index().select("doc_id", F.col("id").alias("ref"))
-        lost = self.references().join(ids, ["doc_id", "ref"], "left_anti")
+        lost = self.references().join(wide(ids), ["doc_id", "ref"], "left_anti")
         return self._say(lost, "idref", F.concat(F.lit("Attribute `"), "name", F.lit("' of element `"), "element", F.lit("' refers to unknown ID `"), "ref", F.lit("'")))
 
     def entity_values(self) -> DataFrame:

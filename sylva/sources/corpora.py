@@ -26,7 +26,8 @@ def element(name: str, attrs: dict[str, Column], body: Column) -> Column:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """Few, large documents are dealt out before they are read, as one task reads one."""
+    """Few, large documents, and many made of a small file, are dealt out before they are
+    read: the tasks that made them may be few."""
     return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
 

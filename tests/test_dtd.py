@@ -205,3 +205,14 @@ def test_defaults_and_empty(spark):
     assert got == {("k", "x"), ("f", "f")}
     assert Validator(nodes.filter(F.lit(False)), parse_dtd(DTD, root="r")).all().count() == 0
     assert Validator(nodes, parse_dtd("")).declared().count() == 2
+
+
+def test_checks_of_own_dtds_read_stored_nodes(spark, sf, monkeypatch):
+    """Documents are read once, not by each check, and no table that grows with them is
+    broadcast, however small it looks."""
+    import __spark_entry__ as entry
+    from sylva.operators import validate
+
+    monkeypatch.setattr(validate, "DTD_ROWS", 0)
+    plan = entry.queries()["val_own_dtd"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "BroadcastHashJoin" not in plan
