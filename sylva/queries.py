@@ -46,7 +46,8 @@ def xp(name: str, corpus: str, path: str, sql: str, shape: Callable[[DataFrame],
     """A query that evaluates one path on every document of a corpus."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        out = evaluate(nodes(spark, sf, corpus), path, **settings)
+        # no path asks for lines and columns
+        out = evaluate(nodes(spark, sf, corpus, Options(positions=False)), path, **settings)
         if shape:
             return shape(out)
         return out.select("doc_id", "pre", "value") if "pre" in out.columns else out

@@ -15,13 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def children(order: Column, xml: Column) -> Column:
     """Texts of a group joined in order."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("k"), xml.alias("x")))), lambda s: s["x"]), "")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("k"), xml.alias("x")))), lambda s: s["x"]), "")
 
 
-def element(name: str, attrs: dict[str, Column], body: Column) -> Column:
+def element(name: str, attrs: dict[str, Column], body: Column, numbers: tuple[str, ...] = ()) -> Column:
+    """``numbers``: attributes whose values have nothing to escape."""
     parts: list[Column] = [F.lit(f"<{name}")]
     for a, v in attrs.items():
-        parts += [F.lit(f' {a}="'), escape(v.cast("string")), F.lit('"')]
+        parts += [F.lit(f' {a}="'), v.cast("string") if a in numbers else escape(v.cast("string")), F.lit('"')]
     return F.concat(*parts, F.lit(">"), body, F.lit(f"</{name}>"))
 
 
@@ -50,7 +51,7 @@ def geo(spark: SparkSession, sf_dir: str, extra: dict[str, Column] | None = None
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2: a document for each customer with orders: orders > order > item."""
-    item = element("item", {"n": F.col("l_linenumber"), "qty": F.col("l_quantity").cast("int"), "price": money(F.col("l_extendedprice"))}, F.lit(""))
+    item = element("item", {"n": F.col("l_linenumber"), "qty": F.col("l_quantity").cast("int"), "price": money(F.col("l_extendedprice"))}, F.lit(""), ("n", "qty", "price"))
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(children(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), item).alias("body"))
     o = table(spark, sf_dir, "orders").join(items.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     order = element("order", {"key": F.col("o_orderkey"), "prio": F.col("o_orderpriority"), "status": F.col("o_orderstatus")}, F.coalesce("body", F.lit("")))

@@ -253,3 +253,9 @@ def test_texts_for_an_encoding(spark):
     t = spark.createDataFrame([("a<é日👍",), ("plain",), (None,)], "s string")
     got = [tuple(r) for r in t.select(text.data_string(F.col("s"), "US-ASCII"), text.data_string(F.col("s"), "iso-8859-1"), text.data_string(F.col("s")), text.markup_string(F.col("s"), "iso-8859-1"), text.markup_string(F.col("s"))).collect()]
     assert got == [("a&lt;&#233;&#26085;&#128077;", "a&lt;é&#26085;&#128077;", "a&lt;é日👍", None, "a<é日👍"), ("plain",) * 5, (None,) * 5]
+
+
+def test_orders_are_built_with_native_sorts(spark, sf):
+    """Items and orders are sorted without a function for each comparison."""
+    plan = corpora.orders(spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert "array_sort" not in plan and "sort_array" in plan
